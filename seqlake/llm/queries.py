@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import near_dup
+from . import near_dup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,13 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+
+
 QUERIES = {
     "op3_near_dup": op3_near_dup,
+    "op6_suffix_dedup": op6_suffix_dedup,
 }
 
 #: Shingle sets as text, all pairs that share one, and a recursive walk over the links.
@@ -30,8 +35,8 @@ e AS MATERIALIZED (SELECT rep, len(sh) AS n, unnest(sh) AS g FROM c),
 p AS MATERIALIZED (SELECT a.rep AS u, b.rep AS v FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n
       HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
-r AS (SELECT rep AS id, rep AS at FROM c UNION SELECT r.id, l.v FROM r JOIN l ON r.at = l.u),
-m AS (SELECT id, min(at) AS component FROM r GROUP BY id)
+r AS (SELECT rep AS id, rep AS node FROM c UNION SELECT r.id, l.v FROM r JOIN l ON r.node = l.u),
+m AS (SELECT id, min(node) AS component FROM r GROUP BY id)
 SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component, s.doc_id) AS component_id, coalesce(m.component, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN c ON len(s.sh) > 0 AND md5(array_to_string(list_sort(s.sh), chr(10))) = c.k LEFT JOIN m ON m.id = c.rep
 """
