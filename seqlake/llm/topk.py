@@ -3,9 +3,10 @@
 Vectors become small integers. In each block of vectors a posting segment holds
 those whose component in one dimension lies in one impact level. For a query,
 each segment's impact is an upper bound on what it adds to a score; shifting by
-the dimension's least value makes all impacts non-negative. Segments are
-processed by descending impact until it is proved that no vector outside a
-small set can reach the best k; those possible members are scored exactly.
+the dimension's least bound makes all impacts non-negative. Segments are
+processed by descending impact; what is unprocessed bounds every vector's score
+from above. It stops only on the proof that no vector outside a small set can
+reach the best k; those possible members are scored exactly.
 """
 
 from __future__ import annotations
@@ -16,20 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = 16
-#: Vectors and queries in one block.
-VECTORS, QUERIES = 16_384, 1_024
-#: Part of a block below which possible members are scored exactly rather than thinned out further.
-ENOUGH = 1 / 32
-#: Segments processed between two looks at the proof.
-STRIDE = 64
+LEVELS = 24
+#: Vectors and queries in one block at most; on fewer blocks than TASKS, queries are split further, to QUERIES_LEAST.
+VECTORS, QUERIES, QUERIES_LEAST, TASKS = 65_536, 4_096, 128, 16
+#: Shares of a block's postings that are processed before the proof is tried, one after the other.
+PARTS = (0.65, 1.0)
+#: Share of a block up to which possible members are scored exactly without reading further postings.
+ENOUGH = 0.25
+_LARGE = 1 << 62
 
 
 class ImpactIndex:
     """Posting segments of one block of integer vectors, ids ascending."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+        self.ids = ids
         self.low, high = vectors.min(axis=0), vectors.max(axis=0)
         self.width = np.maximum(1, -(-(high - self.low + 1) // LEVELS))
         level = (vectors - self.low) // self.width
@@ -41,45 +43,45 @@ class ImpactIndex:
         self.least = self.low[:, None] + self.width[:, None] * np.arange(LEVELS)
         self.greatest = np.minimum(self.least + self.width[:, None] - 1, high[:, None])
 
+        # Sums of products under 2**53 are exact as doubles, which numpy multiplies faster.
+        self.exact = np.float64 if int(np.abs(vectors).max(initial=0)) ** 2 * dims < 1 << 52 else np.int64
+        self.vectors = vectors.astype(self.exact)
+
+    def _score(self, take: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return (self.vectors[take] @ query.astype(self.exact)).astype(np.int64)
+
     def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (ids, scores), ties to the smaller id; the vector with id ``own`` is left out."""
-        n, dims = self.vectors.shape
-        take = np.nonzero(self.ids != own)[0]
-        if len(take) > k:
+        n = len(self.ids)
+        member = self.ids != own
+        if member.sum() > k:
             a, b = query[:, None] * self.least, query[:, None] * self.greatest
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
+            greatest = np.maximum(a, b)
             filled = self.bounds[:, 1:] > self.bounds[:, :-1]
-            floor = np.where(filled, lo, np.iinfo(np.int64).max).min(axis=1)  # a dimension adds at least this
-            impact = np.where(filled, hi - floor[:, None], -1)
+            floor = np.where(filled, greatest, _LARGE).min(axis=1)  # the least bound of a dimension's segments
+            impact = np.where(filled, greatest - floor[:, None], 0)
             order = np.argsort(-impact, axis=None, kind="stable")
             order = order[impact.ravel()[order] > 0]
-            # Bounds on a vector's score over the processed segments; an unprocessed dimension adds floor .. floor + open.
-            reached_hi = np.zeros(n, np.int64)
-            reached_lo = np.full(n, int(floor.sum()), np.int64)
-            open_ = np.where(filled, impact, 0).max(axis=1)  # per dimension, the greatest impact not processed yet
-            seen_in = np.zeros((dims,), np.int64)
-            alive = np.ones(n, bool)
-            alive[self.ids == own] = False
-            gap = np.zeros(n, np.int64)  # of processed dimensions: their share of what open_ still promises
-            done = np.zeros((dims, n), bool)
-            for start in range(0, len(order), STRIDE):
-                for seg in order[start : start + STRIDE].tolist():
+            read = np.cumsum((self.bounds[:, 1:] - self.bounds[:, :-1]).ravel()[order])
+            for part in PARTS:
+                now = order[: np.searchsorted(read, part * n * len(query), "right")]
+                left = impact.copy()
+                left.ravel()[now] = 0
+                open_ = left.max(axis=1)  # what a dimension can add at most where its segment was not processed
+                bound = np.full(n, int(floor.sum() + open_.sum()), np.int64)
+                for seg in now.tolist():
                     d, level = divmod(seg, LEVELS)
-                    who = self.postings[d, self.bounds[d, level] : self.bounds[d, level + 1]]
-                    reached_hi[who] += impact[d, level]
-                    reached_lo[who] += lo[d, level] - floor[d]
-                    done[d, who] = True
-                    impact[d, level] = 0
-                    seen_in[d] += 1
-                open_ = np.where(filled, impact, 0).max(axis=1)
-                gap = open_ @ ~done
-                best = reached_lo[alive]
-                kth = np.partition(best, len(best) - k)[len(best) - k]
-                alive &= reached_hi + gap + int(floor.sum()) >= kth
-                if alive.sum() <= max(k, ENOUGH * n):
+                    bound[self.postings[d, self.bounds[d, level] : self.bounds[d, level + 1]]] += impact[d, level] - open_[d]
+                # The exact scores of the most promising prove what the k-th best is at least.
+                bound[self.ids == own] = -_LARGE
+                tried = np.argpartition(-bound, min(n - 1, 8 * k))[: 8 * k]
+                tried = tried[self.ids[tried] != own]
+                kth = np.partition(self._score(tried, query), len(tried) - k)[len(tried) - k]
+                member = bound >= kth
+                if member.sum() <= ENOUGH * n:
                     break
-            take = np.nonzero(alive)[0]
-        score = self.vectors[take] @ query
+        take = np.nonzero(member)[0]
+        score = self._score(take, query)
         order = np.lexsort((self.ids[take], -score))[:k]
         return self.ids[take][order], score[order]
 
@@ -119,7 +121,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     """
     rows = quantised(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     n = rows.count()
-    shards, turns = max(1, -(-n // VECTORS)), max(1, -(-n // (every * QUERIES)))
+    queries = max(1, -(-n // every))
+    shards = max(1, -(-n // VECTORS))
+    turns = max(-(-queries // QUERIES), min(-(-queries // QUERIES_LEAST), -(-TASKS // shards)))
     block = lambda of, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(of)).cast("int")
     steps = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     left = rows.select("vec_id", "v", block(shards, 1).alias("shard"), steps(turns).alias("turn"))
