@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+_MODULES = ("symbolic", "training", "quality", "catalog", "kernels", "signal")
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame, with its SQL where there is one."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _load() -> None:
+    for m in _MODULES:
+        import_module(f"seqlake.plans.{m}")
+
 
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(ORACLES)
