@@ -16,9 +16,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.binding import let
 
+# Types as objects: no session is needed to import this module.
+SAMPLES = ArrayType(DoubleType())
+
+
+def _struct(**fields) -> StructType:
+    return StructType([StructField(k, t) for k, t in fields.items()])
+
 # ------------------------------------------------------------ frames, native
 
 
@@ -158,7 +166,7 @@ def sos_filter(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
 def bandpass(low_hz: float = 80, high_hz: float = 20000, order: int = 5, limit: float = 0.95):
     """A UDF (samples, sr) -> samples; as it is where the limits leave no band."""
 
-    @pandas_udf("array<double>")
+    @pandas_udf(SAMPLES)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for samples, sr in batches:
             out = []
@@ -197,7 +205,7 @@ def spectral_measures(x: np.ndarray, sr: int) -> tuple[float, float, float]:
     return float(flat.mean()), float(centre.mean()), float(width.mean())
 
 
-@pandas_udf("struct<flatness double, centroid double, bandwidth double>")
+@pandas_udf(_struct(flatness=DoubleType(), centroid=DoubleType(), bandwidth=DoubleType()))
 def spectral(samples: pd.Series, sr: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([spectral_measures(np.asarray(x), int(r)) for x, r in zip(samples, sr)], columns=["flatness", "centroid", "bandwidth"])
 
@@ -205,7 +213,7 @@ def spectral(samples: pd.Series, sr: pd.Series) -> pd.DataFrame:
 def band_ratio(low: float = 200, high: float = 4000, n_fft: int = 2048, hop: int = 512):
     """A UDF (samples, sr) -> share of spectral energy within the band."""
 
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def run(samples: pd.Series, sr: pd.Series) -> pd.Series:
         out = []
         for x, rate in zip(samples, sr):
@@ -217,7 +225,7 @@ def band_ratio(low: float = 200, high: float = 4000, n_fft: int = 2048, hop: int
     return run
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def spectral_convergence(original: pd.Series, copy: pd.Series) -> pd.Series:
     """Norm of the difference of magnitudes over the norm of the original's."""
     out = []
@@ -228,7 +236,7 @@ def spectral_convergence(original: pd.Series, copy: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def log_spectral_distance(original: pd.Series, copy: pd.Series) -> pd.Series:
     """Root mean square difference of magnitudes in dB, 80 dB under the peak at least."""
     def db(s: np.ndarray) -> np.ndarray:
@@ -272,7 +280,7 @@ def mfcc(x: np.ndarray, sr: int, n_mfcc: int = 13, n_mels: int = 80, n_fft: int
 def mel_cepstral_distortion(sr: int, mean_of_norms: bool = True, n_mels: int = 80):
     """A UDF (original, copy): mean norm of the frames' differences, or the root of twice their mean square."""
 
-    @pandas_udf("double")
+    @pandas_udf(DoubleType())
     def run(original: pd.Series, copy: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(original, copy):
@@ -321,7 +329,7 @@ def integrated_loudness(x: np.ndarray, sr: int) -> float:
 def loudness_normalized(target: float = -20.0):
     """A UDF (samples, sr) -> samples at the target loudness, half scale where there is none to measure, clipped."""
 
-    @pandas_udf("array<double>")
+    @pandas_udf(SAMPLES)
     def run(samples: pd.Series, sr: pd.Series) -> pd.Series:
         out = []
         for x, rate in zip(samples, sr):
@@ -412,7 +420,7 @@ def denoised(level: str = "medium"):
     """A UDF (samples, sr) -> samples: band-pass, gates, and for 'aggressive' Wiener filter and subtraction, then loudness."""
     order, low, high, limit, gates, subtract = DENOISE[level]
 
-    @pandas_udf("array<double>")
+    @pandas_udf(SAMPLES)
     def run(samples: pd.Series, sr: pd.Series) -> pd.Series:
         out = []
         for x, rate in zip(samples, sr):
@@ -438,7 +446,7 @@ def denoised(level: str = "medium"):
 def resampled(target: int):
     """A UDF (samples, sr) -> samples at the target rate: windowed sinc, 32 zero crossings to a side."""
 
-    @pandas_udf("array<double>")
+    @pandas_udf(SAMPLES)
     def run(samples: pd.Series, sr: pd.Series) -> pd.Series:
         out = []
         for x, rate in zip(samples, sr):
@@ -469,7 +477,7 @@ def resampled(target: int):
 def encoder(encode, codebooks: int):
     """An iterator UDF samples -> codes for any callable ``encode(samples) -> (codebooks, steps)``, loaded once per worker."""
 
-    @pandas_udf("array<array<int>>")
+    @pandas_udf(ArrayType(ArrayType(IntegerType())))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for samples in batches:
             yield pd.Series([[list(map(int, row)) for row in encode(np.asarray(x))[:codebooks]] for x in samples])
@@ -492,7 +500,7 @@ def residual_quantiser(codebooks: int = 4, levels: int = 1024):
     return encode
 
 
-@udtf(returnType="chunk int, start int, stop int")
+@udtf(returnType=_struct(chunk=IntegerType(), start=IntegerType(), stop=IntegerType()))
 class SegmentAtSilence:
     """Table function (samples, sr, least_s, most_s): chunks cut at the latest silence within limits."""
 
@@ -514,12 +522,12 @@ class SegmentAtSilence:
                 fit = [c for c in middle if at + least <= c <= at + most]
                 stop = max(fit) if fit else at + most
             if stop - at >= least:
-                yield k, at, stop
+                yield int(k), int(at), int(stop)
                 k += 1
             at = stop
 
 
-@pandas_udf("struct<sr int, samples array<double>>")
+@pandas_udf(_struct(sr=IntegerType(), samples=SAMPLES))
 def decode_wav(content: pd.Series) -> pd.DataFrame:
     """PCM WAV bytes to mono samples in -1..1; what is no WAV gives null samples."""
     out = []
@@ -539,7 +547,7 @@ def decode_wav(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["sr", "samples"])
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def encode_wav(samples: pd.Series, sr: pd.Series) -> pd.Series:
     """16-bit mono WAV bytes."""
     out = []
