@@ -31,11 +31,11 @@ END = 0xFF
 
 
 class LongestMatch:
-    """Trie with failure links and popped-token counts over byte strings."""
+    """Trie with failure links and popped-token counts over byte strings; ``free`` tokens count nothing."""
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, tokens: list[bytes], free: frozenset[bytes] = frozenset()):
         self.go: list[dict[int, int]] = [{}]
-        whole = [False]
+        whole, weight = [False], [0]
         for token in tokens:
             at = 0
             for b in token:
@@ -44,8 +44,10 @@ class LongestMatch:
                     to = self.go[at][b] = len(self.go)
                     self.go.append({})
                     whole.append(False)
+                    weight.append(0)
                 at = to
             whole[at] = at != 0
+            weight[at] = int(token not in free)
         n = len(self.go)
         #: -1: nothing can be taken off the front.
         self.fail, self.popped = [-1] * n, [0] * n
@@ -55,7 +57,7 @@ class LongestMatch:
             for b, at in self.go[up].items():
                 queue.append(at)
                 if whole[at]:
-                    self.fail[at], self.popped[at] = 0, 1
+                    self.fail[at], self.popped[at] = 0, weight[at]
                     continue
                 z, count = self.fail[up], self.popped[up]
                 while z >= 0 and b not in self.go[z]:
@@ -104,7 +106,8 @@ class TokenCounter:
             if token not in special:
                 ended = token.endswith(end) and token != end
                 tokens.append(bytes(shown[c] for c in (token[: -len(end)] if ended else token)) + (bytes([END]) if ended else b""))
-        self.match = LongestMatch(tokens)
+        # Where the longest match ends just before the word end, that is left over and no piece of its own.
+        self.match = LongestMatch([*tokens, bytes([END])], frozenset([bytes([END])]))
         self.known: dict[str, tuple[int, int]] = {}
 
     def chunk(self, text: str) -> tuple[int, int]:
@@ -154,7 +157,7 @@ def _run(path: str):
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens of each row: words by the vocabulary's own split, tokens by greedy longest match.
 
-    Null, empty and blank texts count nothing. Rows come out as they come in,
+    A word end that the longest match leaves over adds no token. Null, empty and blank texts count nothing. Rows come out as they come in,
     null ids and repeated rows too; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
