@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
+
 
 def window_starts(n: Column, length: int) -> Column:
     """Starts of windows of ``length`` + 1 tokens: every length // 2, then the tail once more even if it is among them."""
@@ -85,29 +87,35 @@ def examples(windows: DataFrame, length: int, pad: int = 0, column: str = "token
 
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the md5 of its parts, the same in any engine."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    return _eighth(F.md5(F.concat_ws(":", *parts)), 0)
+
+
+def _eighth(digest: Column, k: int) -> Column:
+    """The k-th eight hexadecimal digits as a number in [0, 1)."""
+    return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
 def augment(df: DataFrame, key: str, column: str, vocab_size: int, seed: int, noise: float = 0.1, mask: float = 0.05, stretch: float = 0.5, pad: int = 0, separator: int | None = None) -> DataFrame:
     """Tokens jittered by 1 or 2, replaced at random, and stretched by 0.9 to 1.1, by seeded uniforms.
 
     Padding and separators are left alone; jitter is clipped to the vocabulary.
+    One md5 per token gives its four uniforms: noise, step, mask, token.
     """
-    def u(what: str, *more: Column) -> Column:
-        return uniform(F.lit(str(seed)), F.lit(what), F.col(key).cast("string"), *more)
+    name = F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))
 
-    def one(t: Column, i: Column) -> Column:
-        place = i.cast("string")
+    def one(t: Column, h: Column) -> Column:
         real = (t > pad) & (t != separator if separator is not None else F.lit(True))
-        jitter = F.element_at(F.array(*[F.lit(x) for x in (-2, -1, 1, 2)]), (F.floor(u("step", place) * 4) + 1).cast("int"))
-        noised = F.when(real & (u("noise", place) < noise), F.greatest(F.lit(1), F.least(t + jitter, F.lit(vocab_size - 1)))).otherwise(t)
-        return F.when(real & (u("mask", place) < mask), (F.floor(u("token", place) * (vocab_size - 1)) + 1).cast("int")).otherwise(noised)
+        jitter = F.element_at(F.array(*[F.lit(x) for x in (-2, -1, 1, 2)]), (F.floor(_eighth(h, 1) * 4) + 1).cast("int"))
+        noised = F.when(real & (_eighth(h, 0) < noise), F.greatest(F.lit(1), F.least(t + jitter, F.lit(vocab_size - 1)))).otherwise(t)
+        return F.when(real & (_eighth(h, 2) < mask), (F.floor(_eighth(h, 3) * (vocab_size - 1)) + 1).cast("int")).otherwise(noised)
 
-    changed = df.withColumn("__t", F.transform(column, one))
+    named = df.withColumn("__k", name)
+    hashed = F.transform(column, lambda t, i: F.struct(t.alias("t"), F.md5(F.concat_ws(":", F.col("__k"), i.cast("string"))).alias("h")))
+    changed = named.withColumn("__t", F.transform(hashed, lambda x: one(x["t"], x["h"]))).withColumn("__h", F.md5("__k"))
     n = F.size("__t")
-    m = F.greatest(F.lit(3), F.floor(n * (0.9 + 0.2 * u("factor"))).cast("int"))
-    picked = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.element_at("__t", F.floor(i * (n - 1) / (m - 1)).cast("int") + 1))
-    return changed.withColumn(column, F.when((u("stretch") < stretch) & (n > 0), picked).otherwise(F.col("__t"))).drop("__t")
+    m = F.greatest(F.lit(3), F.floor(n * (0.9 + 0.2 * _eighth(F.col("__h"), 1))).cast("int"))
+    picked = let(m, lambda k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.element_at("__t", F.floor(i * (n - 1) / (k - 1)).cast("int") + 1)))
+    return changed.withColumn(column, F.when((_eighth(F.col("__h"), 0) < stretch) & (n > 0), picked).otherwise(F.col("__t"))).drop("__k", "__t", "__h")
 
 
 def global_rank(df: DataFrame, order: list[str], name: str, start: int = 1, bucket: Column | None = None) -> DataFrame:

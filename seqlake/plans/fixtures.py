@@ -41,8 +41,7 @@ TYPE_SQL = """CASE WHEN CodaType IS NOT NULL THEN (CASE CodaType WHEN '1+1+3' TH
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as one-dimensional token files: source, stem, dir_ordinal, tokens (1..1024)."""
     d = table(spark, sf_dir, "documents")
-    n = F.least(F.length("text"), F.lit(400))
-    tokens = F.transform(F.sequence(F.lit(1), n), lambda i: (F.ascii(F.substring("text", i, F.lit(1))) % 1024 + 1).cast("int"))
+    tokens = F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: (F.ascii(c) % 1024 + 1).cast("int"))
     return d.select("doc_id", "source", F.format_string("%s_%06d", "source", "doc_id").alias("stem"), F.lit(0).alias("dir_ordinal"), tokens.alias("tokens"))
 
 

@@ -112,13 +112,14 @@ def batches(spark, sf_dir):
     return b.groupBy("batch_id").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min("stem").alias("least_stem"))
 
 
-def _u(what: str, more: str = "") -> str:
-    return f"(('0x' || substr(md5('5:{what}:' || stem{more}), 1, 8))::BIGINT / 4294967296.0)"
+def _u(k: int, of: str = "h") -> str:
+    return f"(('0x' || substr({of}, {8 * k + 1}, 8))::BIGINT / 4294967296.0)"
 
 
-_AUG = f"""{T}, a AS (SELECT stem, list_transform(tokens, lambda t, i: CASE WHEN {_u('mask', " || ':' || (i - 1)")} < 0.05 THEN (floor({_u('token', " || ':' || (i - 1)")} * 1024) + 1)::INTEGER
-  WHEN {_u('noise', " || ':' || (i - 1)")} < 0.1 THEN greatest(1, least(t + [-2, -1, 1, 2][(floor({_u('step', " || ':' || (i - 1)")} * 4) + 1)::INTEGER], 1024)) ELSE t END) AS t FROM token_files),
-  m AS (SELECT stem, t, len(t) AS n, greatest(3, floor(len(t) * (0.9 + 0.2 * {_u('factor')}))::INTEGER) AS m, {_u('stretch')} < 0.5 AS go FROM a)"""
+_AUG = f"""{T}, h AS (SELECT stem, list_transform(tokens, lambda t, i: {{'t': t, 'h': md5('5:' || stem || ':' || (i - 1))}}) AS x, md5('5:' || stem) AS h FROM token_files),
+  a AS (SELECT stem, h, list_transform(x, lambda y: CASE WHEN {_u(2, 'y.h')} < 0.05 THEN (floor({_u(3, 'y.h')} * 1024) + 1)::INTEGER
+  WHEN {_u(0, 'y.h')} < 0.1 THEN greatest(1, least(y.t + [-2, -1, 1, 2][(floor({_u(1, 'y.h')} * 4) + 1)::INTEGER], 1024)) ELSE y.t END) AS t FROM h),
+  m AS (SELECT stem, t, len(t) AS n, greatest(3, floor(len(t) * (0.9 + 0.2 * {_u(1)}))::INTEGER) AS m, {_u(0)} < 0.5 AS go FROM a)"""
 
 
 @query("augmented_tokens", f"WITH {_AUG} SELECT stem, array_to_string(CASE WHEN go AND n > 0 THEN list_transform(range(0, m), lambda i: t[floor(i * (n - 1) / (m - 1))::INTEGER + 1]) ELSE t END, ' ') AS tokens FROM m")
