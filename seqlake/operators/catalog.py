@@ -77,8 +77,10 @@ def remaining(files: DataFrame, done: DataFrame, key: str = "name") -> DataFrame
     return files.join(done.select(key).distinct(), key, "left_anti")
 
 
-def plan_grid(left: DataFrame, right: DataFrame, missing: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Every pair of two small dimension tables, without the combinations in ``missing``."""
+def plan_grid(left: DataFrame, right: DataFrame, missing: DataFrame | None = None, keys: list[str] | None = None, most: int = 10_000) -> DataFrame:
+    """Every pair with a dimension table of at most ``most`` rows, without the combinations in ``missing``."""
+    if right.limit(most + 1).count() > most:
+        raise ValueError(f"a grid's right side is a dimension table of at most {most} rows")
     grid = left.join(F.broadcast(right))
     return grid.join(missing, keys, "left_anti") if missing is not None else grid
 
