@@ -257,7 +257,7 @@ def _scan(length: int, buckets: int):
         for batch in batches:
             docs, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = text_bytes(batch.column(2))
-            for lo, hi in chunks(offsets, 1 << 24):
+            for lo, hi in chunks(offsets, 1 << 23):
                 parts = [records_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], docs[i:j], keys[i:j], length) for i, j in ((lo + x, lo + y) for x, y in chunks(offsets[lo : hi + 1] - offsets[lo]))]
                 first, late = _repeats(_by_record(np.concatenate(parts)))
                 rows = list(_pack(_spread(late, buckets), late, REPEAT, 1 << 16))
@@ -319,21 +319,21 @@ def _cut_out(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(4))
-            for lo in range(0, len(batch), 512):
-                hi = min(len(batch), lo + 512)
-                bodies, tables, digests = [], [], []
+            for lo, hi in chunks(offsets, 1 << 21):
+                bodies, tables = [], []
                 for i in range(lo, hi):
-                    r = _rows(batch.column(3)[i].as_py())
+                    r = np.concatenate([_rows(x.as_py()) for x in batch.column(3)[i].values])
                     text = data[offsets[i] : offsets[i + 1]]
-                    if batch.column(2)[i].as_py() == SPLIT:
+                    split = batch.column(2)[i].as_py() == SPLIT
+                    if split:
                         at = gather(r["at"].astype(np.int64), r["count"].astype(np.int64) + 1)
                         one = np.zeros(len(at), RECORD)
                         one["doc"], one["key"], one["at"] = r["doc"][0], r["key"][0], at
                         r = one
                     size = r["count"].astype(np.int64) + length
                     body = text[gather(r["at"].astype(np.int64), size)]
-                    at = np.concatenate([[0], np.cumsum(size)])
-                    if batch.column(2)[i].as_py() == SPLIT:
+                    if split:
+                        at = np.concatenate([[0], np.cumsum(size)])
                         sums = np.zeros(len(body) + 1, U64)
                         np.cumsum(BYTE_CODE[body] * powers(BASE, len(body)), out=sums[1:])
                         r["gram"] = mix((sums[at[1:]] - sums[at[:-1]]) * powers(BASE_INVERSE, len(sums))[at[:-1]])
@@ -367,8 +367,9 @@ def _sort_bucket(length: int, buckets: int):
             text = np.concatenate([*(np.frombuffer(x, np.uint8) for x in open_["body"]), np.zeros(8, np.uint8)])
             base = np.concatenate([[0], np.cumsum(r["count"].astype(np.int64) + length)])[:-1]
             count = r["count"].astype(np.int64) + 1
+            del open_, group
             # Parts of the bucket by k-gram bound the arrays that are sorted at once.
-            part = (r["gram"] >> U64(40)).astype(np.int64) % max(1, int(count.sum()) >> 20)
+            part = (r["gram"] >> U64(40)).astype(np.int64) % max(1, int(count.sum()) >> 19)
             for q in np.unique(part):
                 use = np.nonzero(part == q)[0]
                 window = gather(base[use], count[use])
@@ -464,9 +465,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     met = cut(scanned.groupBy("bucket").applyInPandas(_meet(buckets), _PACKED), "met")
     places = "doc_id long, row_key long, kind int, records binary"
     asked = met.mapInArrow(_by_document((OPEN, SPLIT)), places).groupBy("doc_id", "row_key", "kind").agg(F.collect_list("records").alias("parts"))
-    asked = asked.select("doc_id", "row_key", "kind", "parts")
     one = long.dropDuplicates(["doc_id", "row_key"])
-    opened = asked.join(one, ["doc_id", "row_key"]).select("doc_id", "row_key", "kind", F.explode("parts").alias("records"), "text")
+    opened = asked.join(one, ["doc_id", "row_key"]).select("doc_id", "row_key", "kind", "parts", "text")
     sorted_ = opened.mapInArrow(_cut_out(length, buckets), _PACKED).groupBy("bucket").applyInPandas(_sort_bucket(length, buckets), _PACKED)
     sorted_ = cut(sorted_, "sorted")
     gone = met.unionAll(sorted_).mapInArrow(_by_document((REPEAT,)), places).groupBy("doc_id", "row_key").agg(F.collect_list("records").alias("marks"))
