@@ -485,6 +485,12 @@ def encoder(encode, codebooks: int):
     return run
 
 
+def trimmed(codes: Column, n_samples: Column, hop: int) -> Column:
+    """Codes of the real samples of a padded batch: n // hop steps, null for two or fewer."""
+    steps = F.floor(n_samples / hop).cast("int")
+    return F.when(steps > 2, F.transform(codes, lambda book: F.slice(book, F.lit(1), steps)))
+
+
 def residual_quantiser(codebooks: int = 4, levels: int = 1024):
     """A stand-in for a neural codec: each codebook quantises what the ones before left, codes 1..levels."""
 

@@ -19,6 +19,12 @@ def graded(clips: DataFrame, sr: int = 8000) -> DataFrame:
     return m.select("source", "file", "segment_idx", "duration_s", F.col("m.flatness").alias("spectral_flatness"), F.col("m.centroid").alias("spectral_centroid"), F.col("m.bandwidth").alias("spectral_bandwidth"), "rms_energy", "peak_to_rms", "energy_variance", score.alias("quality_score"), Q.grade(score).alias("grade"))
 
 
+def prepared(clips: DataFrame, seconds: float, low: float = 80, high: float = 20000) -> DataFrame:
+    """``clips`` (samples, sr) cut to ``seconds``, band-passed, with the peak at 0.9."""
+    cut = clips.withColumn("samples", F.slice("samples", F.lit(1), F.greatest((F.col("sr") * seconds).cast("int"), F.lit(1))))
+    return cut.withColumn("samples", signal.bandpass(low, high)("samples", "sr")).withColumn("samples", Q.peak_normalised(F.col("samples")))
+
+
 def tokenised(clips: DataFrame, encode, codebooks: int, allowed: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
     """source, name, tokens: clips that ``allowed`` names, encoded and interleaved.
 

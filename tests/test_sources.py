@@ -98,6 +98,14 @@ def test_pipelines(spark):
     assert all(len(r["tokens"]) == 400 and max(r["tokens"]) <= 2048 for r in t.collect())
 
 
+def test_prepared_and_trimmed(spark):
+    clips = spark.createDataFrame([([0.1 * (k % 5 - 2) for k in range(300)], 100)], "samples array<double>, sr int")
+    x = pipelines.prepared(clips, 2.0, 5, 40).first()["samples"]
+    assert len(x) == 200 and abs(max(map(abs, x)) - 0.9) < 1e-9
+    c = spark.createDataFrame([([[1, 2, 3, 4], [5, 6, 7, 8]], 31), ([[1, 2, 3, 4]], 29)], "c array<array<int>>, n int").select(P.trimmed(F.col("c"), F.col("n"), 10).alias("t"))
+    assert [r["t"] for r in c.collect()] == [[[1, 2, 3], [5, 6, 7]], None]
+
+
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"a": {"b": 1}}')
     assert readers.config(str(tmp_path / "c.json")) == {"a": {"b": 1}}
