@@ -25,11 +25,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cut import cut
-from .text_arrays import BASE, BASE_INVERSE, BYTE_CODE, U64, chunks, gather, mix, powers, text_bytes
+from .text_arrays import BASE, BASE_INVERSE, BYTE_CODE, U64, chunks, gather, mix, powers, prefix_sums, span_hash, text_bytes
 
 KGRAM = 32
 SHALLOW = 32
@@ -294,8 +295,13 @@ def _meet(buckets: int):
     return run
 
 
-def _by_document(wanted: tuple[int, ...]):
-    """One row for each document and packed row: doc_id, row_key, kind and the records' places."""
+#: What goes back to a document: a record without its document, and a covered run of windows.
+PLACE = np.dtype([("at", "<i4"), ("before", "u1"), ("count", "u1"), ("gram", "<u8"), ("digest", "<u8")])
+RUN = np.dtype([("at", "<i4"), ("count", "u1")])
+
+
+def _by_document(wanted: tuple[int, ...], kept: np.dtype):
+    """One row for each document and packed row: doc_id, row_key, kind and the records' fields in ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,52 +311,59 @@ def _by_document(wanted: tuple[int, ...]):
                 r = _rows(packed.as_py())
                 r = r[np.lexsort((r["key"], r["doc"]))]
                 edge = np.append(np.nonzero(~_same(r, "doc", "key"))[0], len(r))
+                slim = np.empty(len(r), kept)
+                for name in kept.names:
+                    slim[name] = r[name]
+                parts = pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * kept.itemsize).astype(np.int32).tobytes()), pa.py_buffer(slim.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc"][edge[:-1]]), pa.array(r["key"][edge[:-1]]), pa.array(np.full(len(edge) - 1, kind, np.int32)), pa.array([_columns(r[i:j]) for i, j in zip(edge[:-1], edge[1:])], pa.binary())],
+                    [pa.array(r["doc"][edge[:-1]]), pa.array(r["key"][edge[:-1]]), pa.array(np.full(len(edge) - 1, kind, np.int32)), parts],
                     names=["doc_id", "row_key", "kind", "records"],
                 )
 
     return run
 
 
+def _gathered(lists: pa.ListArray, kept: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All records in a column of lists of packed ones, and the row each belongs to; a null list has none."""
+    sizes = np.diff(text_bytes(lists.flatten())[1])
+    data = np.frombuffer(text_bytes(lists.flatten())[0].tobytes(), kept)
+    per_list = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(per_list)])]
+    return data, np.repeat(np.arange(len(lists)), np.diff(ends) // kept.itemsize)
+
+
 def _cut_out(length: int, buckets: int):
     """The bytes under each open record, packed by bucket of k-gram; records to be split as single windows by their own bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            docs, keys, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             data, offsets = text_bytes(batch.column(4))
             for lo, hi in chunks(offsets, 1 << 21):
-                bodies, tables = [], []
-                for i in range(lo, hi):
-                    r = np.concatenate([_rows(x.as_py()) for x in batch.column(3)[i].values])
-                    text = data[offsets[i] : offsets[i + 1]]
-                    split = batch.column(2)[i].as_py() == SPLIT
-                    if split:
-                        at = gather(r["at"].astype(np.int64), r["count"].astype(np.int64) + 1)
-                        one = np.zeros(len(at), RECORD)
-                        one["doc"], one["key"], one["at"] = r["doc"][0], r["key"][0], at
-                        r = one
-                    size = r["count"].astype(np.int64) + length
-                    body = text[gather(r["at"].astype(np.int64), size)]
-                    if split:
-                        at = np.concatenate([[0], np.cumsum(size)])
-                        sums = np.zeros(len(body) + 1, U64)
-                        np.cumsum(BYTE_CODE[body] * powers(BASE, len(body)), out=sums[1:])
-                        r["gram"] = mix((sums[at[1:]] - sums[at[:-1]]) * powers(BASE_INVERSE, len(sums))[at[:-1]])
-                        r["digest"] = r["gram"]
-                    tables.append(r)
-                    bodies.append(body)
-                r = np.concatenate(tables)
-                body = np.concatenate(bodies)
-                at = np.concatenate([[0], np.cumsum(r["count"].astype(np.int64) + length)])
+                text, start = data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo]
+                found, owner = _gathered(batch.column(3).slice(lo, hi - lo), PLACE)
+                split = kinds[lo:hi][owner] == SPLIT
+                each = found["count"][split].astype(np.int64) + 1
+                r = np.zeros(int((~split).sum() + each.sum()), RECORD)
+                whole = len(found) - int(split.sum())
+                for name in PLACE.names:
+                    r[name][:whole] = found[name][~split]
+                r["at"][whole:] = gather(found["at"][split].astype(np.int64), each)
+                owner = np.concatenate([owner[~split], np.repeat(owner[split], each)])
+                r["doc"], r["key"] = docs[lo:hi][owner], keys[lo:hi][owner]
+                first = start[owner] + r["at"]
+                size = r["count"].astype(np.int64) + length
+                if split.any():
+                    r["gram"][whole:] = span_hash(prefix_sums(text), first[whole:], first[whole:] + length)
+                    r["digest"][whole:] = r["gram"][whole:]
                 # Equal ones of one batch stand behind their first here too.
                 order = np.lexsort((r["at"], r["key"], r["doc"], r["digest"], r["gram"]))
-                first, late = _repeats(r[order])
+                ahead, late = _repeats(r[order])
                 pick = order[~_same(r[order], "gram", "digest")]
-                starts, lens = at[:-1][pick], np.diff(at)[pick]
-                body = body[gather(starts, lens)]
+                lens = size[pick]
+                body = text[gather(first[pick], lens)]
                 rows = list(_pack(_spread(late, buckets), late, REPEAT, 1 << 16))
-                rows += _pack((first["gram"] % U64(buckets)).astype(np.int64), first, OPEN, 1 << 14, (body, np.concatenate([[0], np.cumsum(lens)])))
+                rows += _pack((ahead["gram"] % U64(buckets)).astype(np.int64), ahead, OPEN, 1 << 14, (body, np.concatenate([[0], np.cumsum(lens)])))
                 yield pa.RecordBatch.from_pandas(_table(rows), schema=pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("records", pa.binary()), ("body", pa.binary())]), preserve_index=False)
 
     return run
@@ -415,30 +428,27 @@ def _remaining(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
-            for i, marks in enumerate(batch.column(2)):
-                text = data[offsets[i] : offsets[i + 1]]
-                spans = 0
-                if marks.is_valid and len(marks.values):
-                    r = np.concatenate([_rows(x.as_py()) for x in marks.values])
-                    cover = np.zeros(len(text) + 1, np.int32)
-                    np.add.at(cover, r["at"], 1)
-                    np.add.at(cover, r["at"].astype(np.int64) + r["count"] + length, -1)
-                    gone = np.cumsum(cover)[:-1] > 0
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-                    left = text[~gone].tobytes()
-                else:
-                    left = text.tobytes()
-                n_bytes.append(len(text))
-                n_removed.append(len(text) - len(left))
-                n_spans.append(spans)
-                digest.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "ignore") if with_text else None)
-            columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                columns, names = [*columns, batch.column(3), pa.array(kept, pa.string())], [*names, "row_key", "kept_text"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for lo, hi in chunks(offsets, 1 << 21):
+                text, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                runs, owner = _gathered(batch.column(2).slice(lo, hi - lo), RUN)
+                first = at[owner] + runs["at"]
+                cover = np.bincount(first, minlength=len(text) + 1) - np.bincount(first + runs["count"] + length, minlength=len(text) + 1)
+                gone = np.cumsum(cover)[:-1] > 0
+                begins = gone.copy()
+                begins[1:] &= ~gone[:-1]
+                heads = at[:-1][at[:-1] < len(text)]
+                begins[heads] = gone[heads]
+                removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[at])
+                spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[at])
+                left = text[~gone].tobytes()
+                cut = np.concatenate([[0], np.cumsum(np.diff(at) - removed)])
+                kept = [left[i:j] for i, j in zip(cut[:-1], cut[1:])]
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                if with_text:
+                    columns += [batch.column(3).slice(lo, hi - lo), pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())]
+                    names += ["row_key", "kept_text"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -464,12 +474,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     scanned = long.mapInArrow(_scan(length, buckets), _PACKED)
     met = cut(scanned.groupBy("bucket").applyInPandas(_meet(buckets), _PACKED), "met")
     places = "doc_id long, row_key long, kind int, records binary"
-    asked = met.mapInArrow(_by_document((OPEN, SPLIT)), places).groupBy("doc_id", "row_key", "kind").agg(F.collect_list("records").alias("parts"))
+    asked = met.mapInArrow(_by_document((OPEN, SPLIT), PLACE), places).groupBy("doc_id", "row_key", "kind").agg(F.collect_list("records").alias("parts"))
     one = long.dropDuplicates(["doc_id", "row_key"])
     opened = asked.join(one, ["doc_id", "row_key"]).select("doc_id", "row_key", "kind", "parts", "text")
     sorted_ = opened.mapInArrow(_cut_out(length, buckets), _PACKED).groupBy("bucket").applyInPandas(_sort_bucket(length, buckets), _PACKED)
     sorted_ = cut(sorted_, "sorted")
-    gone = met.unionAll(sorted_).mapInArrow(_by_document((REPEAT,)), places).groupBy("doc_id", "row_key").agg(F.collect_list("records").alias("marks"))
+    gone = met.unionAll(sorted_).mapInArrow(_by_document((REPEAT,), RUN), places).groupBy("doc_id", "row_key").agg(F.collect_list("records").alias("marks"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", row_key long, kept_text string" if with_text else "")
     return texts.join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "marks", "row_key").mapInArrow(_remaining(length, with_text), out)
 

@@ -70,7 +70,7 @@ def test_crowded_grams_are_split_into_windows(spark, monkeypatch):
     packed = pd.concat([b.to_pandas() for b in suffix_dedup._scan(100, 16)(iter([pa.RecordBatch.from_pandas(texts[:40]), pa.RecordBatch.from_pandas(texts[40:])]))])
     assert (packed["kind"] == suffix_dedup.SPLIT).any() and (packed["kind"] == suffix_dedup.MARK).any()
     met = pd.concat([suffix_dedup._meet(16)(g) for _, g in packed.groupby("bucket")])
-    asked = pd.concat([b.to_pandas() for b in suffix_dedup._by_document((suffix_dedup.OPEN, suffix_dedup.SPLIT))(iter([pa.RecordBatch.from_pandas(met[["bucket", "kind", "records"]].reset_index(drop=True))]))])
+    asked = pd.concat([b.to_pandas() for b in suffix_dedup._by_document((suffix_dedup.OPEN, suffix_dedup.SPLIT), suffix_dedup.PLACE)(iter([pa.RecordBatch.from_pandas(met[["bucket", "kind", "records"]].reset_index(drop=True))]))])
     asked = asked.groupby(["doc_id", "row_key", "kind"])["records"].agg(list).reset_index()
     opened = asked.merge(texts, on=["doc_id", "row_key"])[["doc_id", "row_key", "kind", "records", "text"]]
     cut = pd.concat([b.to_pandas() for b in suffix_dedup._cut_out(100, 16)(iter([pa.RecordBatch.from_pandas(opened)]))])
