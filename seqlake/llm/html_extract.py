@@ -150,21 +150,18 @@ def parse(page: str) -> Node:
 
 
 def _nodes(root: Node) -> list[Node]:
-    """All nodes, parents first."""
+    """All nodes that may hold article text, parents first; noise counts for nothing, nor does what lies in it."""
     out, todo = [], [root]
     while todo:
         n = todo.pop()
         out.append(n)
-        todo += [p for p in reversed(n.parts) if type(p) is not str]
+        todo += [p for p in reversed(n.parts) if type(p) is not str and not p.noise]
     return out
 
 
 def _measure(nodes: list[Node], body: Node) -> None:
     """Characters, tags and link shares below each node, then composite densities and their sums over children."""
     for n in reversed(nodes):
-        if n.noise:
-            n.parts = []  # counts for nothing and is not read
-            continue
         n.chars += sum(len(_SPACE.sub("", p)) for p in n.parts if type(p) is str)
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.tags + 1

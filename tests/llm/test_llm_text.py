@@ -256,6 +256,14 @@ def test_main_text(spark):
     assert html_extract.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_beside_larger_noise():
+    """Comments, sidebars and footers that outweigh the article."""
+    text = "Article words. " * 14
+    other = "Other people say things. " * 13
+    for noise in (f"<div id='comments'><p>{other}</p><p>{other}</p></div>", f"<div class=sidebar><ul><li>{other}<li>{other}</ul></div>", f"<footer><div><p>{other}</p><p>{other}</p></div></footer>"):
+        assert html_extract.main_text(f"<body><article><p>{text}</p></article>{noise}</body>") == text.strip()
+
+
 # --------------------------------------------------------------------- search
 
 
