@@ -2,8 +2,8 @@
 
 A page becomes a tree. Each node's composite density weighs its characters per
 tag against the characters and tags of its links; the node whose children's
-densities sum highest, taken level by level down from the body while they stay
-over the least density on the path from the body, holds the article.
+densities sum highest holds the article. The least density on the path from it
+to the body is what blocks beside that path must reach to be read too.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ NOISE_WORDS = frozenset(
     "comment comments commentlist disqus respond replies reply disclaimer legal copyright".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar form status".split())
+#: Elements that are parts of a text: the block around them is the text.
+TEXT_PARTS = INLINE | frozenset("p li dt dd ul ol dl h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure figcaption address tr tbody thead tfoot table caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ALIKE = {"li": ("li", ("ul", "ol", "menu")), "option": ("option", ("select",)), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -159,8 +162,17 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
-def _measure(nodes: list[Node], body: Node) -> None:
-    """Characters, tags and link shares below each node, then composite densities and their sums over children."""
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, page_ratio: float) -> float:
+    c, t, lc, lt = chars, max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(c * link_chars / max(c - link_chars, 1) + page_ratio * c + math.e)
+    return c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1 else c / t
+
+
+def _measure(nodes: list[Node], body: Node) -> float:
+    """Characters, tags and link shares below each node, then composite densities and their sums over children.
+
+    Returns the body's share of characters in links.
+    """
     for n in reversed(nodes):
         n.chars += sum(len(_SPACE.sub("", p)) for p in n.parts if type(p) is str)
         if n.tag == "a":
@@ -173,35 +185,82 @@ def _measure(nodes: list[Node], body: Node) -> None:
     page_ratio = body.link_chars / max(body.chars, 1)
     for n in reversed(nodes):
         if n.chars:
-            c, t, lc, lt = n.chars, max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
-            base = math.log(c * n.link_chars / max(c - n.link_chars, 1) + page_ratio * c + math.e)
-            n.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1 else c / t
+            n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags, page_ratio)
         if n.up is not None:
             n.up.total += n.density
     for n in reversed(nodes):
         n.top = max([n.total, *(p.top for p in n.parts if type(p) is not str)])
+    return page_ratio
+
+
+def _keep(node: Node, below: Node | None, threshold: float, page_ratio: float, whole: bool) -> None:
+    """Leaves in ``node`` its part on the path, ``below``, and what beside it is dense enough.
+
+    Text and inline elements between two blocks are judged together. Of a
+    ``whole`` text only thin blocks that are mostly links go. Elsewhere a
+    heading stays before what stays, an h1 that is no link always.
+    """
+    units: list[list] = []
+    loose = False
+    for p in node.parts:
+        flows = type(p) is str or p.tag in INLINE and p is not below
+        if flows and loose:
+            units[-1].append(p)
+        else:
+            units.append([p])
+        loose = flows
+    kept: list = []
+    follows = False  # whether the next block that isn't a heading stays
+    for unit in reversed(units):
+        first = unit[0]
+        inner = [p for p in unit if type(p) is not str and not p.noise]
+        chars = sum(len(_SPACE.sub("", p)) for p in unit if type(p) is str) + sum(p.chars for p in inner)
+        if first is below or type(first) is not str and first.tag == "body":
+            stays = follows = True
+        elif not chars:
+            stays = True
+        else:
+            link_chars = sum(p.link_chars for p in inner)
+            stays = _density(chars, sum(p.tags + 1 for p in inner) if len(unit) > 1 or not inner else first.tags, link_chars, sum(p.link_tags for p in inner), page_ratio) >= threshold
+            flows = type(first) is str or first.tag in INLINE
+            if whole:
+                stays = stays or flows or 2 * link_chars <= chars
+            elif not flows and first.tag in HEADINGS:
+                stays = follows or first.tag == "h1" and 2 * link_chars <= chars
+                kept.append(unit if stays else [])
+                continue
+            follows = stays
+        kept.append(unit if stays else [])
+    node.parts = [p for unit in reversed(kept) for p in unit]
 
 
 def main_node(root: Node) -> Node:
-    """The node whose children's densities sum highest, widened to its ancestors that are as dense as the path demands."""
+    """The body, or the root, with only the node whose children's densities sum highest and the blocks beside its path that are as dense as the path."""
     nodes = _nodes(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    _measure(nodes, body)
+    page_ratio = _measure(nodes, body)
     best = max(nodes, key=lambda n: n.total)
     if best.total <= 0:
         return body if body.chars else root
-    path, n = [], best
-    while n is not None and n is not body:
-        path.append(n)
-        n = n.up
-    # An article split over sections: the widest ancestor below the body that holds at least as dense text counts whole.
-    threshold = min(x.density for x in [*path, body])
-    out = best
-    for up in path[1:]:
-        if up.density >= threshold and up.tag in ("article", "main", "section", "div", "td"):
-            out = up
-    rest = (body.chars if n is body else root.chars) - out.chars
-    return out if rest == 0 or out.density >= threshold and rest <= 0.5 * out.chars else body if body.chars else root
+    if best is root and body.chars == root.chars:
+        best = body
+    top, threshold = best, best.density
+    while top is not body and top.up is not None:
+        top = top.up
+        threshold = min(threshold, top.density)
+    while best is not top and best.tag in TEXT_PARTS:
+        best = best.up
+    if best is top:
+        _keep(top, None, threshold, page_ratio, True)
+        return top
+    path = [best]
+    while path[-1] is not top:
+        path.append(path[-1].up)
+    # What an article or main element holds is its text, so that an article split over sections stays whole.
+    whole = max((i for i, n in enumerate(path) if n.tag in ("article", "main")), default=-1)
+    for i in range(1, len(path)):
+        _keep(path[i], path[i - 1], threshold, page_ratio, i <= whole)
+    return top
 
 
 def _blocks(node: Node) -> Iterator[str]:

@@ -264,6 +264,23 @@ def test_main_text_beside_larger_noise():
         assert html_extract.main_text(f"<body><article><p>{text}</p></article>{noise}</body>") == text.strip()
 
 
+def test_main_text_among_blocks_without_telling_names():
+    """Menus, link lists and promotion under neutral class names go, however large; dense blocks beside the path stay."""
+    text = "Article words that make up a long sentence of the story. " * 5
+    links = "".join(f"<li><a href=/{i}>Some other page {i}</a></li>" for i in range(60))
+    offers = "".join(f"<div><span>Buy</span> <b>{i}</b> <i>now</i></div>" for i in range(60))
+    article = f"<p>{text}</p><p>Second. {text}</p>"
+    want = f"{text.strip()} Second. {text.strip()}"
+    body = lambda x: html_extract.main_text(f"<html><body>{x}</body></html>")
+    assert body(f"<div class=wrap><div class=c1><ul>{links}</ul></div><div class=c2>{article}</div></div>") == want
+    assert body(f"<div class=wrap><div class=c1>{offers}</div><div class=c2>{article}</div></div>") == want
+    assert body(f"<div class=c1><ul>{links}</ul></div><div class=c2><h1>Title</h1><div class=c3>{article}</div></div>") == f"Title {want}"
+    assert body(f"<div class=w><h3>More</h3><ul>{links}</ul><div class=c2>{article}</div></div>") == want
+    assert body(f"<main><div class=c1><ul>{links}</ul></div><div class=c2>{article}</div><div class=c3><p>The end.</p></div></main>") == f"{want} The end."
+    assert body(f"<div class=w><div class=c2>{article}{article}</div><div class=c1>{offers}</div><div class=c3><p>Third. {text}</p></div></div>") == f"{want} {want} Third. {text.strip()}"
+    assert body(f"<div class=c1><ul>{links}</ul></div>{article}") == want
+
+
 # --------------------------------------------------------------------- search
 
 
