@@ -249,6 +249,31 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _cut(batch: pa.RecordBatch, coverage: float, find) -> Iterator[pa.RecordBatch]:
+    """The batch without the spans that ``find(first row, row after the last, word hashes, text numbers)`` gives by text number."""
+    at = batch.schema.get_field_index("text")
+    data, offsets = text_bytes(batch.column(at))
+    for i, j in chunks(offsets):
+        base = offsets[i]
+        h, doc, starts, ends = hashed_words(data[base : offsets[j]], offsets[i : j + 1] - base)
+        found = find(i, j, h, doc)
+        count = np.bincount(doc, minlength=j - i)
+        first = np.cumsum(count) - count
+        texts = batch.column(at).slice(i, j - i).to_pylist()
+        keep = np.ones(j - i, bool)
+        for k, spans in found.items():
+            keep[k] = sum(e - s for s, e in spans) <= coverage * count[k]
+            raw, out, done = data[offsets[i + k] : offsets[i + k + 1]].tobytes(), [], 0
+            shift = int(offsets[i + k] - base)
+            for s, e in spans:
+                out.append(raw[done : int(starts[first[k] + s]) - shift])
+                done = int(ends[first[k] + e - 1]) - shift
+            texts[k] = b"".join([*out, raw[done:]]).decode("utf-8", "replace")
+        columns = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns)]
+        columns[at] = pa.array(texts, pa.string())
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
+
+
 def _strip(items: list[tuple[int, str | None]], window: int, coverage: float):
     kept: list[Index] = []
 
@@ -256,27 +281,19 @@ def _strip(items: list[tuple[int, str | None]], window: int, coverage: float):
         if not kept:
             kept.append(Index(items, window))
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            data, offsets = text_bytes(batch.column(at))
-            for i, j in chunks(offsets):
-                base = offsets[i]
-                h, doc, starts, ends = hashed_words(data[base : offsets[j]], offsets[i : j + 1] - base)
-                found = kept[0].hits(h, doc)
-                count = np.bincount(doc, minlength=j - i)
-                first = np.cumsum(count) - count
-                texts = batch.column(at).slice(i, j - i).to_pylist()
-                keep = np.ones(j - i, bool)
-                for k, (spans, _) in found.items():
-                    keep[k] = sum(e - s for s, e in spans) <= coverage * count[k]
-                    raw, out, done = data[offsets[i + k] : offsets[i + k + 1]].tobytes(), [], 0
-                    shift = int(offsets[i + k] - base)
-                    for s, e in spans:
-                        out.append(raw[done : int(starts[first[k] + s]) - shift])
-                        done = int(ends[first[k] + e - 1]) - shift
-                    texts[k] = b"".join([*out, raw[done:]]).decode("utf-8", "replace")
-                columns = [batch.column(c).slice(i, j - i) for c in range(batch.num_columns)]
-                columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
+            yield from _cut(batch, coverage, lambda i, j, h, doc: {k: spans for k, (spans, _) in kept[0].hits(h, doc).items()})
+
+    return run
+
+
+def _strip_known(coverage: float):
+    """Cuts the spans in the last column, which goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last = batch.column(batch.num_columns - 1)
+            known = lambda i, j, h, doc: {k: [(s["lo"], s["hi"]) for s in spans] for k, spans in enumerate(last.slice(i, j - i).to_pylist()) if spans}  # noqa: B023, E731
+            yield from _cut(batch.select(batch.schema.names[:-1]), coverage, known)
 
     return run
 
@@ -285,16 +302,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     """``docs``, all columns, without the spans of ``contamination`` in ``text``.
 
     Documents with more than ``coverage`` of their words hit go whole. n_chars,
-    if there, is counted anew where text went. Items beyond AUTOMATON_BYTES are
-    taken part by part, each judged on what the parts before left.
+    if there, is counted anew where text went. For items beyond AUTOMATON_BYTES
+    the spans of all parts are found in the unchanged texts and joined first.
     """
     sized = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = sized.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    parts = max(1, -(-total // AUTOMATON_BYTES))
-    out = docs
-    for k in range(parts):
-        rows = [(r[0], r[1]) for r in sized.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]
-        out = out.mapInArrow(_strip(rows, window, coverage), docs.schema)
+    if total <= AUTOMATON_BYTES:
+        rows = [(r[0], r[1]) for r in sized.collect()]
+        out = docs.mapInArrow(_strip(rows, window, coverage), docs.schema)
+    else:
+        # Spans depend on the text alone, so repeated rows share them.
+        hit = contamination(docs, benchmark, window, with_key=True).where(F.size("spans") > 0).groupBy("doc_id", "row_key").agg(F.first("spans").alias("__spans"))
+        hit = hit.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), "__spans")
+        met = docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__id"]) & (F.xxhash64(docs["text"].cast("string")) == hit["__row"]), "left")
+        out = met.select(*[docs[c] for c in docs.columns], "__spans").mapInArrow(_strip_known(coverage), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out

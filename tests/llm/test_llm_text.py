@@ -62,6 +62,45 @@ def test_decontaminate_removes_spans_and_mostly_hit_documents(spark):
     assert decontaminate.contamination_report(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def brute_left(text, items, window, coverage=0.5):
+    """The text without its hit words and what stands between neighbours of them; None if it goes."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    at, hit = list(re.finditer(word, low(text))), set()
+    w = [m[0] for m in at]
+    for _, t in items:
+        x = re.findall(word, low(t))
+        for g in [x] if 0 < len(x) < window else [x[k : k + window] for k in range(len(x) - window + 1)]:
+            hit |= {q for p in range(len(w) - len(g) + 1) if w[p : p + len(g)] == g for q in range(p, p + len(g))}
+    if len(hit) > coverage * len(w):
+        return None
+    out, done = "", 0
+    for p in sorted(hit):
+        if p - 1 not in hit:
+            out += text[done : at[p].start()]
+        done = at[p].end()
+    return out + (text or "")[done:]
+
+
+@pytest.mark.parametrize("limit", [None, 60])
+def test_decontaminate_is_the_same_with_any_number_of_automata(spark, monkeypatch, limit):
+    if limit:
+        monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", limit)
+    r = random.Random(5)
+    v = [f"{c}{n}" for c in "abcdé" for n in range(12)]
+    passage = [r.choice(v) for _ in range(600)]
+    cut = lambda n: " ".join(passage[(k := r.randrange(590)) : k + n])
+    items = [(i, cut(r.choice([4, 6, 9, 14]))) for i in range(40)]
+    docs = [" ".join([cut(r.randint(1, 40)), " ".join(r.choice(v) for _ in range(r.randint(0, 30))), cut(r.randint(1, 20))]) for _ in range(60)] + ["", "A1, b2"]
+    rows = [(i, t, len(t)) for i, t in enumerate(docs)] + [(3, docs[3], len(docs[3])), (3, docs[4], len(docs[4])), (None, docs[5], len(docs[5]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(x) for x in decontaminate.decontaminate(df, bench, 4).collect()]
+    want = [(i, left, len(left)) for i, t, _ in rows if (left := brute_left(t, items, 4)) is not None]
+    key = lambda x: (x[0] is None, x)
+    assert 0 < sum(len(x[1]) for x in want) < sum(x[2] for x in rows) and sorted(got, key=key) == sorted(want, key=key)
+
+
 # -------------------------------------------------------------------- packing
 
 
