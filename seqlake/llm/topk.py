@@ -115,16 +115,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
 
     Queries meet the vectors in blocks of bounded size on both sides. Vectors
     that are null, empty or hold a null or non-finite component take no part;
-    vectors of different lengths don't meet. Of rows with the same vec_id one
-    takes part (the least vector), so repeated rows change nothing. Other
-    columns are ignored.
+    vectors of different lengths don't meet. Rows that repeat both vec_id and
+    vector change nothing; different vectors of one vec_id all take part, as
+    candidates and as queries, whose best are ranked together. Other columns
+    are ignored.
     """
-    rows = quantised(vectors, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = rows.count()
-    queries = max(1, -(-n // every))
+    rows = quantised(vectors, scale).distinct()
+    n, queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     shards = max(1, -(-n // VECTORS))
-    turns = max(-(-queries // QUERIES), min(-(-queries // QUERIES_LEAST), -(-TASKS // shards)))
-    block = lambda of, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(of)).cast("int")
+    turns = max(1, -(-queries // QUERIES), min(-(-queries // QUERIES_LEAST), -(-TASKS // shards)))
+    block = lambda of, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(of)).cast("int")
     steps = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     left = rows.select("vec_id", "v", block(shards, 1).alias("shard"), steps(turns).alias("turn"))
     right = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", block(turns, 2).alias("turn"), steps(shards).alias("shard"))

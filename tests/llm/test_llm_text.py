@@ -343,3 +343,19 @@ def test_top_k_is_exact(spark, monkeypatch):
         want[q] = [(k + 1, j, -x) for k, (x, j) in enumerate(best)]
     assert {q: sorted(x) for q, x in got.items()} == want
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_takes_all_vectors_of_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(topk, "VECTORS", 50)
+    monkeypatch.setattr(topk, "QUERIES_LEAST", 3)
+    rng = np.random.default_rng(8)
+    v = rng.integers(-9, 10, (120, 4))
+    ids = [int(i) for i in rng.integers(0, 40, 100)] + [7] * 20
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in zip(ids, v)], "vec_id long, embedding array<float>")
+    rows = sorted({(i, tuple(x.tolist())) for i, x in zip(ids, v)})
+    want = {}
+    for q, x in rows:
+        if q % 10 == 0:
+            want.setdefault(q, []).extend((-int(np.dot(x, y)), j) for j, y in rows if j != q)
+    want = [(q, k + 1, j, -s) for q in want for k, (s, j) in enumerate(sorted(want[q])[:5])]
+    assert sorted(tuple(r) for r in topk.top_k(df, 5, 10, 1).collect()) == sorted(want)
