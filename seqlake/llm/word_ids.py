@@ -23,7 +23,8 @@ class WordEncoder:
     The vocabulary's pre-tokeniser never joins what white space parts, so the
     ids of a text are those of its chunks. Chunks of common letters go through
     byte-pair ranks, where a spare byte stands for the word end; any other
-    chunk goes through the library itself.
+    chunk, and any that holds an added token's text, goes through the library
+    itself with its default settings.
     """
 
     def __init__(self, path: str):
@@ -31,7 +32,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         end = spec["model"]["end_of_word_suffix"]
@@ -39,6 +39,7 @@ class WordEncoder:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.added = re.compile("|".join(map(re.escape, sorted(special))) if special else r"(?!)")
         ranks = {}
         for token, i in spec["model"]["vocab"].items():
             if token in special:
@@ -64,7 +65,7 @@ class WordEncoder:
         return ids
 
     def chunk(self, text: str) -> list[int]:
-        if not self._common.match(text):
+        if not self._common.match(text) or self.added.search(text):
             return self.library.encode(text, add_special_tokens=False).ids
         words = self._split.findall(text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower())
         if len(words) == 1:

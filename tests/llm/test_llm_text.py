@@ -12,6 +12,7 @@ from seqlake.llm import chat, decontaminate, html_extract, langid, packing, qual
 from seqlake.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("word_bpe_49k.json")
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b", "<|startoftext|><|endoftext|>", "Don't<|startoftext|>'s 12<|endoftext|>é", "<|ENDOFTEXT|> <|endoftext| <|end oftext|>", "x <|endoftext|> y <|startoftext|>\n\n z", "汉<|endoftext|>字"]
 ODD = [None, "", " \n", "<|endoftext|> don't İSTANBUL ΣΑΣ x\x0by é 汉字 3456 '''s 🙂", "a" * 3000, "Straße ﬁn ½ ²", "́x", "word " * 9000]
 
 
@@ -108,14 +109,14 @@ def test_pieces_are_the_tokenizers_ids(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    df = spark.createDataFrame(rows_of(ODD), "doc_id long, text string, piece string, length long")
+    texts = ODD + SPECIAL
+    df = spark.createDataFrame(rows_of(texts), "doc_id long, text string, piece string, length long")
     got = packing.pack_documents(df, PATH, 512, with_ids=True).collect()
     by_doc, by_seq = {}, {}
     for r in got:
         by_doc.setdefault(r["doc_id"], []).append(r)
         by_seq.setdefault(r["sequence_id"], []).append(r)
-    for i, text in enumerate(ODD):
+    for i, text in enumerate(texts):
         want = t.encode(text or "", add_special_tokens=False).ids + [1]
         parts = sorted(by_doc[i], key=lambda r: r["piece"])
         assert [x for p in parts for x in p["ids"]] == want
