@@ -3,8 +3,8 @@
 A linear model over measures of a whole text minimises the non-negative
 unbiased risk: trusted positives weighed by the class prior, plus what the
 unlabelled texts' risk leaves after the positives' share is taken off, never
-under zero. The labelled training rows give the prior and the calibration of
-the score.
+under zero. The prior is estimated from positives and unlabelled texts alone.
+Labels of both kinds only calibrate the finished score.
 """
 
 from __future__ import annotations
@@ -75,24 +75,72 @@ class Model:
         return _sigmoid(self.slope * self.raw(x) + self.shift)
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.03, decay: float = 1e-4) -> Model:
-    """Adam on the non-negative unbiased risk with the sigmoid loss's smooth relative, the logistic loss."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
-    p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
-    w = np.zeros(p.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
+def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Both parts of the non-negative unbiased risk under the logistic loss, and their slopes.
+
+    Of positives called negative (times the prior), and of negatives called
+    positive: what the unlabelled rows' loss leaves without the positives'
+    share. Rows end with a 1 for the bias. The risk is the first part plus the
+    second where that is not under zero.
+    """
+    gp, gu = p @ w, u @ w
+    positive = prior * np.logaddexp(0, -gp).mean()
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    slope_positive = prior * p.T @ (_sigmoid(gp) - 1) / len(p)
+    slope_negative = u.T @ _sigmoid(gu) / len(u) - prior * p.T @ _sigmoid(gp) / len(p)
+    return positive, negative, slope_positive, slope_negative
+
+
+def _adam(slope, n: int, steps: int, rate: float) -> np.ndarray:
+    w, m, v = np.zeros(n), np.zeros(n), np.zeros(n)
     for t in range(1, steps + 1):
-        gp, gu = p @ w, u @ w
-        wrong_p, wrong_u = _sigmoid(gp), _sigmoid(gu)  # slopes of the loss of calling them negative
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        slope_negative = u.T @ wrong_u / len(u) - prior * p.T @ wrong_p / len(p)
-        # Where the negatives' risk falls under zero the model has overfitted; the step undoes that.
-        grad = prior * p.T @ (wrong_p - 1) / len(p) + slope_negative if negative >= 0 else -slope_negative
-        grad = grad + decay * w
+        grad = slope(w)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _scaled(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and scale of all rows, and both kinds standardised with a 1 at their end."""
+    both = np.concatenate([positive, unlabelled])
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+    p, u = (np.c_[np.clip((x - mean) / scale, -6, 6), np.ones(len(x))] for x in (positive, unlabelled))
+    return mean, scale, p, u
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, confidence: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from those two alone.
+
+    A logistic model learns on every second row to tell positives from
+    unlabelled ones. Above any score, the unlabelled share over the positives'
+    share bounds the prior from above, for the positives' own scores are a
+    part of the unlabelled ones'; on the other rows the least of these bounds,
+    each with its sampling error, is looked up and given without the error.
+    """
+    _, _, p, u = _scaled(positive, unlabelled)
+    if len(p) < 4 or len(u) < 4:
+        return 0.5
+    fit_p, fit_u = p[::2], u[::2]
+    w = _adam(lambda w: (fit_p.T @ (_sigmoid(fit_p @ w) - 1) / len(fit_p) + fit_u.T @ _sigmoid(fit_u @ w) / len(fit_u)) / 2 + 1e-3 * w, p.shape[1], steps, rate)
+    sp, su = np.sort(p[1::2] @ w), np.sort(u[1::2] @ w)
+    cut = np.unique(sp)
+    above_p = 1 - np.searchsorted(sp, cut, "left") / len(sp)
+    above_u = 1 - np.searchsorted(su, cut, "left") / len(su)
+    error = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(su)) + 1 / np.sqrt(len(sp)))
+    best = int(np.argmin((above_u + error) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.03, decay: float = 1e-4) -> Model:
+    """Adam on the non-negative unbiased risk."""
+    mean, scale, p, u = _scaled(positive, unlabelled)
+
+    def slope(w: np.ndarray) -> np.ndarray:
+        _, negative, slope_positive, slope_negative = nnpu_risk(w, p, u, prior)
+        # Where the negatives' risk falls under zero the model has overfitted; the step undoes that.
+        return (slope_positive + slope_negative if negative >= 0 else -slope_negative) + decay * w
+
+    w = _adam(slope, p.shape[1], steps, rate)
     return Model(mean, scale, w[:-1], w[-1])
 
 
@@ -111,12 +159,15 @@ def calibrate(model: Model, x: np.ndarray, y: np.ndarray, steps: int = 60) -> No
         model.slope, model.shift = float(w[0]), float(w[1])
 
 
+_MEASURED = "doc_id long, quality int, sampled boolean, measures binary"
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = text_bytes(batch.column(1))
+        data, offsets = text_bytes(batch.column(3))
         for i, j in chunks(offsets):
             x = measures(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "measures"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "sampled", "measures"])
 
 
 def _fold(of: str = "doc_id", parts: int = 4):
@@ -126,28 +177,34 @@ def _fold(of: str = "doc_id", parts: int = 4):
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Model:
     """A model from the rows whose crc32(doc_id) mod ``folds`` is not ``held_out``.
 
-    Rows are sampled by their id's hash to about ``labelled`` and
-    ``unlabelled`` at most, which bounds what the driver holds; scores are for
-    every row all the same.
+    Ids are sampled by their hash to about ``labelled`` and ``unlabelled`` at
+    most, which bounds what the driver and each broadcast hold; scores are for
+    every row all the same. Texts are measured where they lie: the sampled ids
+    go to them. Labels other than 0 and 1 are none; of several for one id the
+    least counts. Without positives or texts every score is 0.5.
     """
-    def sample(df: DataFrame, most: int, salt: int) -> DataFrame:
-        n = df.count()
-        return df if n <= most else df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (_fold(parts=folds) != held_out)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    known = sample(known, labelled, 3)
-    texts = docs.where(F.col("doc_id").isNotNull() & (_fold(parts=folds) != held_out)).select("doc_id", "text")
-    lab = texts.join(known, "doc_id").select("quality", "text").mapInArrow(_measure, "quality int, measures binary").collect()
-    un = sample(texts, unlabelled, 4).select(F.lit(-1).alias("quality"), "text").mapInArrow(_measure, "quality int, measures binary").collect()
-    y = np.array([r[0] for r in lab], np.int64)
-    x = np.stack([np.frombuffer(r[1]) for r in lab]) if lab else np.zeros((0, N_MEASURES))
-    u = np.stack([np.frombuffer(r[1]) for r in un]) if un else np.zeros((0, N_MEASURES))
+    def share(df: DataFrame, most: int) -> int:
+        return min(1 << 30, int(most / max(df.count(), 1) * (1 << 30)))
+
+    def drawn(salt: int, part: int):
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < part
+
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (_fold(parts=folds) != held_out)).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = known.where(drawn(3, share(known, labelled))).select(F.col("doc_id").alias("__id"), "quality")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & (_fold(parts=folds) != held_out))
+    texts = texts.select("doc_id", drawn(4, share(texts, unlabelled)).alias("sampled"), "text")
+    met = texts.join(F.broadcast(known), F.col("doc_id") == F.col("__id"), "left").where("sampled or quality is not null")
+    rows = met.select("doc_id", "quality", "sampled", "text").mapInArrow(_measure, _MEASURED).collect()
+    rows.sort(key=lambda r: (r[0], bytes(r[3])))  # the same model from any order of the rows
+    x = np.stack([np.frombuffer(r[3]) for r in rows]) if rows else np.zeros((0, N_MEASURES))
+    y = np.array([-1 if r[1] is None else r[1] for r in rows], np.int64)
+    u = x[np.array([r[2] for r in rows], bool)]
     if not (y == 1).any() or not len(u):
         return Model(np.zeros(N_MEASURES), np.ones(N_MEASURES), np.zeros(N_MEASURES), 0.0)
-    prior = float(np.clip((y == 1).mean(), 0.05, 0.97))
-    model = fit_nnpu(x[y == 1], u, prior)
+    model = fit_nnpu(x[y == 1], u, class_prior(x[y == 1], u))
     if (y == 0).any():
-        calibrate(model, x, y.astype(float))
+        calibrate(model, x[y >= 0], y[y >= 0].astype(float))
     return model
 
 

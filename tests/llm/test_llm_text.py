@@ -233,6 +233,41 @@ def test_nnpu_separates_with_positives_and_mixture_alone():
     assert (m.raw(rng.normal(1, 1, (500, 3))) > 0).mean() > 0.9 and (m.raw(rng.normal(-2, 1, (500, 3))) > 0).mean() < 0.1
 
 
+def test_nnpu_risk_and_its_slopes():
+    """The two parts against sums over single rows, the slopes against differences."""
+    rng = np.random.default_rng(1)
+    p, u, w, prior = rng.normal(1, 1, (7, 3)), rng.normal(0, 1, (11, 3)), rng.normal(0, 1, 3), 0.3
+    cost = lambda z: float(np.log(1 + np.exp(-z)))
+    parts = lambda w: (prior * sum(cost(x @ w) for x in p) / 7, sum(cost(-x @ w) for x in u) / 11 - prior * sum(cost(-x @ w) for x in p) / 7)
+    *risk, a, b = quality.nnpu_risk(w, p, u, prior)
+    assert np.allclose(risk, parts(w))
+    for k in range(3):
+        d = np.zeros(3)
+        d[k] = 1e-6
+        assert np.allclose([a[k], b[k]], (np.array(parts(w + d)) - np.array(parts(w - d))) / 2e-6, atol=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_class_prior_from_positives_and_mixture(share):
+    rng = np.random.default_rng(7)
+    n = int(4000 * share)
+    p = rng.normal(1.2, 1, (1500, 4))
+    u = rng.permutation(np.concatenate([rng.normal(1.2, 1, (n, 4)), rng.normal(-1.2, 1, (4000 - n, 4))]))
+    assert abs(quality.class_prior(p, u) - share) < 0.06
+
+
+def test_quality_fit_is_bounded_and_takes_repeated_ids(spark):
+    r = random.Random(3)
+    docs = [(i, good(r) if i % 4 else good(r).upper().replace(" ", "!! ")) for i in range(300)]
+    df = spark.createDataFrame(docs + docs[:50], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(300)] * 2 + [(8, 1), (9, 5)], "doc_id long, quality int")
+    m = quality.fit(df, labels, labelled=150, unlabelled=150)
+    held = [x for x in quality.score_quality(df, m).collect() if x["held_out"]]
+    assert np.mean([x["predicted"] == int(x["doc_id"] % 4 > 0) for x in held]) > 0.9
+    none = quality.fit(df, labels.where("quality = 0"))
+    assert {x["score"] for x in quality.score_quality(df, none).collect()} == {0.5}
+
+
 def test_language_identification(spark):
     r = random.Random(8)
     parts = {"xx": ["ka", "lo", "mi"], "yy": ["schn", "üt", "ber"], "zz": ["ção", "des", "aux"]}
