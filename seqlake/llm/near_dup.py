@@ -1,10 +1,11 @@
 """MinHash near-duplicate detection with exact confirmation of every link.
 
 Universal hash minima are banded into bucket keys. In each bucket the member
-that shares most buckets is the pivot; every other member is compared with it.
-Buckets that this leaves in more than one component are compared block by
-block. Signatures sort out hopeless pairs, full shingle sets confirm the rest,
-and the confirmed links are closed by alternating large-star and small-star.
+that shares most buckets is the pivot; every other member is compared with it,
+a pivot's set going once to each part of its pairs. Buckets that this leaves in
+more than one component are compared block by block: first signatures alone,
+then the sets of those that have a possible partner. Full shingle sets confirm
+every link, and links are closed by alternating large-star and small-star.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from .cut import cut
 from .text_arrays import LOWER, U64, chunks, mix, prefix_sums, span_hash, text_bytes, words
 
 BANDS, ROWS = 30, 7
-#: Documents in one block of a bucket that is compared block by block.
-BLOCK = 256
+#: Documents in one block of a bucket that is compared block by block: with their sets, and with signatures alone.
+BLOCK, SIGNATURE_BLOCK = 256, 2048
+#: Pairs of one pivot that are compared in one place, about.
+PAIRS = 256
 #: Standard errors by which a pair's estimate may lie below the limit before it is given up.
 MARGIN = 5.0
 
@@ -35,7 +38,7 @@ _A = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) |
 _B = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MULT = _RNG.integers(0, 2**63, 64, dtype=U64) * U64(2) + U64(1)
 
-SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
+SIGNED = "doc_id long, text_key long, n_shingles long, d1 long, d2 long, bands array<long>, signature binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +87,7 @@ def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             for i, j in chunks(offsets):
                 sets, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 sizes = np.diff(at)
@@ -102,13 +105,14 @@ def _sign(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(d1.view(np.int64)).take(take),
                         pa.array(d2.view(np.int64)).take(take),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel())).take(take),
                         pa.array([x.tobytes() for x in (mix(sig.astype(U64)) >> U64(56)).astype(np.uint8)], pa.binary()).take(take),
                     ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands", "signature"],
+                    names=["doc_id", "text_key", "n_shingles", "d1", "d2", "bands", "signature"],
                 )
 
     return run
@@ -121,29 +125,39 @@ def _sets(width: int):
             for i, j in chunks(offsets):
                 sets, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
                 packed = pa.array([sets[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), packed], names=["node", "shingles"])
 
     return run
 
 
-def _links_of(ids, comp, sig, sets, side, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between different components, as (u, v), among one group's rows.
+def _least_alike(percent: int) -> float:
+    """The share of equal minima under which a pair is given up."""
+    limit = percent / 100
+    return limit - MARGIN * np.sqrt(limit * (1 - limit) / len(_A))
 
-    side: rows of the first (0) and the second block (1); for a block with
-    itself all are 0. Enough links are returned to join what belongs together.
-    """
-    n = len(ids)
+
+def _open_pairs(comp, sig, size, side, percent: int) -> np.ndarray:
+    """Which rows of one group may be linked and aren't in one component: a symmetric matrix."""
     open_ = comp[:, None] != comp[None, :]
     if side.any():
         open_ &= side[:, None] != side[None, :]
-    size = np.array([len(s) for s in sets])
     small, large = np.minimum(size[:, None], size[None, :]), np.maximum(size[:, None], size[None, :])
     open_ &= 100 * small >= percent * large
-    limit = percent / 100
-    least = limit - MARGIN * np.sqrt(limit * (1 - limit) / sig.shape[1])
+    least = _least_alike(percent)
     for i in np.nonzero(open_.any(axis=1))[0]:
-        open_[i] &= (sig == sig[i]).mean(axis=1) >= least
-    open_ &= open_.T
+        j = np.nonzero(open_[i])[0]
+        open_[i, j] = (sig[j] == sig[i]).mean(axis=1) >= least
+    return open_ & open_.T
+
+
+def _links_of(ids, comp, sig, sets, side, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between different components, as (u, v), among one group's rows.
+
+    side: rows of the first (0) and the second block (1); for a block with
+    itself all are 0. Enough links are returned to join what belongs together.
+    """
+    size = np.array([len(s) for s in sets])
+    open_ = _open_pairs(comp, sig, size, side, percent)
     rows = np.nonzero(open_.any(axis=1))[0]
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -182,16 +196,26 @@ def _compare(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, U64) for x in group["shingles"]]
         sig = np.stack([np.frombuffer(x, np.uint8) for x in group["signature"]])
-        u, v = _links_of(group["rep"].to_numpy(), group["component"].to_numpy(), sig, sets, group["side"].to_numpy(), percent)
+        u, v = _links_of(group["node"].to_numpy(), group["component"].to_numpy(), sig, sets, group["side"].to_numpy(), percent)
         return pd.DataFrame({"u": u, "v": v})
 
     return run
 
 
+def _partnered(percent: int):
+    """Those members of a group whose signature leaves some other one possible."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sig = np.stack([np.frombuffer(x, np.uint8) for x in group["signature"]])
+        open_ = _open_pairs(group["component"].to_numpy(), sig, group["n"].to_numpy(), group["side"].to_numpy(), percent)
+        return group.loc[open_.any(axis=1), ["key", "node"]]
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = percent / 100
-        least = limit - MARGIN * np.sqrt(limit * (1 - limit) / len(_A))
+        least = _least_alike(percent)
         for b in batches:
             keep = []
             for x, y, s, t in zip(b.column(2), b.column(3), b.column(4), b.column(5)):
@@ -200,7 +224,7 @@ def _confirm(percent: int):
                     keep.append(False)
                     continue
                 p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                inter = int(np.isin(p, q, assume_unique=True).sum())
+                inter = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 keep.append(100 * inter >= percent * (len(p) + len(q) - inter))
             out = b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             yield out.rename_columns(["u", "v"])
@@ -208,6 +232,74 @@ def _confirm(percent: int):
     return run
 
 
+def _blocks(rows: DataFrame, members: str, size: int) -> DataFrame:
+    """``rows`` once for each pair of blocks (i, j) of their bucket that they take part in; ``side`` tells which they are."""
+    of = F.ceil(F.col(members) / size).cast("int")
+    rows = rows.withColumn("of", of).withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("of").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    return rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("side", (F.col("block") > F.col("other")).cast("int")).drop("of", "block", "other")
+
+
+def _rest_of_buckets(members: DataFrame, sets: DataFrame, shingles: DataFrame, first: DataFrame, percent: int) -> DataFrame | None:
+    """Links that join components within buckets whose members the pivots left in several; None if there is no such bucket."""
+    placed = members.join(first.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "members", "x1", "x2", F.coalesce("component", "node").alias("component"))
+    split = placed.where("members > 2").groupBy("key").agg(F.first("members").alias("members"), F.first("x1").alias("x1"), F.first("x2").alias("x2"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    # Buckets with the same members count once.
+    split = cut(split.where("lo < hi").groupBy("members", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "split")
+    if split.isEmpty():
+        return None
+    left = placed.join(split, "key").select("key", "node", "members", "component")
+    signed = left.join(sets.select("node", "signature", "n"), "node")
+    alike = _blocks(signed, "members", SIGNATURE_BLOCK).groupBy("key", "i", "j").applyInPandas(_partnered(percent), "key long, node long").distinct()
+    alike = cut(alike.join(left, ["key", "node"]).select("key", "node", "component"), "alike")
+    if alike.isEmpty():
+        return None
+    few = alike.groupBy("key").agg(F.count("*").alias("few"))
+    whole = alike.join(few, "key").join(sets.select("node", "signature"), "node").join(shingles, "node")
+    return _blocks(whole, "few", BLOCK).groupBy("key", "i", "j").applyInPandas(_compare(percent), "u long, v long")
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """The columns of ``near_duplicates`` with text_key, a hash of the text."""
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    signed = cut(texts.mapInArrow(_sign(width), SIGNED), "signed")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
+    # A node is a distinct set; documents with the same set stand behind it, so exact copies cost nothing further on.
+    least = F.struct("doc_id", "text_key")
+    sets = full.groupBy("d1", "d2").agg(F.min(least).alias("of"), F.min_by("bands", least).alias("bands"), F.min_by("signature", least).alias("signature"), F.first("n_shingles").alias("n"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", F.col("of.doc_id").alias("rep"), F.col("of.text_key").alias("text_key"), "bands", "signature", "n"), "sets")
+    # Members of buckets that hold at least two.
+    keys = sets.select("node", "n", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("members > 1")
+    members = cut(keys.join(buckets, "key").select("key", "node", "n", "members", "x1", "x2"), "members")
+    # The pivot of a bucket is the member that meets most others over all its buckets.
+    score = members.groupBy("node").agg(F.sum("members").alias("score"))
+    scored = members.join(score, "node")
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", -F.col("node"), F.col("n"))).alias("p")).select("key", (-F.col("p")["col2"]).alias("pivot"), F.col("p.n").alias("m"))
+    # Pairs of a pivot are dealt to parts by their other member; a part gets the pivot's set once.
+    near_size = f"100 * least(m, n) >= {percent} * greatest(m, n)"
+    pairs = members.join(pivots, "key").where(f"node <> pivot and {near_size}").groupBy("pivot", "node").agg(F.max("members").alias("members"))
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("members") / PAIRS, F.lit(1.0))))).cast("long")
+    pairs = cut(pairs.select("pivot", "node", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(6)), F.col("parts"))), "pairs")
+    near = members.select("node").distinct().join(sets.select("node", "rep", "text_key"), "node").select("node", F.col("rep").alias("__rep"), F.col("text_key").alias("__key"))
+    opened = texts.join(near, (F.col("doc_id") == F.col("__rep")) & (F.col("text_key") == F.col("__key"))).select("node", "text")
+    shingles = cut(opened.mapInArrow(_sets(width), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    known = sets.select("node", "signature").join(shingles, "node")
+    left = pairs.select("pivot", "parts", "part").distinct().join(known.select(F.col("node").alias("pivot"), F.col("shingles").alias("p"), F.col("signature").alias("s")), "pivot")
+    right = pairs.join(known.select("node", F.col("shingles").alias("q"), F.col("signature").alias("t")), "node")
+    tried = right.join(left, ["pivot", "parts", "part"]).select(F.col("pivot").alias("u"), F.col("node").alias("v"), "p", "q", "s", "t")
+    first = connected_components(tried.mapInArrow(_confirm(percent), "u long, v long"))
+    more = _rest_of_buckets(members, sets, shingles, first, percent)
+    comp = first if more is None else connected_components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more))
+    # A component's id is the smallest document id behind its nodes.
+    rooted = sets.select("node", "d1", "d2", "rep").join(comp.withColumnRenamed("id", "node"), "node", "left").select("d1", "d2", "rep", F.coalesce("component", "node").alias("component"))
+    smallest = rooted.groupBy("component").agg(F.min("rep").alias("component_id"))
+    place = rooted.join(smallest, "component").select("d1", "d2", "component_id")
+    found = full.join(place, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key")
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "text_key")
+    return found.unionAll(alone)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -218,50 +310,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
 
     Null and empty texts and texts of white space alone have no shingles and no
     links. Repeated rows are linked with each other and come out as often as
-    they came in. Rows with a null id keep n_shingles, have a null component
-    and are kept. Other columns of ``docs`` are ignored.
+    they came in; rows with one id and different texts are documents of their
+    own, each linked by its own text. Rows with a null id keep n_shingles, have
+    a null component and are kept. A text of any length counts whole; it and
+    its set must fit in a task. Ties between pivots go to the first node; the
+    result doesn't depend on them. An empty table gives no rows. Other columns
+    of ``docs``, whatever their names, are ignored.
     """
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(_sign(width), SIGNED), "signed")
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    # Documents with the same set stand behind one of them, so exact copies cost nothing further on.
-    same = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("signature", "doc_id").alias("signature"), F.first("n_shingles").alias("n")), "sets")
-    # Members of buckets that hold at least two.
-    keys = same.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2")).where("members > 1")
-    members = cut(keys.join(buckets, "key").select("key", "rep", "members", "x1", "x2"), "members")
-    # The pivot of a bucket is the member that meets most others over all its buckets.
-    score = members.groupBy("rep").agg(F.sum("members").alias("score"))
-    scored = members.join(score, "rep")
-    pivots = scored.groupBy("key").agg(F.max_by("rep", F.struct("score", -F.col("rep"))).alias("pivot"))
-    pairs = members.join(pivots, "key").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    pairs = cut(pairs, "pairs")
-    near = cut(members.select("rep").distinct(), "near")
-    shingles = cut(texts.join(near.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets(width), "rep long, shingles binary"), "shingles")
-    known = same.select("rep", "signature", "n").join(shingles, "rep")
-    left = known.select(F.col("rep").alias("a"), F.col("shingles").alias("p"), F.col("signature").alias("s"), F.col("n").alias("m"))
-    right = known.select(F.col("rep").alias("b"), F.col("shingles").alias("q"), F.col("signature").alias("t"), "n")
-    tried = pairs.join(left, "a").join(right, "b").where(f"100 * least(m, n) >= {percent} * greatest(m, n)").select("a", "b", "p", "q", "s", "t")
-    links = cut(tried.mapInArrow(_confirm(percent), "u long, v long"), "confirmed")
-    first = connected_components(links)
-    # Buckets of three or more that are still in several components; those with the same members count once.
-    placed = members.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "members", "x1", "x2", F.coalesce("component", "rep").alias("component"))
-    split = placed.where("members > 2").groupBy("key").agg(F.first("members").alias("members"), F.first("x1").alias("x1"), F.first("x2").alias("x2"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    split = split.where("lo < hi").groupBy("members", "x1", "x2").agg(F.min("key").alias("key"))
-    blocks = placed.join(split.select("key"), "key").withColumn("of", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("of").cast("long")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
-    blocks = blocks.select("key", "rep", "component", "block", other.alias("other"))
-    blocks = blocks.select("key", "rep", "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    rest = blocks.join(known.select("rep", "signature", "shingles"), "rep")
-    more = rest.groupBy("key", "i", "j").applyInPandas(_compare(percent), "u long, v long")
-    comp = connected_components(links.unionAll(more))
-    place = same.select("d1", "d2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    found = full.join(place, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
-    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return found.unionAll(alone)
+    return _near_duplicates(docs, width, percent, id_column, text_column).drop("text_key")
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of ``docs``, all their columns, that are their component's smallest id (nulls stay)."""
-    gone = near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The documents of ``docs``, all their columns, that are their component's smallest id.
+
+    Rows without shingles and with a null id stay, repeated rows of a kept
+    document too. Of rows with one id and different texts each is judged by its
+    own text. An empty table stays empty; columns of any other name pass through.
+    """
+    gone = _near_duplicates(docs, width, percent, "doc_id", "text").where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__key")).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["__gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["__key"]), "left_anti")

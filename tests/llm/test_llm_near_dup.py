@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from seqlake.llm.components import connected_components
 from seqlake.llm.near_dup import keep_one_of_each, near_duplicates
@@ -65,6 +66,8 @@ def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     from seqlake.llm import near_dup
 
     monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "SIGNATURE_BLOCK", 16)
+    monkeypatch.setattr(near_dup, "PAIRS", 4)
     r = random.Random(1)
     base = [f"b{i}" for i in range(60)]
     rows = []
@@ -86,6 +89,36 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_id_with_several_texts_and_clashing_columns(spark):
+    a, b, c = "a b c d e f g h", "n o p q r s t u", "v w x y z aa bb cc"
+    rows = [(5, a, 1), (5, b, 2), (5, b, 2), (3, a, 3), (9, b, 4), (9, c, 5), (2, c, 6), (7, "", 7), (8, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, __gone int").withColumn("__key", F.lit(1)).withColumn("text_key", F.lit("x"))
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(df).collect())
+    assert got == [(2, 2, True), (3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (7, 7, True), (8, 8, True), (9, 2, False), (9, 5, False)]
+    left = keep_one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted((r["doc_id"], r["__gone"]) for r in left.collect()) == [(2, 6), (3, 3), (5, 2), (5, 2), (7, 7), (8, 8)]
+    assert keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_bucket_of_unlike_documents_with_one_boilerplate(spark, monkeypatch):
+    """Half of each text is the same in all; pairs of near copies among them still meet."""
+    from seqlake.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    monkeypatch.setattr(near_dup, "SIGNATURE_BLOCK", 16)
+    r = random.Random(4)
+    common = [f"c{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        own = [f"o{r.randrange(10**6)}" for _ in range(40)]
+        rows.append((2 * i, " ".join(common + own)))
+        rows.append((2 * i + 1, " ".join(common + own[: r.randint(25, 40)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_duplicates(df, 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
 def test_components_of_chains_hubs_and_nothing(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
