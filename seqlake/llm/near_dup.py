@@ -24,7 +24,7 @@ from .text_arrays import LOWER, U64, chunks, mix, prefix_sums, span_hash, text_b
 
 BANDS, ROWS = 30, 7
 #: Documents in one block of a bucket that is compared block by block: with their sets, and with signatures alone.
-BLOCK, SIGNATURE_BLOCK = 256, 2048
+BLOCK, SIGNATURE_BLOCK = 256, 512
 #: Pairs of one pivot that are compared in one place, about.
 PAIRS = 256
 #: Standard errors by which a pair's estimate may lie below the limit before it is given up.
