@@ -5,16 +5,18 @@ equals), a choice that depends on the window's bytes alone, so equal windows
 choose alike. A run of windows with the same choice is one record: the k-gram's
 hash, where it lies, and a digest of all bytes under the run.
 
-1. Records meet by k-gram hash. Of equal records all but the first are repeats
-   as a whole; only k-grams with several different records need their text.
-2. The bytes of those meet by k-gram hash. In each bucket a suffix array of the
-   windows is sorted: multikey quicksort (eight bytes a step) to a shallow
-   depth, blind tries for the groups that still hang together. Windows equal to
-   the full depth follow each other; all but the first are repeats.
+1. Records meet by k-gram hash. Those whose k-gram stands nowhere else are done.
+   Hashes only say who meets whom; bytes decide.
+2. The bytes of the others meet. Records with equal digests are sorted as whole
+   strings, different ones of a k-gram window by window: multikey quicksort
+   (eight bytes a step) to a shallow depth, blind tries for the groups that
+   still hang together. Of strings equal to their full depth all but the first
+   are repeats.
 3. The covered bytes of each document are removed.
 
 A k-gram with many different records (the edge of a passage that many documents
-share) is split further, into single windows, dealt out by their own bytes.
+share) is split further, into single windows, dealt out by their own bytes; many
+records with equal digests are sorted in parts, each with their first.
 """
 
 from __future__ import annotations
@@ -38,8 +40,12 @@ SHALLOW = 32
 TOGETHER = 2000
 #: The same for the records of one k-gram in one batch of documents.
 TOGETHER_LOCAL = 128
-#: Bytes of text for each bucket.
-BUCKET_BYTES = 1 << 23
+#: Records with one digest that are sorted together with their first.
+TWINS = 1000
+#: Bytes of text for each bucket, and for each partition of texts.
+BUCKET_BYTES, PARTITION_BYTES = 1 << 23, 1 << 24
+#: Bytes of text whose records are looked through at once.
+BATCH_BYTES = 1 << 23
 
 RECORD = np.dtype([("doc", "<i8"), ("key", "<i8"), ("at", "<i4"), ("before", "u1"), ("count", "u1"), ("gram", "<u8"), ("digest", "<u8")])
 _FIELDS = RECORD.names
@@ -65,62 +71,75 @@ def _word(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _only_shared(at: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those in groups of two and more (groups stand together)."""
-    size = np.bincount(group)
-    keep = size[group] > 1
-    return at[keep], np.cumsum(np.concatenate([[True], np.diff(group[keep]) != 0]))[: keep.sum()] - 1 if keep.any() else group[:0]
+def _shared(group: np.ndarray) -> np.ndarray:
+    """Which stand in groups of two and more."""
+    return np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
 
 
-def equal_windows(text: np.ndarray, at: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """Windows text[p : p + length], p in ``at``, that another one equals: positions and group numbers in suffix order.
+def _renumbered(group: np.ndarray) -> np.ndarray:
+    """Groups, equal ones side by side, as 0, 1, ..."""
+    new = np.ones(len(group), bool)
+    new[1:] = group[1:] != group[:-1]
+    return np.cumsum(new) - 1
+
+
+def equal_strings(text: np.ndarray, at: np.ndarray, size: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Strings text[at : at + size] that another one equals: their places in ``at`` and group numbers, in suffix order within a size.
 
     Multikey quicksort refines groups by eight bytes at a time to ``shallow``
-    bytes; windows that stand alone drop out. The rest is ordered by blind
+    bytes; strings that stand alone drop out. The rest is ordered by blind
     tries, all groups' tries growing a level at a time: a node skips, unread by
-    the order, the bytes that all its windows share and branches on the first
+    the order, the bytes that all its strings share and branches on the first
     that tells them apart. ``text`` needs 8 bytes of slack at its end.
     """
-    group = np.zeros(len(at), np.int64)
+    who, group = _ranks(np.zeros(len(at), np.int64), size)
+    at, size = at[who], size[who]
     depth = 0
-    while depth + 8 <= min(shallow, length) and len(at):
+    while len(at) and depth + 8 <= min(shallow, int(size.min())):
         order, group = _ranks(group, _word(text, at + depth))
-        at, group = _only_shared(at[order], group)
+        keep = _shared(group)
+        order, group = order[keep], _renumbered(group[keep])
+        who, at, size = who[order], at[order], size[order]
         depth += 8
-    done_at, done_group, made = [], [], 0
+    done_who, done_group, made = [], [], 0
     deep = np.full(len(at), depth)
     while len(at):
         head = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1])
         lead = np.repeat(at[head], np.diff(np.append(head, len(at))))
-        agree = deep.copy()  # the depth to which each window agrees with the first of its node
-        open_ = np.nonzero((agree < length) & (lead != at))[0]
-        agree[lead == at] = length
+        agree = deep.copy()  # the depth to which each string agrees with the first of its node
+        agree[lead == at] = size[lead == at]
+        open_ = np.nonzero(agree < size)[0]
         while len(open_):
             a, b = at[open_] + agree[open_], lead[open_] + agree[open_]
             step = np.full(len(open_), 8)
             x = _word(text, a) ^ _word(text, b)
             for k in range(8):
                 step[(step == 8) & ((x >> U64(56 - 8 * k)) & U64(255) != 0)] = k
-            agree[open_] = np.minimum(agree[open_] + step, length)
-            open_ = open_[(step == 8) & (agree[open_] < length)]
+            agree[open_] = np.minimum(agree[open_] + step, size[open_])
+            open_ = open_[(step == 8) & (agree[open_] < size[open_])]
         skip = np.minimum.reduceat(agree, head)  # the node's branching depth
         branch = np.repeat(skip, np.diff(np.append(head, len(at))))
-        whole = branch >= length
+        whole = branch >= size
         if whole.any():
-            done_at.append(at[whole])
-            g = group[whole]
-            done_group.append(made + np.cumsum(np.concatenate([[False], np.diff(g) != 0])))
+            done_who.append(who[whole])
+            done_group.append(made + _renumbered(group[whole]))
             made = int(done_group[-1][-1]) + 1
-        at, group, branch = at[~whole], group[~whole], branch[~whole]
+        who, at, size, group, branch = who[~whole], at[~whole], size[~whole], group[~whole], branch[~whole]
         if not len(at):
             break
         order, group = _ranks(group, text[at + branch].astype(np.int64))
-        at, deep = at[order], branch[order] + 1
-        keep = np.bincount(group)[group] > 1
-        at, deep, group = at[keep], deep[keep], group[keep]
-    if not done_at:
+        keep = _shared(group)
+        order, group = order[keep], _renumbered(group[keep])
+        who, at, size, deep = who[order], at[order], size[order], branch[order] + 1
+    if not done_who:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(done_at), np.concatenate(done_group)
+    return np.concatenate(done_who), np.concatenate(done_group)
+
+
+def equal_windows(text: np.ndarray, at: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """Windows text[p : p + length], p in ``at``, that another one equals: positions and group numbers in suffix order."""
+    who, group = equal_strings(text, at, np.full(len(at), length), shallow)
+    return at[who], group
 
 
 # -------------------------------------------------------------------- records
@@ -159,10 +178,10 @@ def _least_at(value: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def records_of(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
-    """One record for each run of windows with the same least k-gram."""
+def records_of(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, keys: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """One record for each run of windows with the same least k-gram, and where in ``data`` it starts."""
     if len(data) < length:
-        return np.zeros(0, RECORD)
+        return np.zeros(0, RECORD), np.zeros(0, np.int64)
     gram = _gram_hash(data)
     least = _least_at((gram >> U64(32)).astype(np.uint32), length - KGRAM + 1)
     m = len(least)
@@ -170,7 +189,7 @@ def records_of(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, keys: np
     inside = offsets[doc + 1] - np.arange(m) >= length
     p = np.nonzero(inside)[0]
     if not len(p):
-        return np.zeros(0, RECORD)
+        return np.zeros(0, RECORD), p
     a, d = least[p], doc[p]
     first = np.ones(len(p), bool)
     first[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
@@ -185,7 +204,7 @@ def records_of(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, keys: np
     np.cumsum(BYTE_CODE[data] * powers(BASE, len(data)), out=sums[1:])
     shape = (out["before"].astype(U64) << U64(8)) | out["count"]
     out["digest"] = mix((sums[p[e] + length] - sums[p[s]]) * powers(BASE_INVERSE, len(sums))[p[s]] + mix(shape))
-    return out
+    return out, p[s]
 
 
 def _same(r: np.ndarray, *names: str) -> np.ndarray:
@@ -195,16 +214,31 @@ def _same(r: np.ndarray, *names: str) -> np.ndarray:
     return out
 
 
-def _by_record(r: np.ndarray) -> np.ndarray:
-    return r[np.lexsort((r["at"], r["key"], r["doc"], r["digest"], r["gram"]))]
+def _place(r: np.ndarray, *by: str) -> np.ndarray:
+    """The order of records by the fields in ``by``, the last one first, then by where they stand."""
+    return np.lexsort((r["at"], r["key"], r["doc"], *(r[n] for n in by)))
 
 
-def _repeats(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of records sorted by (gram, digest, place): those that are their set's first place, and those that repeat it."""
-    same = _same(r, "gram", "digest")
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(r))))
-    late = np.logical_or.reduce([r[n] != r[n][head] for n in ("doc", "key", "at")]) if len(r) else same
-    return r[~same], r[late]
+def _late(r: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which records stand behind the first place of their group."""
+    order = np.lexsort((r["at"], r["key"], r["doc"], group))
+    g = group[order]
+    head = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool)
+    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(g)), 0))]
+    out = np.zeros(len(r), bool)
+    out[order] = np.logical_or.reduce([r[n][order] != r[n][lead] for n in ("doc", "key", "at")]) if len(g) else False
+    return out
+
+
+def _sorted_twins(text: np.ndarray, at: np.ndarray, r: np.ndarray, length: int) -> np.ndarray:
+    """Of records with equal digests, those that an earlier one equals byte by byte."""
+    who, group = equal_strings(text, at, r["count"].astype(np.int64) + length)
+    r, known = r[who], len(who) == len(r)
+    order = np.lexsort((group, r["digest"], r["gram"]))
+    apart = ~_same(r[order], "gram", "digest")
+    if not known or (np.diff(group[order])[~apart[1:]] != 0).any():
+        raise RuntimeError("two different passages have one digest; change the seed of the byte codes")
+    return r[_late(r, group)]
 
 
 def _pack(bucket: np.ndarray, r: np.ndarray, kind: int, most: int, texts: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -239,58 +273,88 @@ def _rows(packed: bytes) -> np.ndarray:
 
 
 _PACKED = "bucket long, kind int, records binary, body binary"
-#: What packed records are: to be compared; whole repeats; k-grams that are split everywhere (in their bucket); records to be split.
-OPEN, REPEAT, MARK, SPLIT = 0, 1, 2, 3
+_PACKED_ARROW = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("records", pa.binary()), ("body", pa.binary())])
+#: What packed records are: to be compared window by window; whole repeats; k-grams that are split everywhere (in their bucket); records to be split; records to be compared as wholes.
+OPEN, REPEAT, MARK, SPLIT, TWIN = 0, 1, 2, 3, 4
 
 
 def _table(rows) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["bucket", "kind", "records", "body"])
 
 
+def _batch(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(_table(rows), schema=_PACKED_ARROW, preserve_index=False)
+
+
 def _spread(r: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(r["doc"].view(U64) * U64(BASE) + r["key"].view(U64)) % U64(buckets)).astype(np.int64)
 
 
-def _scan(length: int, buckets: int):
-    """Records of whole texts; equal ones within a batch stand behind their first."""
+def _scan(length: int, buckets: int, most: int):
+    """Records of whole texts; those that equal one before them in the batch, byte by byte, are repeats at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = text_bytes(batch.column(2))
-            for lo, hi in chunks(offsets, 1 << 23):
-                parts = [records_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], docs[i:j], keys[i:j], length) for i, j in ((lo + x, lo + y) for x, y in chunks(offsets[lo : hi + 1] - offsets[lo]))]
-                first, late = _repeats(_by_record(np.concatenate(parts)))
+            for lo, hi in chunks(offsets, BATCH_BYTES):
+                text, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                found = [records_of(text[at[i] : at[j]], at[i : j + 1] - at[i], docs[lo + i : lo + j], keys[lo + i : lo + j], length) + (at[i],) for i, j in chunks(at)]
+                r, start = np.concatenate([x for x, _, _ in found]), np.concatenate([p + base for _, p, base in found])
+                order = _place(r, "digest", "gram")
+                r, start = r[order], start[order]
+                same = _same(r, "gram", "digest")
+                twin = same | np.append(same[1:], False) if len(same) else same
+                slack = np.concatenate([text, np.zeros(8, np.uint8)])
+                late = _sorted_twins(slack, start[twin], r[twin], length)
                 rows = list(_pack(_spread(late, buckets), late, REPEAT, 1 << 16))
+                # The same text may stand in several rows; its places are one.
+                first = r[~same]
                 grams, back, count = np.unique(first["gram"], return_inverse=True, return_counts=True)
-                crowded = count[back] > TOGETHER_LOCAL
+                crowded = count[back] > most
                 rows += _pack((mix(first["gram"] ^ first["digest"])[crowded] % U64(buckets)).astype(np.int64), first[crowded], SPLIT, 1 << 16)
-                mark = np.zeros(int((count > TOGETHER_LOCAL).sum()), RECORD)
-                mark["gram"] = grams[count > TOGETHER_LOCAL]
+                mark = np.zeros(int((count > most).sum()), RECORD)
+                mark["gram"] = grams[count > most]
                 rows += _pack((mark["gram"] % U64(buckets)).astype(np.int64), mark, MARK, 1 << 16)
                 rest = first[~crowded]
-                rest = rest[np.lexsort((rest["at"], rest["key"], rest["doc"]))]
+                rest = rest[_place(rest)]
                 rows += _pack((rest["gram"] % U64(buckets)).astype(np.int64), rest, OPEN, 1 << 16)
-                yield pa.RecordBatch.from_pandas(_table(rows), schema=pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("records", pa.binary()), ("body", pa.binary())]), preserve_index=False)
+                yield _batch(rows)
 
     return run
 
 
-def _meet(buckets: int):
-    """All records of a bucket of k-grams: whole repeats, and those whose text is needed. Both go back to their documents."""
+def _classes(r: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first record of each digest, and all that are to be sorted as wholes: in parts of ``most``, the first in each.
+
+    Parts are told apart by their digests.
+    """
+    r = r[_place(r, "digest", "gram")]
+    r = r[~_same(r, "gram", "digest", "doc", "key", "at")]
+    same = _same(r, "gram", "digest")
+    place = np.arange(len(r)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(r)))) - 1
+    late = np.nonzero(same)[0]
+    lead = late[place[late] % most == 0]
+    twins = r[np.concatenate([late, lead - place[lead] - 1])]
+    twins["digest"] = mix(twins["digest"] + (place[np.concatenate([late, lead])] // most).astype(U64))
+    return r[~same], twins
+
+
+def _meet(buckets: int, most: int, twins: int):
+    """All records of a bucket of k-grams: those whose bytes are needed, and how. They go back to their documents."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         def of(*kinds):
             return np.concatenate([np.zeros(0, RECORD), *(_rows(x) for x, k in zip(group["records"], group["kind"]) if k in kinds)])
 
         marked = np.unique(of(MARK)["gram"])
-        first, late = _repeats(_by_record(of(OPEN)))
-        apart, late2 = _repeats(_by_record(of(SPLIT)))
+        first, whole = _classes(of(OPEN), twins)
+        apart, whole2 = _classes(of(SPLIT), twins)
         _, back, count = np.unique(first["gram"], return_inverse=True, return_counts=True)
-        split = np.isin(first["gram"], marked) | (count[back] > TOGETHER)
+        split = np.isin(first["gram"], marked) | (count[back] > most)
         together = first[(count[back] > 1) & ~split]
-        repeats = np.concatenate([late, late2, of(REPEAT)])
-        return _table([x for r, kind in ((repeats, REPEAT), (together, OPEN), (np.concatenate([first[split], apart]), SPLIT)) for x in _pack(_spread(r, buckets), r, kind, 1 << 16)])
+        out = ((np.concatenate([whole, whole2]), TWIN), (together, OPEN), (np.concatenate([first[split], apart]), SPLIT), (of(REPEAT), REPEAT))
+        return _table([x for r, kind in out for x in _pack(_spread(r, buckets), r, kind, 1 << 16)])
 
     return run
 
@@ -333,70 +397,83 @@ def _gathered(lists: pa.ListArray, kept: np.dtype) -> tuple[np.ndarray, np.ndarr
 
 
 def _cut_out(length: int, buckets: int):
-    """The bytes under each open record, packed by bucket of k-gram; records to be split as single windows by their own bytes."""
+    """The bytes under each record, packed by bucket of k-gram, or of digest for those compared as wholes; records to be split as single windows by their own bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, keys, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             data, offsets = text_bytes(batch.column(4))
             for lo, hi in chunks(offsets, 1 << 21):
-                text, start = data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo]
+                text, start = np.concatenate([data[offsets[lo] : offsets[hi]], np.zeros(8, np.uint8)]), offsets[lo:hi] - offsets[lo]
                 found, owner = _gathered(batch.column(3).slice(lo, hi - lo), PLACE)
-                split = kinds[lo:hi][owner] == SPLIT
-                each = found["count"][split].astype(np.int64) + 1
-                r = np.zeros(int((~split).sum() + each.sum()), RECORD)
-                whole = len(found) - int(split.sum())
-                for name in PLACE.names:
-                    r[name][:whole] = found[name][~split]
-                r["at"][whole:] = gather(found["at"][split].astype(np.int64), each)
-                owner = np.concatenate([owner[~split], np.repeat(owner[split], each)])
-                r["doc"], r["key"] = docs[lo:hi][owner], keys[lo:hi][owner]
-                first = start[owner] + r["at"]
-                size = r["count"].astype(np.int64) + length
-                if split.any():
-                    r["gram"][whole:] = span_hash(prefix_sums(text), first[whole:], first[whole:] + length)
-                    r["digest"][whole:] = r["gram"][whole:]
-                # Equal ones of one batch stand behind their first here too.
-                order = np.lexsort((r["at"], r["key"], r["doc"], r["digest"], r["gram"]))
-                ahead, late = _repeats(r[order])
-                pick = order[~_same(r[order], "gram", "digest")]
-                lens = size[pick]
-                body = text[gather(first[pick], lens)]
-                rows = list(_pack(_spread(late, buckets), late, REPEAT, 1 << 16))
-                rows += _pack((ahead["gram"] % U64(buckets)).astype(np.int64), ahead, OPEN, 1 << 14, (body, np.concatenate([[0], np.cumsum(lens)])))
-                yield pa.RecordBatch.from_pandas(_table(rows), schema=pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("records", pa.binary()), ("body", pa.binary())]), preserve_index=False)
+                kind = kinds[lo:hi][owner]
+                rows = []
+                for want in (OPEN, TWIN, SPLIT):
+                    own = owner[kind == want]
+                    r = np.zeros(len(own), RECORD)
+                    for name in PLACE.names:
+                        r[name] = found[name][kind == want]
+                    if want == SPLIT:
+                        each = r["count"].astype(np.int64) + 1
+                        own, places = np.repeat(own, each), gather(r["at"].astype(np.int64), each)
+                        r = np.zeros(len(own), RECORD)
+                        r["at"] = places
+                    r["doc"], r["key"] = docs[lo:hi][own], keys[lo:hi][own]
+                    first = start[own] + r["at"]
+                    if want == SPLIT:
+                        r["gram"] = r["digest"] = span_hash(prefix_sums(text), first, first + length)
+                        # Windows that equal one before them in the batch are repeats at once.
+                        order = _place(r, "digest")
+                        r, first = r[order], first[order]
+                        same = _same(r, "digest")
+                        twin = same | np.append(same[1:], False) if len(same) else same
+                        late = _sorted_twins(text, first[twin], r[twin], length)
+                        rows += _pack(_spread(late, buckets), late, REPEAT, 1 << 16)
+                        r, first = r[~same], first[~same]
+                    lens = r["count"].astype(np.int64) + length
+                    # Parts of one class have digests of their own, windows that are dealt out too.
+                    meet = mix(r["gram"] ^ r["digest"]) if want == TWIN else r["gram"]
+                    body = text[gather(first, lens)], np.concatenate([[0], np.cumsum(lens)])
+                    rows += _pack((meet % U64(buckets)).astype(np.int64), r, TWIN if want == TWIN else OPEN, 1 << 14, body)
+                yield _batch(rows)
 
     return run
 
 
+def _opened(group: pd.DataFrame, kind: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records of a kind, their bytes one after another with slack, and where each starts."""
+    rows = group[group["kind"] == kind]
+    r = np.concatenate([np.zeros(0, RECORD), *(_rows(x) for x in rows["records"])])
+    text = np.concatenate([*(np.frombuffer(x, np.uint8) for x in rows["body"]), np.zeros(8, np.uint8)])
+    return r, text, np.concatenate([[0], np.cumsum(r["count"].astype(np.int64) + length)])[:-1]
+
+
 def _sort_bucket(length: int, buckets: int):
-    """Windows of a bucket that an earlier window equals."""
+    """Records and windows of a bucket that an earlier one equals."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        open_ = group[group["kind"] == OPEN]
-        late = [_rows(x) for x in group.loc[group["kind"] == REPEAT, "records"]]
-        if len(open_):
-            r = np.concatenate([_rows(x) for x in open_["records"]])
-            text = np.concatenate([*(np.frombuffer(x, np.uint8) for x in open_["body"]), np.zeros(8, np.uint8)])
-            base = np.concatenate([[0], np.cumsum(r["count"].astype(np.int64) + length)])[:-1]
-            count = r["count"].astype(np.int64) + 1
-            del open_, group
-            # Parts of the bucket by k-gram bound the arrays that are sorted at once.
-            part = (r["gram"] >> U64(40)).astype(np.int64) % max(1, int(count.sum()) >> 19)
-            for q in np.unique(part):
-                use = np.nonzero(part == q)[0]
-                window = gather(base[use], count[use])
-                owner = np.repeat(use, count[use])
-                at, equal = equal_windows(text, window, length)
-                if not len(at):
-                    continue
-                who = owner[np.searchsorted(window, at, sorter=np.argsort(window, kind="stable"))]
-                one = np.zeros(len(at), RECORD)
-                one["doc"], one["key"], one["at"], one["gram"] = r["doc"][who], r["key"][who], r["at"][who] + (at - base[who]), equal
-                one = one[np.lexsort((one["at"], one["key"], one["doc"], one["gram"]))]
-                one["digest"] = 0
-                late.append(_runs(_repeats(one)[1]))
-        r = np.concatenate([np.zeros(0, RECORD), *late])
+        late = [np.zeros(0, RECORD), *(_rows(x) for x in group.loc[group["kind"] == REPEAT, "records"])]
+        r, text, base = _opened(group, TWIN, length)
+        # Parts of the bucket by digest, or by k-gram, bound the arrays that are sorted at once.
+        part = (r["digest"] >> U64(40)).astype(np.int64) % max(1, len(r) >> 18)
+        for q in np.unique(part):
+            use = part == q
+            late.append(_sorted_twins(text, base[use], r[use], length))
+        r, text, base = _opened(group, OPEN, length)
+        del group
+        count = r["count"].astype(np.int64) + 1
+        part = (r["gram"] >> U64(40)).astype(np.int64) % max(1, int(count.sum()) >> 19)
+        for q in np.unique(part):
+            use = np.nonzero(part == q)[0]
+            window = gather(base[use], count[use])
+            owner = np.repeat(use, count[use])
+            who, equal = equal_strings(text, window, np.full(len(window), length))
+            if not len(who):
+                continue
+            one = np.zeros(len(who), RECORD)
+            one["doc"], one["key"], one["at"] = r["doc"][owner[who]], r["key"][owner[who]], r["at"][owner[who]] + (window[who] - base[owner[who]])
+            late.append(_runs(one[_late(one, equal)]))
+        r = np.concatenate(late)
         return _table(list(_pack(_spread(r, buckets), r, REPEAT, 1 << 16)))
 
     return run
@@ -453,7 +530,7 @@ def _remaining(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False, together: int = TOGETHER, together_local: int = TOGETHER_LOCAL, twins: int = TWINS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and row_key, kept_text).
 
     Removed is each byte covered by a ``length``-byte string of the same text
@@ -463,32 +540,51 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     Nulls are empty texts; texts under ``length`` bytes lose nothing. Of rows
     with the same doc_id, different texts are ordered by their hash; rows equal
     in both are one text and come out as often as they came in. Rows with a
-    null doc_id are returned whole and compared with none. ``kept_text`` leaves
-    out what a cut made of a character. Other columns are ignored.
+    null doc_id are returned whole and compared with none. Positions are 32-bit
+    numbers, which a text in one row never exceeds; a text must fit in a task.
+    An empty table gives no rows. ``kept_text`` leaves out what a cut made of a
+    character. Other columns, whatever their names, are ignored. ``together``,
+    ``together_local`` and ``twins`` bound groups and don't change the result.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     long = texts.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
     total = long.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(16, int(total // BUCKET_BYTES))
-    scanned = long.mapInArrow(_scan(length, buckets), _PACKED)
-    met = cut(scanned.groupBy("bucket").applyInPandas(_meet(buckets), _PACKED), "met")
+    # As many buckets and partitions as the texts fill, so that none grows with the input.
+    buckets, parts = max(16, int(total // BUCKET_BYTES)), max(16, int(total // PARTITION_BYTES))
+    scanned = long.mapInArrow(_scan(length, buckets, together_local), _PACKED)
+    met = cut(scanned.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_meet(buckets, together, twins), _PACKED), "met")
     places = "doc_id long, row_key long, kind int, records binary"
-    asked = met.mapInArrow(_by_document((OPEN, SPLIT), PLACE), places).groupBy("doc_id", "row_key", "kind").agg(F.collect_list("records").alias("parts"))
-    one = long.dropDuplicates(["doc_id", "row_key"])
+    asked = met.mapInArrow(_by_document((OPEN, SPLIT, TWIN), PLACE), places).repartition(parts, "doc_id", "row_key").groupBy("doc_id", "row_key", "kind").agg(F.collect_list("records").alias("parts"))
+    one = long.repartition(parts, "doc_id", "row_key").dropDuplicates(["doc_id", "row_key"])
     opened = asked.join(one, ["doc_id", "row_key"]).select("doc_id", "row_key", "kind", "parts", "text")
-    sorted_ = opened.mapInArrow(_cut_out(length, buckets), _PACKED).groupBy("bucket").applyInPandas(_sort_bucket(length, buckets), _PACKED)
+    sorted_ = opened.mapInArrow(_cut_out(length, buckets), _PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket(length, buckets), _PACKED)
     sorted_ = cut(sorted_, "sorted")
-    gone = met.unionAll(sorted_).mapInArrow(_by_document((REPEAT,), RUN), places).groupBy("doc_id", "row_key").agg(F.collect_list("records").alias("marks"))
+    gone = met.unionAll(sorted_).mapInArrow(_by_document((REPEAT,), RUN), places).repartition(parts, "doc_id", "row_key").groupBy("doc_id", "row_key").agg(F.collect_list("records").alias("marks"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", row_key long, kept_text string" if with_text else "")
-    return texts.join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "marks", "row_key").mapInArrow(_remaining(length, with_text), out)
+    # Rows that lose nothing stay where they are: only long texts with an id can meet a mark.
+    marked = long.repartition(parts, "doc_id", "row_key").join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "marks", "row_key")
+    short = texts.where((F.octet_length("text") < length) | F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"), "row_key")
+    return marked.unionAll(short).mapInArrow(_remaining(length, with_text), out)
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """``docs`` with all its columns, repeated passages taken out of ``text`` and ``n_chars`` counted anew."""
-    left = remove_repeats(docs, length, with_text=True).select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "kept_text", "n_removed").dropDuplicates(["__id", "__key"])
-    keyed = docs.withColumn("__key2", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    joined = keyed.join(left, (keyed["doc_id"] == left["__id"]) & (keyed["__key2"] == left["__key"]), "left")
-    changed = F.col("n_removed") > 0
-    columns = [F.when(changed, F.col("kept_text")).otherwise(docs[c]).alias(c) if c == "text" else F.when(changed, F.length("kept_text")).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.select(*columns)
+    """``docs`` with all its columns, repeated passages taken out of ``text`` and ``n_chars`` counted anew.
+
+    Nulls, repeated rows, null ids and short texts are as in ``remove_repeats``:
+    they stay as they are. An empty table stays empty; columns of any other
+    name pass through.
+    """
+    left = remove_repeats(docs, length, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), F.col("kept_text").alias("__text")).dropDuplicates(["__id", "__key"])
+    met = (docs["doc_id"].cast("long") == left["__id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == left["__key"])
+    joined = docs.join(left, met, "left")
+    changed = left["__id"].isNotNull()
+
+    def column(c: str):
+        if c == "text":
+            return F.when(changed, left["__text"]).otherwise(docs[c]).alias(c)
+        if c == "n_chars":
+            return F.when(changed, F.length(left["__text"])).otherwise(docs[c]).cast(docs.schema[c].dataType).alias(c)
+        return docs[c]
+
+    return joined.select(*[column(c) for c in docs.columns])

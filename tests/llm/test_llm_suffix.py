@@ -52,35 +52,25 @@ def test_removed_bytes_match_brute_force(spark, seed):
     assert result(remove_repeats(df, 100)) == brute(rows, 100)
 
 
-def test_crowded_grams_are_split_into_windows(spark, monkeypatch):
+@pytest.mark.parametrize("together,local,twins", [(10, 5, 1000), (10, 128, 3), (2000, 128, 2)])
+def test_limits_of_groups_do_not_change_the_result(spark, together, local, twins):
+    """A passage in all documents: crowded k-grams at its edges, one digest many times inside."""
     r = random.Random(3)
-    passage = "".join(r.choice("abcdefgh") for _ in range(130))
+    passage = "".join(r.choice("abcdefgh") for _ in range(330))
     rows = [(i, "".join(r.choice("ijklmnop") for _ in range(80)) + passage + "".join(r.choice("qrstuvw") for _ in range(80))) for i in range(80)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    want = brute(rows, 100)
-    for name, value in (("TOGETHER", 10), ("TOGETHER_LOCAL", 5)):
-        monkeypatch.setattr(suffix_dedup, name, value)
-        scan, meet = suffix_dedup._scan(100, 16), suffix_dedup._meet(16)
-        assert scan and meet
-    import pyarrow as pa
-    import pandas as pd
-
-    # The limits are module values that local workers don't share, so the steps run here by hand.
-    texts = pd.DataFrame([(i, 0, t) for i, t in rows], columns=["doc_id", "row_key", "text"])
-    packed = pd.concat([b.to_pandas() for b in suffix_dedup._scan(100, 16)(iter([pa.RecordBatch.from_pandas(texts[:40]), pa.RecordBatch.from_pandas(texts[40:])]))])
-    assert (packed["kind"] == suffix_dedup.SPLIT).any() and (packed["kind"] == suffix_dedup.MARK).any()
-    met = pd.concat([suffix_dedup._meet(16)(g) for _, g in packed.groupby("bucket")])
-    asked = pd.concat([b.to_pandas() for b in suffix_dedup._by_document((suffix_dedup.OPEN, suffix_dedup.SPLIT), suffix_dedup.PLACE)(iter([pa.RecordBatch.from_pandas(met[["bucket", "kind", "records"]].reset_index(drop=True))]))])
-    asked = asked.groupby(["doc_id", "row_key", "kind"])["records"].agg(list).reset_index()
-    opened = asked.merge(texts, on=["doc_id", "row_key"])[["doc_id", "row_key", "kind", "records", "text"]]
-    cut = pd.concat([b.to_pandas() for b in suffix_dedup._cut_out(100, 16)(iter([pa.RecordBatch.from_pandas(opened)]))])
-    done = pd.concat([met[met["kind"] == suffix_dedup.REPEAT], *(suffix_dedup._sort_bucket(100, 16)(g) for _, g in cut.groupby("bucket"))])
-    gone = {i: np.zeros(len(t), bool) for i, t in rows}
-    for raw in done["records"]:
-        for x in suffix_dedup._rows(raw):
-            gone[int(x["doc"])][x["at"] : x["at"] + int(x["count"]) + 100] = True
-    assert {i: int(g.sum()) for i, g in gone.items()} == {i: v[1] for i, v in want.items()}
-    assert df.count() == 80
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert result(remove_repeats(df, 100, together=together, together_local=local, twins=twins)) == brute(rows, 100)
+
+
+def test_bytes_decide_not_digests():
+    """Records with one digest and different bytes stop the job; equal ones all but the first are late."""
+    text = np.frombuffer(b"x" * 5 + b"abcdefghij" * 2 + b"abcdefghiX" + bytes(8), np.uint8)
+    r = np.zeros(3, suffix_dedup.RECORD)
+    r["doc"], r["at"] = [1, 1, 2], [5, 15, 0]
+    late = suffix_dedup._sorted_twins(text, np.array([5, 15]), r[:2], 10)
+    assert [(int(x["doc"]), int(x["at"])) for x in late] == [(1, 15)]
+    with pytest.raises(RuntimeError, match="digest"):
+        suffix_dedup._sorted_twins(text, np.array([5, 15, 25]), r, 10)
 
 
 def test_equal_windows_are_in_suffix_order():
@@ -103,6 +93,8 @@ def test_repeated_rows_null_ids_empty_table_and_pipeline_form(spark):
     df = spark.createDataFrame([(1, t, 5), (1, t, 5), (2, "0 " + t, 9), (None, t, 1), (3, None, 0)], "doc_id long, text string, n_chars long")
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in remove_repeats(df).collect())
     assert got == [(-1, 0), (1, 0), (1, 0), (2, len(t)), (3, 0)]
+    clash = df.withColumn("__key", df.n_chars).withColumn("__text", df.n_chars).withColumn("n_removed", df.n_chars).withColumn("kept_text", df.n_chars).withColumn("row_key", df.n_chars)
+    assert without_repeats(clash).columns == clash.columns and sorted(r["__text"] for r in without_repeats(clash).collect()) == [0, 1, 5, 5, 9]
     kept = {(r["doc_id"], r["text"], r["n_chars"]) for r in without_repeats(df).collect()}
     assert kept == {(1, t, 5), (2, "0 ", 2), (None, t, 1), (3, None, 0)}
     assert remove_repeats(df.limit(0)).count() == 0
