@@ -252,7 +252,7 @@ def _pack(bucket: np.ndarray, r: np.ndarray, kind: int, most: int, texts: tuple[
     for lo, hi in zip(edge[:-1], edge[1:]):
         for i in range(lo, hi, most):
             j = min(hi, i + most)
-            body = b"" if texts is None else data[gather(starts[i:j], lens[i:j])].tobytes()
+            body = b"" if texts is None else pa.compress(data[gather(starts[i:j], lens[i:j])].tobytes(), "zstd", asbytes=True)
             yield int(bucket[i]), kind, _columns(r[i:j]), body
 
 
@@ -327,7 +327,7 @@ def _scan(length: int, buckets: int, most: int):
 def _classes(r: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The first record of each digest, and all that are to be sorted as wholes: in parts of ``most``, the first in each.
 
-    Parts are told apart by their digests.
+    The latter have a number for their class and part in place of the k-gram's hash.
     """
     r = r[_place(r, "digest", "gram")]
     r = r[~_same(r, "gram", "digest", "doc", "key", "at")]
@@ -336,7 +336,7 @@ def _classes(r: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     late = np.nonzero(same)[0]
     lead = late[place[late] % most == 0]
     twins = r[np.concatenate([late, lead - place[lead] - 1])]
-    twins["digest"] = mix(twins["digest"] + (place[np.concatenate([late, lead])] // most).astype(U64))
+    twins["gram"] = mix(twins["gram"] ^ mix(twins["digest"] + (place[np.concatenate([late, lead])] // most).astype(U64)))
     return r[~same], twins
 
 
@@ -354,18 +354,20 @@ def _meet(buckets: int, most: int, twins: int):
         split = np.isin(first["gram"], marked) | (count[back] > most)
         together = first[(count[back] > 1) & ~split]
         out = ((np.concatenate([whole, whole2]), TWIN), (together, OPEN), (np.concatenate([first[split], apart]), SPLIT), (of(REPEAT), REPEAT))
+        for r, _ in out:
+            r["before"] = r["digest"] = 0  # they have done their part
         return _table([x for r, kind in out for x in _pack(_spread(r, buckets), r, kind, 1 << 16)])
 
     return run
 
 
 #: What goes back to a document: a record without its document, and a covered run of windows.
-PLACE = np.dtype([("at", "<i4"), ("before", "u1"), ("count", "u1"), ("gram", "<u8"), ("digest", "<u8")])
+PLACE = np.dtype([("at", "<i4"), ("count", "u1"), ("gram", "<u8")])
 RUN = np.dtype([("at", "<i4"), ("count", "u1")])
 
 
 def _by_document(wanted: tuple[int, ...], kept: np.dtype):
-    """One row for each document and packed row: doc_id, row_key, kind and the records' fields in ``kept``."""
+    """One row for each document and packed row: id, row_key, kind and the records' fields in ``kept``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,7 +383,7 @@ def _by_document(wanted: tuple[int, ...], kept: np.dtype):
                 parts = pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * kept.itemsize).astype(np.int32).tobytes()), pa.py_buffer(slim.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(r["doc"][edge[:-1]]), pa.array(r["key"][edge[:-1]]), pa.array(np.full(len(edge) - 1, kind, np.int32)), parts],
-                    names=["doc_id", "row_key", "kind", "records"],
+                    names=["id", "row_key", "kind", "records"],
                 )
 
     return run
@@ -397,7 +399,7 @@ def _gathered(lists: pa.ListArray, kept: np.dtype) -> tuple[np.ndarray, np.ndarr
 
 
 def _cut_out(length: int, buckets: int):
-    """The bytes under each record, packed by bucket of k-gram, or of digest for those compared as wholes; records to be split as single windows by their own bytes."""
+    """The bytes under each record, packed by bucket of k-gram, or of class for those compared as wholes; records to be split as single windows by their own bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,20 +423,18 @@ def _cut_out(length: int, buckets: int):
                     r["doc"], r["key"] = docs[lo:hi][own], keys[lo:hi][own]
                     first = start[own] + r["at"]
                     if want == SPLIT:
-                        r["gram"] = r["digest"] = span_hash(prefix_sums(text), first, first + length)
+                        r["gram"] = span_hash(prefix_sums(text), first, first + length)
                         # Windows that equal one before them in the batch are repeats at once.
-                        order = _place(r, "digest")
+                        order = _place(r, "gram")
                         r, first = r[order], first[order]
-                        same = _same(r, "digest")
+                        same = _same(r, "gram")
                         twin = same | np.append(same[1:], False) if len(same) else same
                         late = _sorted_twins(text, first[twin], r[twin], length)
                         rows += _pack(_spread(late, buckets), late, REPEAT, 1 << 16)
                         r, first = r[~same], first[~same]
                     lens = r["count"].astype(np.int64) + length
-                    # Parts of one class have digests of their own, windows that are dealt out too.
-                    meet = mix(r["gram"] ^ r["digest"]) if want == TWIN else r["gram"]
                     body = text[gather(first, lens)], np.concatenate([[0], np.cumsum(lens)])
-                    rows += _pack((meet % U64(buckets)).astype(np.int64), r, TWIN if want == TWIN else OPEN, 1 << 14, body)
+                    rows += _pack((r["gram"] % U64(buckets)).astype(np.int64), r, TWIN if want == TWIN else OPEN, 1 << 14, body)
                 yield _batch(rows)
 
     return run
@@ -443,8 +443,10 @@ def _cut_out(length: int, buckets: int):
 def _opened(group: pd.DataFrame, kind: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Records of a kind, their bytes one after another with slack, and where each starts."""
     rows = group[group["kind"] == kind]
-    r = np.concatenate([np.zeros(0, RECORD), *(_rows(x) for x in rows["records"])])
-    text = np.concatenate([*(np.frombuffer(x, np.uint8) for x in rows["body"]), np.zeros(8, np.uint8)])
+    parts = [_rows(x) for x in rows["records"]]
+    sizes = [int((r["count"].astype(np.int64) + length).sum()) for r in parts]
+    text = np.concatenate([*(np.frombuffer(pa.decompress(x, n, "zstd"), np.uint8) for x, n in zip(rows["body"], sizes)), np.zeros(8, np.uint8)])
+    r = np.concatenate([np.zeros(0, RECORD), *parts])
     return r, text, np.concatenate([[0], np.cumsum(r["count"].astype(np.int64) + length)])[:-1]
 
 
@@ -454,8 +456,8 @@ def _sort_bucket(length: int, buckets: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         late = [np.zeros(0, RECORD), *(_rows(x) for x in group.loc[group["kind"] == REPEAT, "records"])]
         r, text, base = _opened(group, TWIN, length)
-        # Parts of the bucket by digest, or by k-gram, bound the arrays that are sorted at once.
-        part = (r["digest"] >> U64(40)).astype(np.int64) % max(1, len(r) >> 18)
+        # Parts of the bucket by class, or by k-gram, bound the arrays that are sorted at once.
+        part = (r["gram"] >> U64(40)).astype(np.int64) % max(1, len(r) >> 18)
         for q in np.unique(part):
             use = part == q
             late.append(_sorted_twins(text, base[use], r[use], length))
@@ -546,25 +548,25 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     character. Other columns, whatever their names, are ignored. ``together``,
     ``together_local`` and ``twins`` bound groups and don't change the result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    texts = texts.select("doc_id", F.xxhash64("text").alias("row_key"), "text")
-    long = texts.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.select("id", F.xxhash64("text").alias("row_key"), "text")
+    long = texts.where((F.octet_length("text") >= length) & F.col("id").isNotNull())
     total = long.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
     # As many buckets and partitions as the texts fill, so that none grows with the input.
     buckets, parts = max(16, int(total // BUCKET_BYTES)), max(16, int(total // PARTITION_BYTES))
     scanned = long.mapInArrow(_scan(length, buckets, together_local), _PACKED)
     met = cut(scanned.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_meet(buckets, together, twins), _PACKED), "met")
-    places = "doc_id long, row_key long, kind int, records binary"
-    asked = met.mapInArrow(_by_document((OPEN, SPLIT, TWIN), PLACE), places).repartition(parts, "doc_id", "row_key").groupBy("doc_id", "row_key", "kind").agg(F.collect_list("records").alias("parts"))
-    one = long.repartition(parts, "doc_id", "row_key").dropDuplicates(["doc_id", "row_key"])
-    opened = asked.join(one, ["doc_id", "row_key"]).select("doc_id", "row_key", "kind", "parts", "text")
+    places = "id long, row_key long, kind int, records binary"
+    asked = met.mapInArrow(_by_document((OPEN, SPLIT, TWIN), PLACE), places).repartition(parts, "id", "row_key").groupBy("id", "row_key", "kind").agg(F.collect_list("records").alias("parts"))
+    # One shuffle of the texts serves both joins, as both stand in one plan.
+    dealt = long.repartition(parts, "id", "row_key")
+    opened = asked.join(dealt.dropDuplicates(["id", "row_key"]), ["id", "row_key"]).select("id", "row_key", "kind", "parts", "text")
     sorted_ = opened.mapInArrow(_cut_out(length, buckets), _PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket(length, buckets), _PACKED)
-    sorted_ = cut(sorted_, "sorted")
-    gone = met.unionAll(sorted_).mapInArrow(_by_document((REPEAT,), RUN), places).repartition(parts, "doc_id", "row_key").groupBy("doc_id", "row_key").agg(F.collect_list("records").alias("marks"))
+    gone = met.unionAll(sorted_).mapInArrow(_by_document((REPEAT,), RUN), places).repartition(parts, "id", "row_key").groupBy("id", "row_key").agg(F.collect_list("records").alias("marks"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", row_key long, kept_text string" if with_text else "")
-    # Rows that lose nothing stay where they are: only long texts with an id can meet a mark.
-    marked = long.repartition(parts, "doc_id", "row_key").join(gone, ["doc_id", "row_key"], "left").select("doc_id", "text", "marks", "row_key")
-    short = texts.where((F.octet_length("text") < length) | F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("marks"), "row_key")
+    # Only long texts with an id can meet a mark; the others stay where they are.
+    marked = dealt.join(gone, ["id", "row_key"], "left").select("id", "text", "marks", "row_key")
+    short = texts.where((F.octet_length("text") < length) | F.col("id").isNull()).select("id", "text", F.lit(None).cast("array<binary>").alias("marks"), "row_key")
     return marked.unionAll(short).mapInArrow(_remaining(length, with_text), out)
 
 
