@@ -43,9 +43,9 @@ TOGETHER_LOCAL = 128
 #: Records with one digest that are sorted together with their first.
 TWINS = 1000
 #: Bytes of text for each bucket, and for each partition of texts.
-BUCKET_BYTES, PARTITION_BYTES = 1 << 23, 1 << 24
+BUCKET_BYTES, PARTITION_BYTES = 1 << 22, 1 << 23
 #: Bytes of text whose records are looked through at once.
-BATCH_BYTES = 1 << 23
+BATCH_BYTES = 1 << 22
 
 RECORD = np.dtype([("doc", "<i8"), ("key", "<i8"), ("at", "<i4"), ("before", "u1"), ("count", "u1"), ("gram", "<u8"), ("digest", "<u8")])
 _FIELDS = RECORD.names
@@ -241,18 +241,18 @@ def _sorted_twins(text: np.ndarray, at: np.ndarray, r: np.ndarray, length: int)
     return r[_late(r, group)]
 
 
-def _pack(bucket: np.ndarray, r: np.ndarray, kind: int, most: int, texts: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(bucket, kind, columns one after another, bytes of texts), one row for each bucket."""
+def _pack(bucket: np.ndarray, r: np.ndarray, kind: int, most: int, texts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(bucket, kind, columns one after another, bytes of texts), one row for each bucket; texts: all bytes, each record's start and length."""
     order = np.argsort(bucket, kind="stable")
     bucket, r = bucket[order], r[order]
     edge = np.append(np.concatenate([[0], np.nonzero(np.diff(bucket))[0] + 1]), len(r)) if len(r) else [0]
-    if texts is not None:
-        data, at = texts
-        starts, lens = at[:-1][order], np.diff(at)[order]
     for lo, hi in zip(edge[:-1], edge[1:]):
         for i in range(lo, hi, most):
             j = min(hi, i + most)
-            body = b"" if texts is None else pa.compress(data[gather(starts[i:j], lens[i:j])].tobytes(), "zstd", asbytes=True)
+            body = b""
+            if texts is not None:
+                data, starts, lens = texts
+                body = pa.compress(data[gather(starts[order[i:j]], lens[order[i:j]])].tobytes(), "zstd", asbytes=True)
             yield int(bucket[i]), kind, _columns(r[i:j]), body
 
 
@@ -362,29 +362,32 @@ def _meet(buckets: int, most: int, twins: int):
 
 
 #: What goes back to a document: a record without its document, and a covered run of windows.
-PLACE = np.dtype([("at", "<i4"), ("count", "u1"), ("gram", "<u8")])
+PLACE = np.dtype([("at", "<i4"), ("count", "u1"), ("kind", "u1"), ("gram", "<u8")])
 RUN = np.dtype([("at", "<i4"), ("count", "u1")])
 
 
+def _rows_of_documents(r: np.ndarray, kept: np.dtype, kind: np.ndarray | None = None) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """A row for each document among the records: its id, its key, and the fields in ``kept`` of its records."""
+    order = np.lexsort((r["key"], r["doc"]))
+    r = r[order]
+    edge = np.append(np.nonzero(~_same(r, "doc", "key"))[0], len(r))
+    slim = np.empty(len(r), kept)
+    for name in kept.names:
+        slim[name] = kind[order] if name == "kind" else r[name]
+    parts = pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * kept.itemsize).astype(np.int32).tobytes()), pa.py_buffer(slim.tobytes())])
+    return pa.array(r["doc"][edge[:-1]]), pa.array(r["key"][edge[:-1]]), parts
+
+
 def _by_document(wanted: tuple[int, ...], kept: np.dtype):
-    """One row for each document and packed row: id, row_key, kind and the records' fields in ``kept``."""
+    """Rows of documents from packed rows of the kinds in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
-                if kind not in wanted:
-                    continue
-                r = _rows(packed.as_py())
-                r = r[np.lexsort((r["key"], r["doc"]))]
-                edge = np.append(np.nonzero(~_same(r, "doc", "key"))[0], len(r))
-                slim = np.empty(len(r), kept)
-                for name in kept.names:
-                    slim[name] = r[name]
-                parts = pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * kept.itemsize).astype(np.int32).tobytes()), pa.py_buffer(slim.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc"][edge[:-1]]), pa.array(r["key"][edge[:-1]]), pa.array(np.full(len(edge) - 1, kind, np.int32)), parts],
-                    names=["id", "row_key", "kind", "records"],
-                )
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                found = [(kind, _rows(packed.as_py())) for kind, packed in zip(part.column(1).to_pylist(), part.column(2)) if kind in wanted]
+                kind = np.repeat([k for k, _ in found], [len(x) for _, x in found])
+                yield pa.RecordBatch.from_arrays(list(_rows_of_documents(np.concatenate([np.zeros(0, RECORD), *(x for _, x in found)]), kept, kind)), names=["id", "row_key", "records"])
 
     return run
 
@@ -403,18 +406,17 @@ def _cut_out(length: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, keys, kinds = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            data, offsets = text_bytes(batch.column(4))
+            docs, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            data, offsets = text_bytes(batch.column(3))
             for lo, hi in chunks(offsets, 1 << 21):
                 text, start = np.concatenate([data[offsets[lo] : offsets[hi]], np.zeros(8, np.uint8)]), offsets[lo:hi] - offsets[lo]
-                found, owner = _gathered(batch.column(3).slice(lo, hi - lo), PLACE)
-                kind = kinds[lo:hi][owner]
+                found, owner = _gathered(batch.column(2).slice(lo, hi - lo), PLACE)
                 rows = []
                 for want in (OPEN, TWIN, SPLIT):
-                    own = owner[kind == want]
+                    own = owner[found["kind"] == want]
                     r = np.zeros(len(own), RECORD)
-                    for name in PLACE.names:
-                        r[name] = found[name][kind == want]
+                    for name in ("at", "count", "gram"):
+                        r[name] = found[name][found["kind"] == want]
                     if want == SPLIT:
                         each = r["count"].astype(np.int64) + 1
                         own, places = np.repeat(own, each), gather(r["at"].astype(np.int64), each)
@@ -432,9 +434,8 @@ def _cut_out(length: int, buckets: int):
                         late = _sorted_twins(text, first[twin], r[twin], length)
                         rows += _pack(_spread(late, buckets), late, REPEAT, 1 << 16)
                         r, first = r[~same], first[~same]
-                    lens = r["count"].astype(np.int64) + length
-                    body = text[gather(first, lens)], np.concatenate([[0], np.cumsum(lens)])
-                    rows += _pack((r["gram"] % U64(buckets)).astype(np.int64), r, TWIN if want == TWIN else OPEN, 1 << 14, body)
+                    whole = text, first, r["count"].astype(np.int64) + length
+                    rows += _pack((r["gram"] % U64(buckets)).astype(np.int64), r, TWIN if want == TWIN else OPEN, 1 << 14, whole)
                 yield _batch(rows)
 
     return run
@@ -450,8 +451,8 @@ def _opened(group: pd.DataFrame, kind: int, length: int) -> tuple[np.ndarray, np
     return r, text, np.concatenate([[0], np.cumsum(r["count"].astype(np.int64) + length)])[:-1]
 
 
-def _sort_bucket(length: int, buckets: int):
-    """Records and windows of a bucket that an earlier one equals."""
+def _sort_bucket(length: int):
+    """Records and windows of a bucket that an earlier one equals, by document."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         late = [np.zeros(0, RECORD), *(_rows(x) for x in group.loc[group["kind"] == REPEAT, "records"])]
@@ -475,8 +476,8 @@ def _sort_bucket(length: int, buckets: int):
             one = np.zeros(len(who), RECORD)
             one["doc"], one["key"], one["at"] = r["doc"][owner[who]], r["key"][owner[who]], r["at"][owner[who]] + (window[who] - base[owner[who]])
             late.append(_runs(one[_late(one, equal)]))
-        r = np.concatenate(late)
-        return _table(list(_pack(_spread(r, buckets), r, REPEAT, 1 << 16)))
+        docs, keys, marks = _rows_of_documents(np.concatenate(late), RUN)
+        return pd.DataFrame({"id": docs, "row_key": keys, "records": marks.to_pylist()})
 
     return run
 
@@ -556,13 +557,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     buckets, parts = max(16, int(total // BUCKET_BYTES)), max(16, int(total // PARTITION_BYTES))
     scanned = long.mapInArrow(_scan(length, buckets, together_local), _PACKED)
     met = cut(scanned.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_meet(buckets, together, twins), _PACKED), "met")
-    places = "id long, row_key long, kind int, records binary"
-    asked = met.mapInArrow(_by_document((OPEN, SPLIT, TWIN), PLACE), places).repartition(parts, "id", "row_key").groupBy("id", "row_key", "kind").agg(F.collect_list("records").alias("parts"))
+    places = "id long, row_key long, records binary"
+    asked = met.mapInArrow(_by_document((OPEN, SPLIT, TWIN), PLACE), places).repartition(parts, "id", "row_key").groupBy("id", "row_key").agg(F.collect_list("records").alias("parts"))
     # One shuffle of the texts serves both joins, as both stand in one plan.
     dealt = long.repartition(parts, "id", "row_key")
-    opened = asked.join(dealt.dropDuplicates(["id", "row_key"]), ["id", "row_key"]).select("id", "row_key", "kind", "parts", "text")
-    sorted_ = opened.mapInArrow(_cut_out(length, buckets), _PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket(length, buckets), _PACKED)
-    gone = met.unionAll(sorted_).mapInArrow(_by_document((REPEAT,), RUN), places).repartition(parts, "id", "row_key").groupBy("id", "row_key").agg(F.collect_list("records").alias("marks"))
+    opened = asked.join(dealt.dropDuplicates(["id", "row_key"]), ["id", "row_key"]).select("id", "row_key", "parts", "text")
+    sorted_ = opened.mapInArrow(_cut_out(length, buckets), _PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket(length), places)
+    gone = met.mapInArrow(_by_document((REPEAT,), RUN), places).unionAll(sorted_).repartition(parts, "id", "row_key").groupBy("id", "row_key").agg(F.collect_list("records").alias("marks"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", row_key long, kept_text string" if with_text else "")
     # Only long texts with an id can meet a mark; the others stay where they are.
     marked = dealt.join(gone, ["id", "row_key"], "left").select("id", "text", "marks", "row_key")
