@@ -252,22 +252,27 @@ def _pack(bucket: np.ndarray, r: np.ndarray, kind: int, most: int, texts: tuple[
             body = b""
             if texts is not None:
                 data, starts, lens = texts
-                body = pa.compress(data[gather(starts[order[i:j]], lens[order[i:j]])].tobytes(), "zstd", asbytes=True)
+                body = _ZSTD.compress(data[gather(starts[order[i:j]], lens[order[i:j]])].tobytes(), asbytes=True)
             yield int(bucket[i]), kind, _columns(r[i:j]), body
 
 
+_ZSTD = pa.Codec("zstd", 3)
+
+
 def _columns(r: np.ndarray) -> bytes:
-    """Columns one after another, their bytes transposed so that they compress."""
-    return b"".join(np.ascontiguousarray(np.frombuffer(np.ascontiguousarray(r[n]).tobytes(), np.uint8).reshape(len(r), -1).T).tobytes() for n in _FIELDS)
+    """The number of records, and their columns one after another, bytes transposed, packed."""
+    raw = b"".join(np.ascontiguousarray(np.frombuffer(np.ascontiguousarray(r[n]).tobytes(), np.uint8).reshape(len(r), -1).T).tobytes() for n in _FIELDS)
+    return len(r).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def _rows(packed: bytes) -> np.ndarray:
-    n = len(packed) // RECORD.itemsize
+    n = int.from_bytes(packed[:8], "little")
+    raw = _ZSTD.decompress(packed[8:], n * RECORD.itemsize)
     out, at = np.zeros(n, RECORD), 0
     for name in _FIELDS:
         size = RECORD[name].itemsize
-        raw = np.frombuffer(packed, np.uint8, n * size, at).reshape(size, n).T
-        out[name] = np.frombuffer(np.ascontiguousarray(raw).tobytes(), RECORD[name])
+        column = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T
+        out[name] = np.frombuffer(np.ascontiguousarray(column).tobytes(), RECORD[name])
         at += n * size
     return out
 
@@ -379,15 +384,13 @@ def _rows_of_documents(r: np.ndarray, kept: np.dtype, kind: np.ndarray | None =
 
 
 def _by_document(wanted: tuple[int, ...], kept: np.dtype):
-    """Rows of documents from packed rows of the kinds in ``wanted``."""
+    """One row for each document of a bucket of documents, from its packed rows of the kinds in ``wanted``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 1024):
-                part = batch.slice(lo, 1024)
-                found = [(kind, _rows(packed.as_py())) for kind, packed in zip(part.column(1).to_pylist(), part.column(2)) if kind in wanted]
-                kind = np.repeat([k for k, _ in found], [len(x) for _, x in found])
-                yield pa.RecordBatch.from_arrays(list(_rows_of_documents(np.concatenate([np.zeros(0, RECORD), *(x for _, x in found)]), kept, kind)), names=["id", "row_key", "records"])
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = [(kind, _rows(packed)) for kind, packed in zip(group["kind"], group["records"]) if kind in wanted]
+        kind = np.repeat([k for k, _ in found], [len(x) for _, x in found])
+        docs, keys, parts = _rows_of_documents(np.concatenate([np.zeros(0, RECORD), *(x for _, x in found)]), kept, kind)
+        return pd.DataFrame({"id": docs, "row_key": keys, "records": parts.to_pylist()})
 
     return run
 
@@ -408,7 +411,7 @@ def _cut_out(length: int, buckets: int):
         for batch in batches:
             docs, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             data, offsets = text_bytes(batch.column(3))
-            for lo, hi in chunks(offsets, 1 << 21):
+            for lo, hi in chunks(offsets, BATCH_BYTES):
                 text, start = np.concatenate([data[offsets[lo] : offsets[hi]], np.zeros(8, np.uint8)]), offsets[lo:hi] - offsets[lo]
                 found, owner = _gathered(batch.column(2).slice(lo, hi - lo), PLACE)
                 rows = []
@@ -417,6 +420,8 @@ def _cut_out(length: int, buckets: int):
                     r = np.zeros(len(own), RECORD)
                     for name in ("at", "count", "gram"):
                         r[name] = found[name][found["kind"] == want]
+                    if not len(own):
+                        continue
                     if want == SPLIT:
                         each = r["count"].astype(np.int64) + 1
                         own, places = np.repeat(own, each), gather(r["at"].astype(np.int64), each)
@@ -446,13 +451,13 @@ def _opened(group: pd.DataFrame, kind: int, length: int) -> tuple[np.ndarray, np
     rows = group[group["kind"] == kind]
     parts = [_rows(x) for x in rows["records"]]
     sizes = [int((r["count"].astype(np.int64) + length).sum()) for r in parts]
-    text = np.concatenate([*(np.frombuffer(pa.decompress(x, n, "zstd"), np.uint8) for x, n in zip(rows["body"], sizes)), np.zeros(8, np.uint8)])
+    text = np.concatenate([*(np.frombuffer(_ZSTD.decompress(x, n), np.uint8) for x, n in zip(rows["body"], sizes)), np.zeros(8, np.uint8)])
     r = np.concatenate([np.zeros(0, RECORD), *parts])
     return r, text, np.concatenate([[0], np.cumsum(r["count"].astype(np.int64) + length)])[:-1]
 
 
-def _sort_bucket(length: int):
-    """Records and windows of a bucket that an earlier one equals, by document."""
+def _sort_bucket(length: int, buckets: int):
+    """Records and windows of a bucket that an earlier one equals."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         late = [np.zeros(0, RECORD), *(_rows(x) for x in group.loc[group["kind"] == REPEAT, "records"])]
@@ -476,8 +481,9 @@ def _sort_bucket(length: int):
             one = np.zeros(len(who), RECORD)
             one["doc"], one["key"], one["at"] = r["doc"][owner[who]], r["key"][owner[who]], r["at"][owner[who]] + (window[who] - base[owner[who]])
             late.append(_runs(one[_late(one, equal)]))
-        docs, keys, marks = _rows_of_documents(np.concatenate(late), RUN)
-        return pd.DataFrame({"id": docs, "row_key": keys, "records": marks.to_pylist()})
+        r = np.concatenate(late)
+        r["gram"] = 0
+        return _table(list(_pack(_spread(r, buckets), r, REPEAT, 1 << 16)))
 
     return run
 
@@ -558,12 +564,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False,
     scanned = long.mapInArrow(_scan(length, buckets, together_local), _PACKED)
     met = cut(scanned.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_meet(buckets, together, twins), _PACKED), "met")
     places = "id long, row_key long, records binary"
-    asked = met.mapInArrow(_by_document((OPEN, SPLIT, TWIN), PLACE), places).repartition(parts, "id", "row_key").groupBy("id", "row_key").agg(F.collect_list("records").alias("parts"))
+    asked = met.where(F.col("kind").isin(OPEN, SPLIT, TWIN)).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_by_document((OPEN, SPLIT, TWIN), PLACE), places)
+    asked = asked.repartition(parts, "id", "row_key").groupBy("id", "row_key").agg(F.collect_list("records").alias("parts"))
     # One shuffle of the texts serves both joins, as both stand in one plan.
     dealt = long.repartition(parts, "id", "row_key")
     opened = asked.join(dealt.dropDuplicates(["id", "row_key"]), ["id", "row_key"]).select("id", "row_key", "parts", "text")
-    sorted_ = opened.mapInArrow(_cut_out(length, buckets), _PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket(length), places)
-    gone = met.mapInArrow(_by_document((REPEAT,), RUN), places).unionAll(sorted_).repartition(parts, "id", "row_key").groupBy("id", "row_key").agg(F.collect_list("records").alias("marks"))
+    sorted_ = opened.mapInArrow(_cut_out(length, buckets), _PACKED).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_sort_bucket(length, buckets), _PACKED)
+    gone = met.where(F.col("kind") == REPEAT).unionAll(sorted_).repartition(buckets, "bucket").groupBy("bucket").applyInPandas(_by_document((REPEAT,), RUN), places)
+    gone = gone.repartition(parts, "id", "row_key").groupBy("id", "row_key").agg(F.collect_list("records").alias("marks"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", row_key long, kept_text string" if with_text else "")
     # Only long texts with an id can meet a mark; the others stay where they are.
     marked = dealt.join(gone, ["id", "row_key"], "left").select("id", "text", "marks", "row_key")
