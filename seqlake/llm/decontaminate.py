@@ -170,17 +170,31 @@ class Index:
 _FOUND = "doc_id long, row_key long, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
 
 
+_BUILT: dict[str, Index] = {}
+
+
+def _token(items: list[tuple[int, str | None]], window: int) -> str:
+    return hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _built(token: str, items: list[tuple[int, str | None]], window: int) -> Index:
+    """The index of ``items``, built once by each worker for all its tasks that follow each other."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = Index(items, window)
+    return _BUILT[token]
+
+
 def _find(items: list[tuple[int, str | None]], window: int):
-    kept: list[Index] = []
+    token = _token(items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            kept.append(Index(items, window))
+        index = _built(token, items, window)
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for i, j in chunks(offsets):
                 h, doc, _, _ = hashed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found = kept[0].hits(h, doc)
+                found = index.hits(h, doc)
                 spans = [[{"lo": s, "hi": e} for s, e in found.get(k, ([], ()))[0]] for k in range(j - i)]
                 ids = [sorted(map(str, found.get(k, ([], ()))[1])) for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
@@ -201,7 +215,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, with_
     shorter one. Words are runs of digits, letters and non-ASCII characters,
     A-Z lower-cased. Null and empty texts have no words and no hits; null and
     wordless items have no windows; repeated items count by their id. Repeated
-    rows and null ids come out as they come in. Other columns are ignored.
+    rows and null ids come out as they come in, an empty table gives no rows.
+    Texts of any length are read whole; one must fit in a task. Other columns,
+    whatever their names, are ignored.
 
     The items go to the driver and to each task in parts of AUTOMATON_BYTES,
     an automaton each; the parts' hits are joined by document.
@@ -275,13 +291,12 @@ def _cut(batch: pa.RecordBatch, coverage: float, find) -> Iterator[pa.RecordBatc
 
 
 def _strip(items: list[tuple[int, str | None]], window: int, coverage: float):
-    kept: list[Index] = []
+    token = _token(items, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            kept.append(Index(items, window))
+        index = _built(token, items, window)
         for batch in batches:
-            yield from _cut(batch, coverage, lambda i, j, h, doc: {k: spans for k, (spans, _) in kept[0].hits(h, doc).items()})
+            yield from _cut(batch, coverage, lambda i, j, h, doc: {k: spans for k, (spans, _) in index.hits(h, doc).items()})
 
     return run
 
@@ -304,6 +319,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     Documents with more than ``coverage`` of their words hit go whole. n_chars,
     if there, is counted anew where text went. For items beyond AUTOMATON_BYTES
     the spans of all parts are found in the unchanged texts and joined first.
+    Null texts, repeated rows and null ids stay as they come; an empty table
+    stays empty; columns of any other name pass through.
     """
     sized = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = sized.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]

@@ -3,7 +3,9 @@
 A page becomes a tree. Each node's composite density weighs its characters per
 tag against the characters and tags of its links; the node whose children's
 densities sum highest holds the article. The least density on the path from it
-to the body is what blocks beside that path must reach to be read too.
+to the body is what blocks beside that path must reach to be read too. Class and
+id words that notices, adverts or comments often bear don't decide: characters
+in their block count less, and its density must reach the same threshold.
 """
 
 from __future__ import annotations
@@ -30,7 +32,12 @@ NOISE_WORDS = frozenset(
     "share sharing social related recommended recommendations trending popular pagination pager skip "
     "comment comments commentlist disqus respond replies reply disclaimer legal copyright".split()
 )
+CONTENT_WORDS = frozenset("article story post entry content main text body news".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar form status".split())
+#: What a character in a block with such words counts.
+DOUBTED = 0.05
+#: Elements whose class and id words are not looked at: text itself, or what holds all of it.
+UNDOUBTED = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html".split())
 #: Elements that are parts of a text: the block around them is the text.
 TEXT_PARTS = INLINE | frozenset("p li dt dd ul ol dl h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure figcaption address tr tbody thead tfoot table caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -43,17 +50,19 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "top")
+    __slots__ = ("tag", "up", "parts", "noise", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: Node | None, noise: bool):
+    def __init__(self, tag: str, up: Node | None, noise: bool, doubted: bool = False):
         self.tag, self.up, self.noise = tag, up, noise
+        self.weight: float = (up.weight if up is not None else 1.0) * (DOUBTED if doubted else 1.0)
         self.parts: list = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = self.top = 0.0
+        self.chars = self.link_chars = 0.0
+        self.tags = self.link_tags = 0
+        self.density = self.total = 0.0
 
 
 def _is_noise(tag: str, attributes: str, up: Node) -> bool:
-    """Whether the element can't be article text by its name or by how it is named."""
+    """Whether the element's kind, role or visibility says that it holds no article text."""
     if tag == "header":
         while up is not None:
             if up.tag in ("article", "main"):
@@ -65,13 +74,7 @@ def _is_noise(tag: str, attributes: str, up: Node) -> bool:
         return False
     for name, *values in _NAMED.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id"):
-            words = set(_WORD.findall(value))
-            if words & {"has", "with", "no"}:
-                continue  # says what lies inside or is missing
-            if words & NOISE_WORDS or "header" in words and not words & {"article", "post", "entry", "content", "story"}:
-                return True
-        elif name == "role":
+        if name == "role":
             if value.strip() in NOISE_ROLES:
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -79,6 +82,20 @@ def _is_noise(tag: str, attributes: str, up: Node) -> bool:
     return False
 
 
+def _is_doubted(tag: str, attributes: str) -> bool:
+    """Whether a block's class or id has a word of noise and none of content."""
+    if not attributes.strip() or tag in UNDOUBTED:
+        return False
+    for name, *values in _NAMED.findall(attributes):
+        if name.lower() in ("class", "id"):
+            words = set(_WORD.findall("".join(values).lower()))
+            if words & {"has", "with", "no"} or words & CONTENT_WORDS:
+                continue  # says what lies inside or is missing, or that it is text
+            if words & NOISE_WORDS or "header" in words:
+                return True
+    return False
+
+
 def parse(page: str) -> Node:
     """The page's tree. Unclosed elements end where the standard ends them; stray end tags are dropped."""
     root = Node("html", None, False)
@@ -145,7 +162,7 @@ def parse(page: str) -> Node:
                 if up.tag in ends.split():
                     at = up.up
                 up = up.up
-        child = Node(tag, at, _is_noise(tag, m[3], at))
+        child = Node(tag, at, _is_noise(tag, m[3], at), _is_doubted(tag, m[3]))
         at.parts.append(child)
         if tag not in VOID and not m[3].endswith("/"):
             at = child
@@ -162,7 +179,7 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
-def _density(chars: int, tags: int, link_chars: int, link_tags: int, page_ratio: float) -> float:
+def _density(chars: float, tags: int, link_chars: float, link_tags: int, page_ratio: float) -> float:
     c, t, lc, lt = chars, max(tags, 1), max(link_chars, 1), max(link_tags, 1)
     base = math.log(c * link_chars / max(c - link_chars, 1) + page_ratio * c + math.e)
     return c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(base) if base > 1 else c / t
@@ -174,7 +191,7 @@ def _measure(nodes: list[Node], body: Node) -> float:
     Returns the body's share of characters in links.
     """
     for n in reversed(nodes):
-        n.chars += sum(len(_SPACE.sub("", p)) for p in n.parts if type(p) is str)
+        n.chars += n.weight * sum(len(_SPACE.sub("", p)) for p in n.parts if type(p) is str)
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.tags + 1
         if n.up is not None:
@@ -188,8 +205,6 @@ def _measure(nodes: list[Node], body: Node) -> float:
             n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags, page_ratio)
         if n.up is not None:
             n.up.total += n.density
-    for n in reversed(nodes):
-        n.top = max([n.total, *(p.top for p in n.parts if type(p) is not str)])
     return page_ratio
 
 
@@ -214,7 +229,7 @@ def _keep(node: Node, below: Node | None, threshold: float, page_ratio: float, w
     for unit in reversed(units):
         first = unit[0]
         inner = [p for p in unit if type(p) is not str and not p.noise]
-        chars = sum(len(_SPACE.sub("", p)) for p in unit if type(p) is str) + sum(p.chars for p in inner)
+        chars = node.weight * sum(len(_SPACE.sub("", p)) for p in unit if type(p) is str) + sum(p.chars for p in inner)
         if first is below or type(first) is not str and first.tag == "body":
             stays = follows = True
         elif not chars:
@@ -250,6 +265,15 @@ def main_node(root: Node) -> Node:
         threshold = min(threshold, top.density)
     while best is not top and best.tag in TEXT_PARTS:
         best = best.up
+    # A doubted block off the path must reach the threshold wherever it lies.
+    above = {id(top)}
+    up = best
+    while up is not top:
+        above.add(id(up))
+        up = up.up
+    for n in nodes:
+        if n.weight < 1 and id(n) not in above and (n.up is None or n.weight < n.up.weight) and n.density < threshold:
+            n.noise = True
     if best is top:
         _keep(top, None, threshold, page_ratio, True)
         return top
@@ -314,7 +338,10 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Null and empty html, and pages without article text, give an empty text.
     Rows with the same page_id are pages of their own; null ids and urls stay
-    null. Other columns are ignored. Each row is read alone: no shuffle.
+    null. Of subtrees with equal sums the first in page order is taken. A page
+    of any length is read whole; it must fit in a task. An empty table gives no
+    rows. Other columns, whatever their names, are ignored. Each row is read
+    alone: no shuffle.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_run, "page_id long, url string, text string, n_chars long")

@@ -356,6 +356,66 @@ def test_main_text_among_blocks_without_telling_names():
     assert body(f"<div class=c1><ul>{links}</ul></div>{article}") == want
 
 
+def test_main_text_is_decided_by_density_not_by_names():
+    """Misleading names on article text, and boilerplate without a listed name."""
+    text = "Article words that make up a long sentence of the story. " * 5
+    links = "".join(f"<li><a href=/{i}>Some other headline of the day {i}</a></li>" for i in range(30))
+    body = lambda x: html_extract.main_text(f"<html><body>{x}</body></html>")
+    for name in ("top-stories", "bottombox", "c9"):
+        assert body(f"<div class={name}><ul>{links}</ul></div><div class=x><p>{text}</p><p>{text}</p></div>") == f"{text.strip()} {text.strip()}"
+    assert body(f"<article class='related-reading story'><p>{text}</p></article>") == text.strip()
+    assert body(f"<div class=comments-on-law><p>{text}</p><p>{text}</p></div>") == f"{text.strip()} {text.strip()}"
+    assert body(f"<h1>Law</h1><div class=comments-on-law><p>{text}</p><p>{text}</p></div>").endswith(f"{text.strip()} {text.strip()}")
+    assert body(f"<article><p>{text}</p><p class='legal-news'>{text}</p></article>") == f"{text.strip()} {text.strip()}"
+    assert body(f"<article><p>{text}</p><div class=ad>Buy now, only today</div><p>{text}</p></article>") == f"{text.strip()} {text.strip()}"
+
+
+def plain_densities(node, page_ratio):
+    """Every node's density and sum over its children by the published formula, from its whole subtree each time."""
+    import math
+
+    def counts(n):
+        c = n.weight * sum(len("".join(p.split())) for p in n.parts if isinstance(p, str))
+        t = lc = lt = 0
+        for p in n.parts:
+            if not isinstance(p, str) and not p.noise:
+                pc, pt, plc, plt = counts(p)
+                c, t, lc, lt = c + pc, t + pt + 1, lc + plc, lt + plt
+        return (c, t, c, t + 1) if n.tag == "a" else (c, t, lc, lt)
+
+    def density(n):
+        c, t, lc, lt = counts(n)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + page_ratio * c + math.e)
+        if base <= 1:  # no links anywhere
+            return c / max(t, 1)
+        return (c / max(t, 1)) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / math.log(base)
+
+    return density(node), sum(density(p) for p in node.parts if not isinstance(p, str) and not p.noise)
+
+
+def test_densities_and_sums_match_the_formula_on_random_trees():
+    r = random.Random(12)
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.3:
+            return "word " * r.randint(0, 12)
+        tag = r.choice(["div", "section", "p", "a", "span", "ul", "nav", "div class=ad", "div class=share"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(r.randint(0, 4))) + f"</{tag.split()[0]}>"
+
+    for _ in range(60):
+        root = html_extract.parse("<html><body>" + "".join(tree(4) for _ in range(3)) + "</body></html>")
+        nodes = html_extract._nodes(root)
+        body = next(n for n in nodes if n.tag == "body")
+        ratio = html_extract._measure(nodes, body)
+        assert ratio == body.link_chars / max(body.chars, 1)
+        for n in nodes:
+            assert np.allclose((n.density, n.total), plain_densities(n, ratio))
+        best = max(nodes, key=lambda n: n.total)
+        assert np.isclose(best.total, max(plain_densities(n, ratio)[1] for n in nodes))
+
+
 # --------------------------------------------------------------------- search
 
 
