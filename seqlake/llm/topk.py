@@ -5,8 +5,10 @@ those whose component in one dimension lies in one impact level. For a query,
 each segment's impact is an upper bound on what it adds to a score; shifting by
 the dimension's least bound makes all impacts non-negative. Segments are
 processed by descending impact; what is unprocessed bounds every vector's score
-from above. It stops only on the proof that no vector outside a small set can
-reach the best k; those possible members are scored exactly.
+from above. After each further share of the postings the bounds are compared
+with the best exact scores so far, and it stops only on the proof that no vector
+outside a small set can reach the best k; those possible members are scored
+exactly.
 """
 
 from __future__ import annotations
@@ -17,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = 24
-#: Vectors and queries in one block at most; on fewer blocks than TASKS, queries are split further, to QUERIES_LEAST.
-VECTORS, QUERIES, QUERIES_LEAST, TASKS = 65_536, 4_096, 128, 16
-#: Shares of a block's postings that are processed before the proof is tried, one after the other.
-PARTS = (0.65, 1.0)
-#: Share of a block up to which possible members are scored exactly without reading further postings.
-ENOUGH = 0.25
+LEVELS = 48
+#: Components of the vectors in one block and queries in one, at most; on fewer blocks than TASKS, queries are split further, to QUERIES_LEAST.
+COMPONENTS, QUERIES, QUERIES_LEAST, TASKS = 1 << 21, 4_096, 128, 16
+#: Shares of a block's postings after which the proof is tried.
+SHARES = (0.2, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Share of a block (and of k, times) up to which possible members are scored exactly without reading further postings.
+ENOUGH, ENOUGH_K = 0.02, 16
 _LARGE = 1 << 62
 
 
@@ -43,47 +45,62 @@ class ImpactIndex:
         self.least = self.low[:, None] + self.width[:, None] * np.arange(LEVELS)
         self.greatest = np.minimum(self.least + self.width[:, None] - 1, high[:, None])
 
-        # Sums of products under 2**53 are exact as doubles, which numpy multiplies faster.
-        self.exact = np.float64 if int(np.abs(vectors).max(initial=0)) ** 2 * dims < 1 << 52 else np.int64
+        # Sums of products under 2**53 are exact as doubles, which numpy multiplies faster; those over 2**61 as Python's numbers alone.
+        most = int(np.abs(vectors).max(initial=0))
+        self.exact = np.float64 if most**2 * dims < 1 << 52 else np.int64 if most**2 * dims < 1 << 61 else object
         self.vectors = vectors.astype(self.exact)
+        self.reads = self.rescored = 0
 
     def _score(self, take: np.ndarray, query: np.ndarray) -> np.ndarray:
-        return (self.vectors[take] @ query.astype(self.exact)).astype(np.int64)
+        score = self.vectors[take] @ query.astype(self.exact)
+        return score if self.exact is object else score.astype(np.int64)
+
+    def _possible(self, query: np.ndarray, k: int, member: np.ndarray) -> np.ndarray:
+        """Rows of ``member`` that may be among its k best, by bounds from impacts."""
+        n, dims = self.vectors.shape
+        greatest = np.maximum(query[:, None] * self.least, query[:, None] * self.greatest)
+        size = self.bounds[:, 1:] - self.bounds[:, :-1]
+        floor = np.where(size > 0, greatest, _LARGE).min(axis=1)  # the least bound of a dimension's segments
+        impact = np.where(size > 0, greatest - floor[:, None], 0)
+        order = np.argsort(-impact, axis=None, kind="stable")
+        order = order[size.ravel()[order] > 0]
+        read = np.cumsum(size.ravel()[order])
+        left = np.where(size > 0, impact, -1)
+        # What the segments read so far add, and which dimensions they leave open for each vector.
+        added, seen, done = np.zeros(n, np.int64), np.zeros((dims, n), np.float32), 0
+        for share in SHARES:
+            until = int(np.searchsorted(read, share * n * dims, "right")) if share < 1 else len(order)
+            for seg in order[done:until].tolist():
+                d, level = divmod(seg, LEVELS)
+                rows = self.postings[d, self.bounds[d, level] : self.bounds[d, level + 1]]
+                added[rows] += impact[d, level]
+                seen[d, rows] = 1
+            left.ravel()[order[done:until]] = -1
+            done = until
+            open_ = np.maximum(left.max(axis=1), 0)  # what a dimension can add at most where its segment was not read
+            # The part of the bound that is closed is rounded, so it is taken off with one unit to spare a dimension.
+            closed = np.floor(open_.astype(np.float64) @ seen * (1 - 1e-5)).astype(np.int64) - dims
+            bound = np.where(member, int(floor.sum() + open_.sum()) + added - closed, -_LARGE)
+            tried = np.argpartition(-bound, min(n - 1, 8 * k))[: 8 * k]
+            tried = tried[member[tried]]
+            # The exact scores of the most promising prove what the k-th best is at least.
+            kth = np.partition(self._score(tried, query), len(tried) - k)[len(tried) - k]
+            possible = bound >= kth
+            if possible.sum() <= max(ENOUGH * n, ENOUGH_K * k):
+                break
+        self.reads += int(read[done - 1]) if done else 0
+        return possible
 
     def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (ids, scores), ties to the smaller id; the vector with id ``own`` is left out."""
-        n = len(self.ids)
         member = self.ids != own
-        if member.sum() > k:
-            a, b = query[:, None] * self.least, query[:, None] * self.greatest
-            greatest = np.maximum(a, b)
-            filled = self.bounds[:, 1:] > self.bounds[:, :-1]
-            floor = np.where(filled, greatest, _LARGE).min(axis=1)  # the least bound of a dimension's segments
-            impact = np.where(filled, greatest - floor[:, None], 0)
-            order = np.argsort(-impact, axis=None, kind="stable")
-            order = order[impact.ravel()[order] > 0]
-            read = np.cumsum((self.bounds[:, 1:] - self.bounds[:, :-1]).ravel()[order])
-            for part in PARTS:
-                now = order[: np.searchsorted(read, part * n * len(query), "right")]
-                left = impact.copy()
-                left.ravel()[now] = 0
-                open_ = left.max(axis=1)  # what a dimension can add at most where its segment was not processed
-                bound = np.full(n, int(floor.sum() + open_.sum()), np.int64)
-                for seg in now.tolist():
-                    d, level = divmod(seg, LEVELS)
-                    bound[self.postings[d, self.bounds[d, level] : self.bounds[d, level + 1]]] += impact[d, level] - open_[d]
-                # The exact scores of the most promising prove what the k-th best is at least.
-                bound[self.ids == own] = -_LARGE
-                tried = np.argpartition(-bound, min(n - 1, 8 * k))[: 8 * k]
-                tried = tried[self.ids[tried] != own]
-                kth = np.partition(self._score(tried, query), len(tried) - k)[len(tried) - k]
-                member = bound >= kth
-                if member.sum() <= ENOUGH * n:
-                    break
+        if member.sum() > 8 * k and self.exact is not object and int(np.abs(query).max(initial=0)) * max(int(np.abs(self.least).max()), int(np.abs(self.greatest).max())) * len(query) < 1 << 61:
+            member = self._possible(query, k, member)
         take = np.nonzero(member)[0]
+        self.rescored += len(take)
         score = self._score(take, query)
-        order = np.lexsort((self.ids[take], -score))[:k]
-        return self.ids[take][order], score[order]
+        order = np.lexsort((self.ids[take], -score)) if self.exact is not object else np.array(sorted(range(len(take)), key=lambda i: (-score[i], self.ids[take[i]])), np.int64)
+        return self.ids[take][order[:k]], score[order[:k]]
 
 
 def _search(k: int):
@@ -117,12 +134,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     that are null, empty or hold a null or non-finite component take no part;
     vectors of different lengths don't meet. Rows that repeat both vec_id and
     vector change nothing; different vectors of one vec_id all take part, as
-    candidates and as queries, whose best are ranked together. Other columns
-    are ignored.
+    candidates and as queries, whose best are ranked together. Scores are exact;
+    one beyond a long fails the query. A block holds a bounded number of
+    components, however wide the vectors. An empty table gives no rows. Other
+    columns, whatever their names, are ignored.
     """
     rows = quantised(vectors, scale).distinct()
-    n, queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
-    shards = max(1, -(-n // VECTORS))
+    components, queries = rows.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)), F.count_if(F.col("vec_id") % every == 0)).first()
+    shards = max(1, -(-components // COMPONENTS))
     turns = max(1, -(-queries // QUERIES), min(-(-queries // QUERIES_LEAST), -(-TASKS // shards)))
     block = lambda of, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(of)).cast("int")
     steps = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))

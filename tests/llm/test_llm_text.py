@@ -420,7 +420,7 @@ def test_densities_and_sums_match_the_formula_on_random_trees():
 
 
 def test_top_k_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(topk, "VECTORS", 70)
+    monkeypatch.setattr(topk, "COMPONENTS", 70 * 9)
     monkeypatch.setattr(topk, "QUERIES_LEAST", 3)
     rng = np.random.default_rng(3)
     v = rng.normal(0, 0.2, (300, 9))
@@ -442,7 +442,7 @@ def test_top_k_is_exact(spark, monkeypatch):
 
 
 def test_top_k_takes_all_vectors_of_a_repeated_id(spark, monkeypatch):
-    monkeypatch.setattr(topk, "VECTORS", 50)
+    monkeypatch.setattr(topk, "COMPONENTS", 50 * 4)
     monkeypatch.setattr(topk, "QUERIES_LEAST", 3)
     rng = np.random.default_rng(8)
     v = rng.integers(-9, 10, (120, 4))
@@ -455,3 +455,25 @@ def test_top_k_takes_all_vectors_of_a_repeated_id(spark, monkeypatch):
             want.setdefault(q, []).extend((-int(np.dot(x, y)), j) for j, y in rows if j != q)
     want = [(q, k + 1, j, -s) for q in want for k, (s, j) in enumerate(sorted(want[q])[:5])]
     assert sorted(tuple(r) for r in topk.top_k(df, 5, 10, 1).collect()) == sorted(want)
+
+
+def test_index_reads_a_part_and_rescores_few():
+    """On vectors with structure the proof stands before all is read, and few rows are scored exactly."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(0, 0.2, (40, 32))
+    v = np.floor(256 * (centre[rng.integers(0, 40, 4000)] + rng.normal(0, 0.05, (4000, 32)))).astype(np.int64)
+    index = topk.ImpactIndex(np.arange(4000), v)
+    for q in range(0, 4000, 100):
+        ids, score = index.search(v[q], 5, q)
+        want = sorted((-int(s), j) for j, s in enumerate(v @ v[q]) if j != q)[:5]
+        assert list(zip((-score).tolist(), ids.tolist())) == want
+    assert index.reads < 0.75 * 40 * v.size and index.rescored < 0.03 * 40 * 4000
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    big = [(0, [3e14, 1.0]), (1, [3e14, 2.0]), (2, [3e14, 3.0]), (50, [-3e14, 5.0])]
+    index = topk.ImpactIndex(np.array([i for i, _ in big]), np.array([[int(y) for y in x] for _, x in big], np.int64))
+    ids, score = index.search(np.array([3 * 10**14, 1]), 2, 0)
+    assert ids.tolist() == [2, 1] and [int(x) for x in score] == [9 * 10**28 + 3, 9 * 10**28 + 2]
+    df = spark.createDataFrame([(i, [y / 256 for y in x]) for i, x in [(0, [2e7, 1.0]), (1, [2e7, 2.0]), (2, [2e7, 3.0])]], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(df, 2).orderBy("rank").collect()] == [(2, 4 * 10**14 + 3), (1, 4 * 10**14 + 2)]
