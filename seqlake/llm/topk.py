@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-LEVELS = 48
+LEVELS = 32
 #: Components of the vectors in one block and queries in one, at most; on fewer blocks than TASKS, queries are split further, to QUERIES_LEAST.
 COMPONENTS, QUERIES, QUERIES_LEAST, TASKS = 1 << 21, 4_096, 128, 16
 #: Shares of a block's postings after which the proof is tried.
-SHARES = (0.2, 0.4, 0.6, 0.7, 0.8, 0.9, 1.0)
+SHARES = (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 1.0)
 #: Share of a block (and of k, times) up to which possible members are scored exactly without reading further postings.
-ENOUGH, ENOUGH_K = 0.02, 16
-_LARGE = 1 << 62
+ENOUGH, ENOUGH_K = 0.03, 16
+_LARGE, _COUNTED = 1 << 62, 1 << 48
 
 
 class ImpactIndex:
@@ -66,21 +66,19 @@ class ImpactIndex:
         order = order[size.ravel()[order] > 0]
         read = np.cumsum(size.ravel()[order])
         left = np.where(size > 0, impact, -1)
-        # What the segments read so far add, and which dimensions they leave open for each vector.
-        added, seen, done = np.zeros(n, np.int64), np.zeros((dims, n), np.float32), 0
+        # What the segments read so far add to each vector, and _COUNTED for each of its dimensions that was read.
+        added, done = np.zeros(n, np.int64), 0
         for share in SHARES:
             until = int(np.searchsorted(read, share * n * dims, "right")) if share < 1 else len(order)
             for seg in order[done:until].tolist():
                 d, level = divmod(seg, LEVELS)
-                rows = self.postings[d, self.bounds[d, level] : self.bounds[d, level + 1]]
-                added[rows] += impact[d, level]
-                seen[d, rows] = 1
+                added[self.postings[d, self.bounds[d, level] : self.bounds[d, level + 1]]] += impact[d, level] + _COUNTED
             left.ravel()[order[done:until]] = -1
             done = until
             open_ = np.maximum(left.max(axis=1), 0)  # what a dimension can add at most where its segment was not read
-            # The part of the bound that is closed is rounded, so it is taken off with one unit to spare a dimension.
-            closed = np.floor(open_.astype(np.float64) @ seen * (1 - 1e-5)).astype(np.int64) - dims
-            bound = np.where(member, int(floor.sum() + open_.sum()) + added - closed, -_LARGE)
+            # A vector with c dimensions read lacks at least the c least of what is open.
+            closed = np.concatenate([[0], np.cumsum(np.sort(open_))])
+            bound = np.where(member, int(floor.sum() + open_.sum()) + (added & (_COUNTED - 1)) - closed[added >> 48], -_LARGE)
             tried = np.argpartition(-bound, min(n - 1, 8 * k))[: 8 * k]
             tried = tried[member[tried]]
             # The exact scores of the most promising prove what the k-th best is at least.
@@ -94,7 +92,7 @@ class ImpactIndex:
     def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (ids, scores), ties to the smaller id; the vector with id ``own`` is left out."""
         member = self.ids != own
-        if member.sum() > 8 * k and self.exact is not object and int(np.abs(query).max(initial=0)) * max(int(np.abs(self.least).max()), int(np.abs(self.greatest).max())) * len(query) < 1 << 61:
+        if member.sum() > 8 * k and self.exact is not object and int(np.abs(query).max(initial=0)) * max(int(np.abs(self.least).max()), int(np.abs(self.greatest).max())) * len(query) < 1 << 45 and len(query) < 1 << 13:
             member = self._possible(query, k, member)
         take = np.nonzero(member)[0]
         self.rescored += len(take)
