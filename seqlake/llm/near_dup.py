@@ -214,20 +214,24 @@ def _partnered(percent: int):
 
 
 def _confirm(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = _least_alike(percent)
-        for b in batches:
-            keep = []
-            for x, y, s, t in zip(b.column(2), b.column(3), b.column(4), b.column(5)):
-                sig = np.frombuffer(s.as_buffer(), np.uint8) == np.frombuffer(t.as_buffer(), np.uint8)
-                if sig.mean() < least:
-                    keep.append(False)
-                    continue
-                p, q = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                inter = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                keep.append(100 * inter >= percent * (len(p) + len(q) - inter))
-            out = b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-            yield out.rename_columns(["u", "v"])
+    """Links of one pivot with the others of a part, as (u, v): signatures first, then full sets."""
+    least = _least_alike(percent)
+
+    def run(others: pd.DataFrame, pivot: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        if not len(others) or not len(pivot):
+            return none
+        p, sig = np.frombuffer(pivot["p"].iloc[0], U64), np.frombuffer(pivot["s"].iloc[0], np.uint8)
+        alike = [(np.frombuffer(t, np.uint8) == sig).mean() >= least for t in others["t"]]
+        sets = [np.frombuffer(q, U64) for q, near in zip(others["q"], alike) if near]
+        if not sets:
+            return none
+        size = np.array([len(q) for q in sets])
+        q = np.concatenate(sets)
+        inter = np.add.reduceat((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).astype(np.int64), np.cumsum(size) - size)
+        keep = 100 * inter >= percent * (len(p) + size - inter)
+        v = others["node"].to_numpy()[alike][keep]
+        return pd.DataFrame({"u": np.full(len(v), pivot["pivot"].iloc[0]), "v": v})
 
     return run
 
@@ -287,8 +291,9 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, id_column: str,
     known = sets.select("node", "signature").join(shingles, "node")
     left = pairs.select("pivot", "parts", "part").distinct().join(known.select(F.col("node").alias("pivot"), F.col("shingles").alias("p"), F.col("signature").alias("s")), "pivot")
     right = pairs.join(known.select("node", F.col("shingles").alias("q"), F.col("signature").alias("t")), "node")
-    tried = right.join(left, ["pivot", "parts", "part"]).select(F.col("pivot").alias("u"), F.col("node").alias("v"), "p", "q", "s", "t")
-    first = connected_components(tried.mapInArrow(_confirm(percent), "u long, v long"))
+    of = ["pivot", "parts", "part"]
+    links = right.select(*of, "node", "q", "t").groupBy(*of).cogroup(left.select(*of, "p", "s").groupBy(*of)).applyInPandas(_confirm(percent), "u long, v long")
+    first = connected_components(links)
     more = _rest_of_buckets(members, sets, shingles, first, percent)
     comp = first if more is None else connected_components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more))
     # A component's id is the smallest document id behind its nodes.
