@@ -231,7 +231,7 @@ def _confirm(percent: int):
         inter = np.add.reduceat((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).astype(np.int64), np.cumsum(size) - size)
         keep = 100 * inter >= percent * (len(p) + size - inter)
         v = others["node"].to_numpy()[alike][keep]
-        return pd.DataFrame({"u": np.full(len(v), pivot["pivot"].iloc[0]), "v": v})
+        return pd.DataFrame({"u": np.full(len(v), pivot["u"].iloc[0]), "v": v})
 
     return run
 
@@ -291,8 +291,8 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, id_column: str,
     known = sets.select("node", "signature").join(shingles, "node")
     left = pairs.select("pivot", "parts", "part").distinct().join(known.select(F.col("node").alias("pivot"), F.col("shingles").alias("p"), F.col("signature").alias("s")), "pivot")
     right = pairs.join(known.select("node", F.col("shingles").alias("q"), F.col("signature").alias("t")), "node")
-    of = ["pivot", "parts", "part"]
-    links = right.select(*of, "node", "q", "t").groupBy(*of).cogroup(left.select(*of, "p", "s").groupBy(*of)).applyInPandas(_confirm(percent), "u long, v long")
+    own = left.select(F.col("pivot").alias("u"), F.col("parts").alias("of"), F.col("part").alias("k"), "p", "s").groupBy("u", "of", "k")
+    links = right.select("pivot", "parts", "part", "node", "q", "t").groupBy("pivot", "parts", "part").cogroup(own).applyInPandas(_confirm(percent), "u long, v long")
     first = connected_components(links)
     more = _rest_of_buckets(members, sets, shingles, first, percent)
     comp = first if more is None else connected_components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionAll(more))
