@@ -61,7 +61,7 @@ def listing(files: DataFrame, prefix: str, suffix: str = ".flac") -> DataFrame:
 
 def in_hours(files: DataFrame, hours: DataFrame) -> DataFrame:
     """Files whose name's hour is among ``hours`` (hour); unreadable names go."""
-    keyed = files.withColumn("hour", hour_key(file_time(F.col("name")))).where("hour is not null")
+    keyed = files.withColumn("hour", hour_key(file_time(F.col("name"))))
     return keyed.join(hours.select("hour").distinct(), "hour", "left_semi").drop("hour")
 
 

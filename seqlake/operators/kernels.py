@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
+from ..functions.vocabulary import is_coda
 
 # The published model sizes.
 PRESETS = (
@@ -81,7 +82,8 @@ def accuracy(predictions: DataFrame, k: int = 5) -> DataFrame:
 
 
 def accuracy_by_target(predictions: DataFrame, name) -> DataFrame:
-    t = predictions.where("target <> 0").select(F.col("target"), (argmax(F.col("logits")) == F.col("target")).cast("int").alias("ok"))
+    """type, accuracy, n for each call type that is a target; other kinds of tokens have no row."""
+    t = predictions.where(is_coda(F.col("target"))).select(F.col("target"), (argmax(F.col("logits")) == F.col("target")).cast("int").alias("ok"))
     return t.groupBy(name(F.col("target")).alias("type")).agg(F.avg("ok").alias("accuracy"), F.count("*").alias("n"))
 
 

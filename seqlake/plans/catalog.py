@@ -61,8 +61,10 @@ _FLAC = "flacs AS (SELECT DISTINCT 'S_01_' || strftime(l_shipdate, '%Y%m%d') ||
 
 def flacs(spark, sf_dir):
     li = X._wall(X.table(spark, sf_dir, "lineitem"), "l_shipdate")
+    # Names are made once for each date, not for each row.
+    li = li.groupBy("l_shipdate").agg(F.max(F.col("l_orderkey") % 5 == 0).alias("fifth"))
     a = li.select(F.concat(F.lit("S_01_"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("T000000Z.flac")).alias("name"))
-    b = li.where("l_orderkey % 5 = 0").select(F.concat(F.lit("S_"), F.date_format("l_shipdate", "yyMMdd"), F.lit("120000.flac")).alias("name"))
+    b = li.where("fifth").select(F.concat(F.lit("S_"), F.date_format("l_shipdate", "yyMMdd"), F.lit("120000.flac")).alias("name"))
     return a.unionAll(b).distinct()
 
 

@@ -41,12 +41,12 @@ TYPE_SQL = """CASE WHEN CodaType IS NOT NULL THEN (CASE CodaType WHEN '1+1+3' TH
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as one-dimensional token files: source, stem, dir_ordinal, tokens (1..1024)."""
     d = table(spark, sf_dir, "documents")
-    tokens = F.transform(F.split(F.substring("text", 1, 400), ""), lambda c: (F.ascii(c) % 1024 + 1).cast("int"))
+    tokens = F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 1024 + 1).cast("int"))
     return d.select("doc_id", "source", F.format_string("%s_%06d", "source", "doc_id").alias("stem"), F.lit(0).alias("dir_ordinal"), tokens.alias("tokens"))
 
 
 TOKEN_FILES_SQL = """token_files AS (SELECT doc_id, source, source || '_' || lpad(doc_id::VARCHAR, 6, '0') AS stem, 0 AS dir_ordinal,
-  list_transform(range(1, least(length(text), 400) + 1), lambda i: (unicode(text[i]) % 1024 + 1)::INTEGER) AS tokens FROM documents)"""
+  list_transform(range(1, length(text) + 1), lambda i: (unicode(text[i]) % 1024 + 1)::INTEGER) AS tokens FROM documents)"""
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,11 +68,11 @@ AUDIO_SQL = "audio AS (SELECT vec_id, label, list_transform(embedding, lambda x:
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as next-token logits over 64 tokens, the label as target (0 is padding)."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("int").alias("target"), F.transform("embedding", lambda x: x.cast("double") * 20).alias("logits"))
+    """embeddings as next-token logits over 64 tokens, seven times the label as target (0 is padding)."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") * 7).cast("int").alias("target"), F.transform("embedding", lambda x: x.cast("double") * 20).alias("logits"))
 
 
-LOGITS_SQL = "logits AS (SELECT vec_id, label::INTEGER AS target, list_transform(embedding, lambda x: x::DOUBLE * 20) AS logits FROM embeddings)"
+LOGITS_SQL = "logits AS (SELECT vec_id, (label * 7)::INTEGER AS target, list_transform(embedding, lambda x: x::DOUBLE * 20) AS logits FROM embeddings)"
 
 
 def chunk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,9 +49,12 @@ def accuracy(spark, sf_dir):
     return a.select(F.round("top1_accuracy", 8).alias("top1_accuracy"), F.round("topk_accuracy", 8).alias("topk_accuracy"), "total_tokens")
 
 
-@query("accuracy_by_type", f"WITH {_TOP}, t AS (SELECT target, avg((top[1] = target)::INT) AS a, count(*) AS n FROM tops WHERE target <> 0 GROUP BY 1) SELECT CASE WHEN target < 3 THEN ['<bos>', '<eos>'][target] WHEN target < 8 THEN ['<pause:0-0.5s>', '<pause:0.5-2s>', '<pause:2-5s>', '<pause:5-15s>', '<pause:>15s>'][target - 2] ELSE '<whale:' || (target - 7) || '>' END AS type, round(a, 8) AS accuracy, n FROM t ORDER BY a DESC, 1 LIMIT 10")
+_TYPES = ", ".join(f"'{t}'" for t in V.CODA_TYPES)
+
+
+@query("accuracy_by_type", f"WITH {_TOP}, t AS (SELECT target, avg((top[1] = target)::INT) AS a, count(*) AS n FROM tops WHERE target >= 28 GROUP BY 1) SELECT [{_TYPES}][target - 27] AS type, round(a, 8) AS accuracy, n FROM t ORDER BY a DESC, 1 LIMIT 10")
 def accuracy_by_type(spark, sf_dir):
-    """By target, the ten best."""
+    """By call type, the ten best."""
     a = K.accuracy_by_target(X.logits(spark, sf_dir), V.decode_token)
     return a.select("type", F.round("accuracy", 8).alias("accuracy"), "n").orderBy(F.desc("accuracy"), "type").limit(10)
 
