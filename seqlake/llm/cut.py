@@ -14,12 +14,16 @@ _FOLDERS: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The application's own folder below ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset, as in tests
-    on one machine, a temporary folder takes its place.
+    The setting is read from the session. Where it is unset and driver and
+    executors are one process, as in tests, a temporary folder takes its place;
+    on a cluster that fails, as executors would not see each other's files.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
-        root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-cut-")
+        root, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not root and not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = root or tempfile.mkdtemp(prefix="spark-cut-")
         _FOLDERS[app] = f"{root.rstrip('/')}/seqlake-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove, spark, _FOLDERS[app])
     return _FOLDERS[app]
