@@ -1,7 +1,7 @@
 """Signal operators: segmentation on frames, and Arrow UDFs for filters and spectra.
 
 Filters and spectra run per clip inside tasks (numpy only); clips are rows, so
-Spark deals out the work. Long recordings are rows of blocks.
+Spark deals out the work. Long recordings are cut in ``segments``.
 """
 
 from __future__ import annotations
@@ -34,9 +34,9 @@ def frames(clips: DataFrame, frame: int, hop: int, key: str = "id", samples: str
     """key, frame_no, energy (RMS). max(1, (n - frame) // hop) frames, or with ``inclusive`` as many as start before n - frame."""
     n = F.size(samples) - frame
     count = F.ceil(n / hop) if inclusive else F.greatest(F.lit(1), F.floor(n / hop))
-    rows = clips.where(n > 0 if inclusive else F.size(samples) > 0).select(key, F.col(samples).alias("__s"), F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))).alias("frame_no"))
-    part = F.slice("__s", F.col("frame_no") * hop + 1, F.lit(frame))
-    return rows.select(key, "frame_no", F.sqrt(F.aggregate(part, F.lit(0.0), lambda a, x: a + x * x) / F.size(part)).alias("energy"))
+    part = lambda i: F.slice(samples, i * hop + 1, F.lit(frame))
+    energy = F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda i: let(part(i), lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v) / F.size(x))))
+    return clips.where(n > 0 if inclusive else F.size(samples) > 0).select(key, F.posexplode(energy).alias("frame_no", "energy"))
 
 
 def runs(energy: DataFrame, active: Column, key: str = "id") -> DataFrame:
@@ -148,19 +148,36 @@ def butterworth_band(order: int, low: float, high: float) -> np.ndarray:
     return sos
 
 
-def sos_filter(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cascaded sections over one signal (direct form II, transposed)."""
+def sos_filter(sos: np.ndarray, x: np.ndarray, block: int = 256) -> np.ndarray:
+    """Cascaded sections over one signal.
+
+    A block's output is its response from rest, a product with the section's
+    impulse response, plus the response to the two state values it starts
+    with; only the states are carried from block to block.
+    """
     y = np.asarray(x, np.float64)
+    n = len(y)
+    if not n:
+        return y.copy()
+    rows = -(-n // block)
+    y = np.pad(y, (0, rows * block - n)).reshape(rows, block)
     for b0, b1, b2, _, a1, a2 in sos:
-        out = np.empty_like(y)
-        s1 = s2 = 0.0
-        for i, v in enumerate(y.tolist()):
-            o = b0 * v + s1
-            s1 = b1 * v - a1 * o + s2
-            s2 = b2 * v - a2 * o
-            out[i] = o
-        y = out
-    return y
+        step = np.array([[-a1, 1.0], [-a2, 0.0]])
+        enter = np.array([b1 - a1 * b0, b2 - a2 * b0])
+        powers = [np.eye(2)]
+        for _ in range(block):
+            powers.append(step @ powers[-1])
+        powers = np.array(powers)
+        impulse = np.concatenate([[b0], (powers[: block - 1] @ enter)[:, 0]])
+        lag = np.arange(block)[:, None] - np.arange(block)
+        rest = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+        ends = y @ (powers[block - 1 :: -1] @ enter)
+        state, states = np.zeros(2), np.empty((rows, 2))
+        for i in range(rows):
+            states[i] = state
+            state = powers[block] @ state + ends[i]
+        y = y @ rest.T + states @ powers[:block, 0, :].T
+    return y.reshape(-1)[:n]
 
 
 def bandpass(low_hz: float = 80, high_hz: float = 20000, order: int = 5, limit: float = 0.95):
@@ -443,34 +460,51 @@ def denoised(level: str = "medium"):
     return run
 
 
-def resampled(target: int):
-    """A UDF (samples, sr) -> samples at the target rate: windowed sinc, 32 zero crossings to a side."""
+def gated(level: str = "medium"):
+    """A UDF samples -> samples after the gates of a denoise level alone."""
 
     @pandas_udf(SAMPLES)
-    def run(samples: pd.Series, sr: pd.Series) -> pd.Series:
+    def run(samples: pd.Series) -> pd.Series:
         out = []
-        for x, rate in zip(samples, sr):
-            x = np.asarray(x, np.float64)
-            if rate == target or not len(x):
-                out.append(x)
-                continue
-            n = int(np.ceil(len(x) * target / rate))
-            cut = min(1.0, target / rate)
-            half = int(np.ceil(32 / cut))
-            at = np.arange(n) * (rate / target)
-            base = np.floor(at).astype(int)
-            y = np.zeros(n)
-            for k in range(-half, half + 1):
-                j = base + k
-                d = at - j
-                ok = (j >= 0) & (j < len(x)) & (np.abs(d) <= half)
-                y[ok] += x[j[ok]] * cut * np.sinc(cut * d[ok]) * (0.5 + 0.5 * np.cos(np.pi * d[ok] / half))
+        for x in samples:
+            y = np.asarray(x, np.float64)
+            for strength, stationary in DENOISE[level][4]:
+                y = spectral_gate(y, strength, stationary)
             out.append(y)
         return pd.Series(out)
 
     return run
 
 
+def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """One signal at another rate: windowed sinc, 32 zero crossings to a side."""
+    x = np.asarray(x, np.float64)
+    if rate == target or not len(x):
+        return x
+    n = int(np.ceil(len(x) * target / rate))
+    cut = min(1.0, target / rate)
+    half = int(np.ceil(32 / cut))
+    at = np.arange(n) * (rate / target)
+    base = np.floor(at).astype(int)
+    y = np.zeros(n)
+    for k in range(-half, half + 1):
+        j = base + k
+        d = at - j
+        ok = (j >= 0) & (j < len(x)) & (np.abs(d) <= half)
+        y[ok] += x[j[ok]] * cut * np.sinc(cut * d[ok]) * (0.5 + 0.5 * np.cos(np.pi * d[ok] / half))
+    return y
+
+
+def resampled(target: int):
+    """A UDF (samples, sr) -> samples at the target rate."""
+
+    @pandas_udf(SAMPLES)
+    def run(samples: pd.Series, sr: pd.Series) -> pd.Series:
+        return pd.Series([resample(x, int(rate), target) for x, rate in zip(samples, sr)])
+
+    return run
+
+
 # ----------------------------------------------------------- codec, detector
 
 

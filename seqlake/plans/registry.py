@@ -7,7 +7,7 @@ from importlib import import_module
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-_MODULES = ("symbolic", "training", "quality", "catalog", "kernels", "signal")
+_MODULES = ("symbolic", "training", "quality", "catalog", "kernels", "signal", "audio")
 
 
 def query(name: str, sql: str | None = None):

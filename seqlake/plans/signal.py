@@ -10,14 +10,15 @@ from . import fixtures as X
 from .registry import query
 
 A = X.AUDIO_SQL
-#: Clips of one label in the order of their ids, one signal; copies are shifted by one sample and halved.
-_LONG = f"{A}, long AS (SELECT label AS id, flatten(list(samples ORDER BY vec_id)) AS samples FROM audio GROUP BY 1)"
+#: A recording: the clips of one label among 512 ids, in the order of their ids. Its length is bounded at any size of the table.
+_LONG = f"{A}, long AS (SELECT label::BIGINT * 1000000 + vec_id // 512 AS id, flatten(list(samples ORDER BY vec_id)) AS samples FROM audio GROUP BY 1)"
 _FRAMES = f"{_LONG}, fr AS (SELECT id, samples, unnest(range(0, greatest(1, (len(samples) - 16) // 8))) AS frame_no FROM long), energy AS (SELECT id, frame_no, sqrt(list_avg(list_transform(samples[frame_no * 8 + 1:frame_no * 8 + 16], lambda x: x * x))) AS energy FROM fr)"
 
 
 def long_signals(spark, sf_dir):
     a = X.audio(spark, sf_dir)
-    return a.groupBy(F.col("label").alias("id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "samples"))).alias("p")).select("id", F.flatten(F.transform("p", lambda x: x["samples"])).alias("samples"))
+    key = F.col("label").cast("long") * 1000000 + F.expr("vec_id div 512")
+    return a.groupBy(key.alias("id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "samples"))).alias("p")).select("id", F.flatten(F.transform("p", lambda x: x["samples"])).alias("samples"))
 
 
 @query("frame_energies", f"WITH {_FRAMES} SELECT id, frame_no, round(energy, 8) AS energy FROM energy")
@@ -158,7 +159,7 @@ def spectral_metrics(spark, sf_dir):
 
 @query("band_metrics")
 def band_metrics(spark, sf_dir):
-    """Band signal, its variation, level and share."""
+    """Band signal, its variation, level and share."""
     b = _rated(spark, sf_dir).select("id", "samples", "sr", G.bandpass(200, 3500)("samples", "sr").alias("band"))
     e = Q.frame_energies(F.col("band"), 80, 80)
     cv = F.sqrt(Q.variance(e)) / F.greatest(Q.mean_of(e), F.lit(1e-10))
@@ -174,7 +175,7 @@ def loudness(spark, sf_dir):
 
 @query("denoised_levels")
 def denoised_levels(spark, sf_dir):
-    """Three denoise levels."""
+    """Three denoise levels."""
     out = None
     for level in ("demo", "medium", "aggressive"):
         s = _rated(spark, sf_dir).select(F.lit(level).alias("level"), "id", F.size("samples").alias("n"), G.denoised(level)("samples", "sr").alias("y"))

@@ -80,6 +80,21 @@ def token_arrays(spark: SparkSession, paths) -> DataFrame:
     return d.where(F.element_at("shape", -1) > 2)
 
 
+def token_lengths(spark: SparkSession, paths, item_bytes: int = 4, codebooks: int = 1) -> DataFrame:
+    """dir_ordinal, path, stem, steps of array files from their sizes alone; no content is read.
+
+    Holds for arrays of ``item_bytes`` wide items in files written by
+    ``numpy.save``, whose header takes 128 bytes; those of two steps or fewer
+    are left out.
+    """
+    out = None
+    for i, p in enumerate([paths] if isinstance(paths, str) else paths):
+        f = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(p).select(F.lit(i).alias("dir_ordinal"), "path", "length")
+        out = f if out is None else out.unionAll(f)
+    steps = F.floor((F.col("length") - 128) / (item_bytes * codebooks))
+    return out.select("dir_ordinal", "path", F.regexp_extract("path", r"([^/]+)\.npy$", 1).alias("stem"), steps.alias("steps")).where("steps > 2")
+
+
 def config(path: str) -> dict:
     """A run's settings: JSON, or YAML where a YAML library is installed."""
     import json

@@ -37,10 +37,22 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def retained(checkpoints: DataFrame, k: int = 3) -> DataFrame:
-    """The manifest with keep: the k least losses, ties to the earlier step."""
-    order = checkpoints.orderBy("val_loss", "step").limit(k).select("step")
-    return checkpoints.join(F.broadcast(order.withColumn("keep", F.lit(True))), "step", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
+def retained(checkpoints: DataFrame, k: int = 3, run: tuple[str, ...] = ()) -> DataFrame:
+    """The manifest (step, val_loss, columns of ``run``) with keep and on_disk.
+
+    keep: the k least losses of a run, ties to the earlier step. A checkpoint
+    that is worse than k others the moment it is written is forgotten but never
+    unlinked, so on_disk holds for those as well. Displaced losses are handed
+    on from place to place by running minima: k windows over one sort.
+    """
+    before = Window.partitionBy(*run).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    out, loss = checkpoints.withColumn("__x", F.col("val_loss").cast("double")), F.col("val_loss").cast("double")
+    for place in range(k):
+        out = out.withColumn(f"__m{place}", F.coalesce(F.min("__x").over(before), F.lit(float("inf"))))
+        out = out.withColumn("__x", F.greatest("__x", f"__m{place}"))
+    best = F.row_number().over(Window.partitionBy(*run).orderBy("val_loss", "step")) <= k
+    out = out.withColumn("keep", best).withColumn("on_disk", F.col("keep") | (F.col(f"__m{k - 1}") <= loss))
+    return out.drop("__x", *[f"__m{i}" for i in range(k)])
 
 
 def run_metadata(df: DataFrame, **settings) -> DataFrame:

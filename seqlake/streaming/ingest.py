@@ -44,7 +44,9 @@ def sessions(events: DataFrame, gap: str = "15 seconds", late: str = "1 minute")
 
 
 def live_tokens(calls: DataFrame) -> DataFrame:
-    """REC, TsTo, tokens per call as it comes: the last time of each recording is the state.
+    """REC, TsTo, pause, tokens of each call as it comes: the last time of each recording is the state.
+
+    tokens: pause, whale and call type, those there are.
 
     ``calls`` has REC, TsTo, Duration, Whale, CodaType and comes in order
     within a recording. Noise gives no tokens and leaves the state.
@@ -59,13 +61,16 @@ def live_tokens(calls: DataFrame) -> DataFrame:
                 if isinstance(r.CodaType, str) and "NOISE" in r.CodaType:
                     continue
                 gap = r.TsTo - last - r.Duration if last is not None else None
-                out.append((key[0], r.TsTo, gap))
+                whale = int(r.Whale) if pd.notna(r.Whale) else None
+                out.append((key[0], r.TsTo, gap, whale, r.CodaType if isinstance(r.CodaType, str) else None))
                 last = r.TsTo
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame(out, columns=["REC", "TsTo", "gap"])
+        yield pd.DataFrame(out, columns=["REC", "TsTo", "gap", "Whale", "CodaType"]).astype({"Whale": "Int32"})
 
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    gaps = calls.groupBy("REC").applyInPandasWithState(step, "REC string, TsTo double, gap double", "last double", "append", GroupStateTimeout.NoTimeout)
-    return gaps.select("REC", "TsTo", V.pause_token(F.col("gap")).alias("pause"))
+    gaps = calls.groupBy("REC").applyInPandasWithState(step, "REC string, TsTo double, gap double, Whale int, CodaType string", "last double", "append", GroupStateTimeout.NoTimeout)
+    pause = V.pause_token(F.col("gap"))
+    parts = F.array(pause, V.whale_token(F.col("Whale")), V.type_token(F.col("CodaType")))
+    return gaps.select("REC", "TsTo", pause.alias("pause"), F.array_compact(parts).alias("tokens"))
