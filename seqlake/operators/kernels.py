@@ -156,11 +156,16 @@ def attention_span(positions: DataFrame, window: int | None) -> DataFrame:
     return rows.select("seq", "q", F.explode(F.sequence(low, F.col("q"))).alias("k"))
 
 
-def rotary_table(spark: SparkSession, positions: int, dim: int, base: float = 10000.0) -> DataFrame:
-    """pos, i, cos, sin."""
+def rotary_angles(positions: DataFrame, dim: int, base: float = 10000.0) -> DataFrame:
+    """``positions`` (pos and any columns) with i, cos, sin: a row for each of dim // 2 angles."""
     angle = F.col("pos") / F.pow(F.lit(base), 2.0 * F.col("i") / dim)
-    grid = spark.range(positions * (dim // 2)).select(F.floor(F.col("id") / (dim // 2)).alias("pos"), (F.col("id") % (dim // 2)).alias("i"))
-    return grid.select("pos", "i", F.cos(angle).alias("cos"), F.sin(angle).alias("sin"))
+    grid = positions.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(dim // 2 - 1).cast("long"))).alias("i"))
+    return grid.select("*", F.cos(angle).alias("cos"), F.sin(angle).alias("sin"))
+
+
+def rotary_table(spark: SparkSession, positions: int, dim: int, base: float = 10000.0) -> DataFrame:
+    """pos, i, cos, sin of the first ``positions``."""
+    return rotary_angles(spark.range(positions).withColumnRenamed("id", "pos"), dim, base)
 
 
 def rotated(x: Column, pos: Column, dim: int, base: float = 10000.0) -> Column:

@@ -27,17 +27,37 @@ def source_prefix(stem: Column) -> Column:
     return F.when(stem.rlike(r"^.*_[0-9]+$"), p).otherwise(stem)
 
 
+def running_sum(df: DataFrame, key: str, order: list[str], value: Column, name: str, bucket: list[Column]) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each in its key's order.
+
+    Sums run within buckets, which must rise with the order; only the buckets'
+    totals of a key are sorted in one task. A null key is a key of its own.
+    """
+    parts = [f"__b{i}" for i in range(len(bucket))]
+    b = df.select("*", value.alias("__v"), *[c.alias(p) for c, p in zip(bucket, parts)])
+    totals = b.groupBy(F.col(key).alias("__k"), *[F.col(p).alias(f"{p}t") for p in parts]).agg(F.sum("__v").alias("__t"))
+    along = Window.partitionBy("__k").orderBy(*[f"{p}t" for p in parts]).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("__o", F.coalesce(F.sum("__t").over(along), F.lit(0))).drop("__t")
+    inside = Window.partitionBy(key, *parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    on = F.col(key).eqNullSafe(F.col("__k"))
+    for p in parts:
+        on = on & F.col(p).eqNullSafe(F.col(f"{p}t"))
+    summed = b.withColumn("__s", F.coalesce(F.sum("__v").over(inside), F.lit(0))).join(before, on)
+    return summed.withColumn(name, F.col("__s") + F.col("__o")).drop("__v", "__s", "__o", "__k", *parts, *[f"{p}t" for p in parts])
+
+
 def concat_index(files: DataFrame) -> DataFrame:
     """Per file: prefix, offset in its group's sequence, n, total of the group, is_last.
 
     A separator stands between files, so offsets grow by n + 1. Only names and
-    lengths pass through the window, never tokens.
+    lengths are summed, never tokens; files whose running numbers share their
+    first three digits are a bucket.
     """
     slim = files.select("dir_ordinal", "stem", source_prefix(F.col("stem")).alias("prefix"), F.size("tokens").cast("long").alias("n")).where("n > 2")
-    order = Window.partitionBy("prefix").orderBy("dir_ordinal", "stem")
-    group = Window.partitionBy("prefix")
-    before = F.coalesce(F.sum(F.col("n") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return slim.select("dir_ordinal", "stem", "prefix", before.alias("offset"), "n", (F.sum(F.col("n") + 1).over(group) - 1).alias("total")).withColumn("is_last", F.col("offset") + F.col("n") == F.col("total"))
+    bucket = [F.col("dir_ordinal"), F.expr("substring(stem, 1, length(prefix) + 4)")]
+    placed = running_sum(slim, "prefix", ["dir_ordinal", "stem"], F.col("n") + 1, "offset", bucket)
+    group = slim.groupBy("prefix").agg((F.sum(F.col("n") + 1) - 1).alias("total"))
+    return placed.join(group, "prefix").select("dir_ordinal", "stem", "prefix", "offset", "n", "total").withColumn("is_last", F.col("offset") + F.col("n") == F.col("total"))
 
 
 def concat_windows(files: DataFrame, length: int, separator: int) -> DataFrame:

@@ -145,11 +145,11 @@ def attention_output(spark, sf_dir):
     return j.groupBy("seq", "pos").agg(F.round(F.sum(F.col("e") * F.col("v")) / F.sum("e"), 8).alias("output"))
 
 
-@query("rotary_table", "WITH p AS (SELECT unnest(range(0, (SELECT max(turn) + 1 FROM conversations) * 8)) AS pos), g AS (SELECT pos, unnest(range(0, 16)) AS i FROM p) SELECT pos, i, round(cos(pos / pow(10000, 2.0 * i / 32)), 8) AS cos, round(sin(pos / pow(10000, 2.0 * i / 32)), 8) AS sin FROM g")
+@query("rotary_table", "WITH g AS (SELECT conv_id, turn::BIGINT * 8 AS pos, unnest(range(0, 16)) AS i FROM conversations) SELECT conv_id, pos, i, round(cos(pos / pow(10000, 2.0 * i / 32)), 8) AS cos, round(sin(pos / pow(10000, 2.0 * i / 32)), 8) AS sin FROM g")
 def rotary_table(spark, sf_dir):
-    """M4: angles for as many positions as the longest conversation takes."""
-    n = X.table(spark, sf_dir, "conversations").agg(F.max("turn")).first()[0] + 1
-    return K.rotary_table(spark, int(n) * 8, 32).select("pos", "i", F.round("cos", 8).alias("cos"), F.round("sin", 8).alias("sin"))
+    """M4: angles of the place where each turn of each conversation starts."""
+    p = X.table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn").cast("long") * 8).alias("pos"))
+    return K.rotary_angles(p, 32).select("conv_id", "pos", "i", F.round("cos", 8).alias("cos"), F.round("sin", 8).alias("sin"))
 
 
 @query("rotated_vectors", """WITH a AS (SELECT vec_id, (vec_id % 100)::DOUBLE AS pos, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS x FROM embeddings),
@@ -173,14 +173,22 @@ def swiglu(spark, sf_dir):
 _P = "presets(preset, n_layers, n_heads, d_model, d_ff, swa_window_size, full_attention_every_n, n_experts, moe_top_k, expert_d_ff) AS (VALUES " + ", ".join(str(p) for p in K.PRESETS) + ")"
 
 
-@query("layer_kinds", f"WITH {_P}, v AS (SELECT DISTINCT n_regionkey + 1 AS w FROM nation), l AS (SELECT preset, w, n_layers, swa_window_size * w AS swa, full_attention_every_n AS n, unnest(range(0, n_layers)) AS layer FROM presets, v) SELECT w, preset, count(*) FILTER (swa > 0 AND n > 0 AND (layer + 1) % CASE WHEN n > 0 THEN n ELSE 1 END <> 0) AS sliding, count(*) AS layers FROM l GROUP BY 1, 2")
+_NAMES = [p[0] for p in K.PRESETS]
+
+
+@query("layer_kinds", f"""WITH {_P}, v AS (SELECT {_NAMES}[(doc_id % {len(_NAMES)} + 1)::INTEGER] AS preset, 1 + n_chars % 5 AS w, count(*) AS runs FROM documents GROUP BY 1, 2),
+  l AS (SELECT preset, w, runs, swa_window_size * w AS swa, full_attention_every_n AS n, unnest(range(0, n_layers)) AS layer FROM presets JOIN v USING (preset))
+  SELECT w::BIGINT AS w, preset, max(runs) AS runs, count(*) FILTER (swa > 0 AND n > 0 AND (layer + 1) % CASE WHEN n > 0 THEN n ELSE 1 END <> 0) AS sliding, count(*) AS layers FROM l GROUP BY 1, 2""")
 def layer_kinds(spark, sf_dir):
-    """Which layers slide, for each window factor in the data."""
-    v = X.table(spark, sf_dir, "nation").select((F.col("n_regionkey") + 1).alias("w")).distinct()
-    p = K.presets(spark).join(F.broadcast(v)).withColumn("swa_window_size", F.col("swa_window_size") * F.col("w"))
-    kinds = K.layer_kinds(p.withColumn("preset", F.concat_ws("|", "preset", F.col("w").cast("string"))))
+    """Which layers slide, for the preset and window factor of each document."""
+    d = X.table(spark, sf_dir, "documents")
+    preset = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % len(_NAMES) + 1).cast("int"))
+    runs = d.groupBy(preset.alias("preset"), (1 + F.col("n_chars") % 5).cast("long").alias("w")).agg(F.count("*").alias("runs"))
+    p = runs.join(F.broadcast(K.presets(spark)), "preset").withColumn("swa_window_size", F.col("swa_window_size") * F.col("w"))
+    kinds = K.layer_kinds(p.withColumn("preset", F.concat_ws("|", "preset", F.col("w").cast("string"), F.col("runs").cast("string"))))
     g = kinds.groupBy("preset").agg(F.count_if("sliding").alias("sliding"), F.count("*").alias("layers"))
-    return g.select(F.split("preset", r"\|")[1].cast("long").alias("w"), F.split("preset", r"\|")[0].alias("preset"), "sliding", "layers")
+    parts = F.split("preset", r"\|")
+    return g.select(parts[1].cast("long").alias("w"), parts[0].alias("preset"), parts[2].cast("long").alias("runs"), "sliding", "layers")
 
 
 @query("parameter_counts", f"WITH {_P}, v AS (SELECT DISTINCT source, 1024 * (1 + doc_id % 4) + 3 AS vocab FROM documents) SELECT preset, vocab, count(*) AS runs, max(vocab * d_model + n_layers * (4 * d_model * d_model + CASE WHEN n_experts > 0 THEN n_experts * 3 * d_model * expert_d_ff ELSE 3 * d_model * d_ff END))::BIGINT AS parameters FROM presets, v GROUP BY 1, 2")

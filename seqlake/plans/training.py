@@ -149,7 +149,7 @@ def running_names(spark, sf_dir):
     from ..sources import sinks
 
     d = X.table(spark, sf_dir, "documents").where("n_chars > 100").select("source", "doc_id")
-    return sinks.with_running_names(d, "source", ["doc_id"]).select("name", "doc_id")
+    return sinks.with_running_names(d, "source", ["doc_id"], bucket=F.floor(F.col("doc_id") / 4096)).select("name", "doc_id")
 
 
 @query("codebook_count", "SELECT DISTINCT source, CASE WHEN contains(source, '4cb') OR contains(source, 'src1') THEN 4 ELSE 1 END AS n_codebooks, CASE WHEN contains(source, 'src1') THEN 4098 ELSE 0 END AS separator FROM documents")

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.windows import running_sum
 
-def with_running_names(df: DataFrame, source: str, order: list[str], first: Column | int = 0) -> DataFrame:
-    """``name``: source and a six-digit running number per source, from ``first`` on."""
-    n = F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1 + first
-    return df.withColumn("name", F.format_string("%s_%06d", F.col(source), n))
+
+def with_running_names(df: DataFrame, source: str, order: list[str], first: Column | int = 0, bucket: Column | None = None) -> DataFrame:
+    """``name``: source and a six-digit running number per source, from ``first`` on.
+
+    Rows are numbered within buckets that rise with the order: values of
+    ``bucket``, or of the first column of the order.
+    """
+    numbered = running_sum(df, source, order, F.lit(1).cast("long"), "__n", [F.col(order[0]) if bucket is None else bucket])
+    return numbered.withColumn("name", F.format_string("%s_%06d", F.col(source), F.col("__n") + first)).drop("__n")
 
 
 def write_tokens(df: DataFrame, path: str, source: str = "source", mode: str = "append") -> None:

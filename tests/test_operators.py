@@ -82,6 +82,20 @@ def test_ranks_and_splits(spark):
     assert {r["split"]: r["count"] for r in s} == {"train": 80, "val": 10, "test": 10}
 
 
+def test_running_sums_in_buckets(spark):
+    rows = [("a" if i % 3 else None, i // 7 if i % 5 else None, i, i % 4) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, b int, i int, v int")
+    got = {r["i"]: r["s"] for r in W.running_sum(df, "k", ["i"], F.col("v"), "s", [F.coalesce("b", F.floor(F.col("i") / 7).cast("int"))]).collect()}
+    assert got == {i: sum(v for k2, _, j, v in rows if k2 == k and j < i) for k, _, i, _ in rows}
+    nulls = spark.createDataFrame([(1, None, 1), (1, None, 2), (1, 3, 3)], "k int, b int, i int")
+    assert sorted((r["i"], r["s"]) for r in W.running_sum(nulls, "k", ["i"], F.lit(1), "s", [F.col("b")]).collect()) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_rotary_table(spark):
+    t = {(r["pos"], r["i"]): (r["cos"], r["sin"]) for r in K.rotary_table(spark, 3, 4).collect()}
+    assert len(t) == 6 and math.isclose(t[2, 1][1], math.sin(2 / 100)) and t[0, 0] == (1.0, 0.0)
+
+
 def test_file_names_species_and_groups(spark):
     names = [("SanctSound_HI01_01_671129638_20181115T000002Z.flac",), ("SanctSound_HI01_01_671129638_191201000002.flac",), ("nothing.flac",)]
     got = [str(r[0]) for r in spark.createDataFrame(names, "name string").select(C.file_time(F.col("name"))).collect()]
