@@ -21,6 +21,18 @@ def sliding(df: DataFrame, n: Column, length: int) -> DataFrame:
     return numbered.withColumn("end", F.least(F.col("start") + length + 1, F.col("__n"))).drop("__n")
 
 
+def sliced(df: DataFrame, column: str, length: int, keep: list[str]) -> DataFrame:
+    """``keep``, window_no, start, end and the window's own tokens, a row for each window of ``column``.
+
+    Slices are cut inside the row before it is multiplied, so no window's row
+    carries the whole sequence: what comes out is about twice what went in. A
+    null sequence has no windows.
+    """
+    n = F.size(column).cast("long")
+    piece = lambda s, i: F.struct(i.alias("window_no"), s.alias("start"), F.least(s + length + 1, n).alias("end"), F.slice(column, (s + 1).cast("int"), F.lit(length + 1)).alias("tokens"))
+    return df.where(F.col(column).isNotNull()).select(*keep, F.inline(F.transform(window_starts(n, length), piece)))
+
+
 def source_prefix(stem: Column) -> Column:
     """What stands before the last ``_`` if only digits follow it, else the whole stem."""
     p = F.regexp_extract(stem, r"^(.*)_[0-9]+$", 1)
@@ -69,23 +81,28 @@ def concat_windows(files: DataFrame, length: int, separator: int) -> DataFrame:
     it belongs to the file after it.
     """
     step = max(length // 2, 1)
-    placed = files.join(concat_index(files), ["dir_ordinal", "stem"])
+    # The index has names and numbers alone: it is the side that is hashed, so the files' tokens need no sort to meet it.
+    placed = files.select("dir_ordinal", "stem", "tokens").join(concat_index(files).hint("shuffle_hash"), ["dir_ordinal", "stem"])
     o, total = F.col("offset"), F.col("total")
-    one = total <= length + 1
     regular = F.floor((total - length - 1) / step) + 1  # windows before the tail
     own = F.when(F.col("is_last"), F.col("tokens")).otherwise(F.concat("tokens", F.array(F.lit(separator))))
+    rows = placed.select("prefix", "offset", "total", own.alias("own"), regular.alias("regular"))
     end = o + F.size("own")
     low = F.greatest(F.lit(0).cast("long"), F.ceil((o - length) / step))
-    high = F.least(F.floor((end - 1) / step), regular - 1)
-    tail = F.when(end > total - length - 1, F.array(regular)).otherwise(F.array().cast("array<bigint>"))
-    reached = F.when(one, F.array(F.lit(0).cast("long"))).otherwise(F.concat(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")), tail))
-    rows = placed.withColumn("own", own).select("prefix", "offset", "total", "own", regular.alias("regular"), one.alias("one"), F.explode(reached).alias("window_no"))
-    start = F.when(F.col("one"), F.lit(0).cast("long")).when(F.col("window_no") == F.col("regular"), F.col("total") - length - 1).otherwise(F.col("window_no") * step)
-    rows = rows.withColumn("start", start).withColumn("end", F.least(F.col("start") + length + 1, F.col("total")))
-    first = F.greatest(F.col("start") - F.col("offset"), F.lit(0).cast("long"))
-    last = F.least(F.col("end") - F.col("offset"), F.size("own").cast("long"))
-    piece = F.slice("own", (first + 1).cast("int"), (last - first).cast("int"))
-    cut = rows.where(last > first).select("prefix", "window_no", "start", "end", F.struct("offset", piece.alias("piece")).alias("part"))
+    high = F.least(F.floor((end - 1) / step), F.col("regular") - 1)
+    none = F.array().cast("array<bigint>")
+    tail = F.when(end > total - length - 1, F.array("regular")).otherwise(none)
+    reached = F.when(total <= length + 1, F.array(F.lit(0).cast("long"))).otherwise(F.concat(F.when(low <= high, F.sequence(low, high)).otherwise(none), tail))
+
+    def piece(w: Column) -> Column:
+        start = F.when(total <= length + 1, F.lit(0).cast("long")).when(w == F.col("regular"), total - length - 1).otherwise(w * step)
+        stop = F.least(start + length + 1, total)
+        first = F.greatest(start - o, F.lit(0).cast("long"))
+        many = F.greatest(F.least(stop - o, F.size("own").cast("long")) - first, F.lit(0).cast("long"))
+        return F.struct(w.alias("window_no"), start.alias("start"), stop.alias("end"), F.slice("own", (first + 1).cast("int"), many.cast("int")).alias("piece"))
+
+    # Each window's slice is cut inside the file's row; only slices are multiplied and shuffled.
+    cut = rows.select("prefix", "offset", F.inline(F.transform(reached, piece))).where(F.size("piece") > 0).select("prefix", "window_no", "start", "end", F.struct("offset", "piece").alias("part"))
     joined = cut.groupBy("prefix", "window_no").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.array_sort(F.collect_list("part")).alias("parts"))
     tokens = F.flatten(F.transform("parts", lambda p: p["piece"]))
     kept = F.when(F.element_at(tokens, -1) == separator, F.slice(tokens, F.lit(1), F.size(tokens) - 1)).otherwise(tokens)
@@ -132,9 +149,9 @@ def augment(df: DataFrame, key: str, column: str, vocab_size: int, seed: int, no
     named = df.withColumn("__k", name)
     hashed = F.transform(column, lambda t, i: F.struct(t.alias("t"), F.md5(F.concat_ws(":", F.col("__k"), i.cast("string"))).alias("h")))
     changed = named.withColumn("__t", F.transform(hashed, lambda x: one(x["t"], x["h"]))).withColumn("__h", F.md5("__k"))
-    n = F.size("__t")
+    n = F.size("__t").cast("long")  # a product of two places passes 2**31 from 46,341 tokens on
     m = F.greatest(F.lit(3), F.floor(n * (0.9 + 0.2 * _eighth(F.col("__h"), 1))).cast("int"))
-    picked = let(m, lambda k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.element_at("__t", F.floor(i * (n - 1) / (k - 1)).cast("int") + 1)))
+    picked = let(m, lambda k: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.element_at("__t", F.floor(i.cast("long") * (n - 1) / (k - 1)).cast("int") + 1)))
     return changed.withColumn(column, F.when((_eighth(F.col("__h"), 0) < stretch) & (n > 0), picked).otherwise(F.col("__t"))).drop("__k", "__t", "__h")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.binding import settled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,7 +44,9 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as one-dimensional token files: source, stem, dir_ordinal, tokens (1..1024)."""
     d = table(spark, sf_dir, "documents")
     tokens = F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 1024 + 1).cast("int"))
-    return d.select("doc_id", "source", F.format_string("%s_%06d", "source", "doc_id").alias("stem"), F.lit(0).alias("dir_ordinal"), tokens.alias("tokens"))
+    named = d.select("doc_id", "source", F.format_string("%s_%06d", "source", "doc_id").alias("stem"), F.lit(0).alias("dir_ordinal"), "text")
+    # Settled, or a filter on the tokens would make them a second time.
+    return settled(named, "tokens", tokens).drop("text")
 
 
 TOKEN_FILES_SQL = """token_files AS (SELECT doc_id, source, source || '_' || lpad(doc_id::VARCHAR, 6, '0') AS stem, 0 AS dir_ordinal,

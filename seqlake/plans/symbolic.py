@@ -148,9 +148,8 @@ def chat_tokens(spark, sf_dir):
 def dialogue_windows(spark, sf_dir):
     """Windows of 65 tokens, half overlapping, the tail always once more."""
     t = _tokens(spark, sf_dir).where(F.size("tokens") > 3)
-    w = W.sliding(t, F.size("tokens"), 64)
-    piece = F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start"))
-    return w.select("REC", F.col("start").cast("long").alias("first"), F.col("end").cast("long").alias("last"), F.aggregate(piece, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    w = W.sliced(t, "tokens", 64, ["REC"])
+    return w.select("REC", F.col("start").alias("first"), F.col("end").alias("last"), F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
 @query("cut_at_eos", f"""WITH {_TOKENS} SELECT REC, array_to_string(CASE WHEN list_position(tokens, 37) > 0 THEN tokens[1:list_position(tokens, 37)] ELSE tokens END, ' ') AS tokens FROM tokens""")

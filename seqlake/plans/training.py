@@ -64,8 +64,8 @@ def best_prompts(spark, sf_dir):
   SELECT stem, a AS start, least(a + 129, n)::BIGINT AS last, list_sum(tokens[a + 1:a + 129])::BIGINT AS total FROM w""")
 def simple_windows(spark, sf_dir):
     """Windows of single files."""
-    w = W.sliding(X.token_files(spark, sf_dir).where(F.size("tokens") > 2), F.size("tokens"), 128)
-    return w.select("stem", "start", F.col("end").alias("last"), _TOTAL(F.slice("tokens", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))).alias("total"))
+    w = W.sliced(X.token_files(spark, sf_dir).where(F.size("tokens") > 2), "tokens", 128, ["stem"])
+    return w.select("stem", "start", F.col("end").alias("last"), _TOTAL("tokens").alias("total"))
 
 
 _FILES = f"""{T}, files AS (SELECT source AS prefix, stem, tokens, len(tokens) AS n, sum(len(tokens) + 1) OVER (PARTITION BY source ORDER BY stem) - len(tokens) - 1 AS o FROM token_files WHERE len(tokens) > 2)"""

@@ -53,6 +53,18 @@ def test_windows(spark, n, length, want):
     assert sorted((r["start"], r["end"]) for r in W.sliding(df, F.col("n"), length).collect()) == want
 
 
+def test_windows_carry_their_own_tokens_alone(spark):
+    df = spark.createDataFrame([("a", list(range(20))), ("b", [7, 8, 9]), ("c", None)], "k string, tokens array<int>")
+    got = sorted((r["k"], r["window_no"], r["start"], r["end"], r["tokens"]) for r in W.sliced(df, "tokens", 8, ["k"]).collect())
+    assert got == [("a", i, s, s + 9, list(range(s, s + 9))) for i, s in enumerate([0, 4, 8, 11])] + [("b", 0, 0, 3, [7, 8, 9])]
+
+
+def test_augment_of_a_long_sequence(spark):
+    df = spark.range(12).select(F.concat(F.lit("k"), "id").alias("k"), F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: i % 1000 + 1).alias("tokens"))
+    sizes = [r["n"] for r in W.augment(df, "k", "tokens", 1025, 5).select(F.size("tokens").alias("n")).collect()]
+    assert all(180_000 <= n <= 220_000 for n in sizes) and len(set(sizes)) > 2
+
+
 def test_concat_windows_drop_a_last_separator(spark):
     files = spark.createDataFrame([(0, f"s_{i}", [10 * i + k for k in range(1, 6)]) for i in range(3)] + [(0, "t", [1, 2])], "dir_ordinal int, stem string, tokens array<int>")
     got = {r["start"]: r["tokens"] for r in W.concat_windows(files, 5, 99).collect()}
