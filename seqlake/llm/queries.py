@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, langid, near_dup, packing, quality, suffix_dedup, token_counts, topk
+from . import chat, decontaminate, hard_negatives, html_extract, langid, mixing, near_dup, packing, quality, spelling, suffix_dedup, token_counts, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,7 +63,25 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), least_length=5, least_count=3, typo_every=97, ratio=2)
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), epochs=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", label.alias("label")), positives=5, negatives=3, low=50, high=95, every=50)
+
+
 QUERIES = {
+    "op11_spelling": op11_spelling,
+    "op12_mixing": op12_mixing,
+    "op13_hard_negatives": op13_hard_negatives,
     "op7_quality": op7_quality,
     "op9_token_counts": op9_token_counts,
     "op10_langid": op10_langid,
@@ -130,7 +148,59 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: crc32 byte by byte over a table of 256 made from the polynomial; words that share what is left without the same place are one replacement apart, a word and another without one place one deletion.
+OP11_SQL = r"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{5,}')) AS w FROM documents),
+p AS MATERIALIZED (SELECT id, w, count(*) AS times, row_number() OVER () AS row FROM r GROUP BY id, w),
+t0 AS (SELECT i, 0 AS k, i AS c FROM range(0, 256) x(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t0 WHERE k < 8),
+t AS MATERIALIZED (SELECT i, c FROM t0 WHERE k = 8),
+b AS MATERIALIZED (SELECT row, flatten(list_transform(string_split(id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END)) AS b FROM p),
+h AS (SELECT row, b, 1 AS pos, 4294967295::BIGINT AS c FROM b
+      UNION ALL SELECT row, b, pos + 1, xor(h.c >> 8, t.c) FROM h JOIN t ON t.i = (xor(h.c, b[pos]) & 255) WHERE pos <= len(b)),
+f AS (SELECT w, times, xor(c, 4294967295) AS h FROM h JOIN p USING (row) WHERE pos = len(b) + 1),
+n AS (SELECT CASE WHEN h % 97 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, times FROM f),
+words AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM n WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+v AS MATERIALIZED (SELECT word, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+e AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT x.word AS a, y.word AS b FROM v x JOIN v y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+      UNION ALL SELECT x.word, y.word FROM v x JOIN words y ON x.rest = y.word UNION ALL SELECT y.word, x.word FROM v x JOIN words y ON x.rest = y.word)),
+m AS (SELECT a AS word, count(*)::BIGINT AS n_near, first(b ORDER BY n DESC, b) AS b, max(n) AS most FROM e JOIN words ON words.word = e.b GROUP BY a),
+o AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN most >= 2 * n THEN b END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM words LEFT JOIN m USING (word)),
+g AS (SELECT word, form AS root, 1 AS step FROM o WHERE form IS NOT NULL UNION ALL SELECT g.word, o.form, step + 1 FROM g JOIN o ON o.word = g.root WHERE o.form IS NOT NULL),
+l AS (SELECT word, first(root ORDER BY step DESC) AS root FROM g GROUP BY word)
+SELECT word, form, coalesce(l.root, word) AS root, n, n_near, form_n FROM o LEFT JOIN l USING (word)
+"""
+
+#: Sources by the ratio of their limit to their weight: the first that the level of all from it on doesn't pass gives the level.
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')) AS k FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+r AS (SELECT *, sum(n) OVER () - coalesce(sum(3 * n) OVER (ORDER BY 3.0 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words,
+      sum(w) OVER (ORDER BY 3.0 * n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM s),
+l AS (SELECT words::DOUBLE / weights::DOUBLE AS level FROM r WHERE words::DOUBLE / weights::DOUBLE <= 3.0::DOUBLE * n / w ORDER BY 3.0 * n / w, source NULLS LAST LIMIT 1),
+t AS (SELECT source, n, CASE WHEN (3 * n)::DOUBLE < level * w THEN (3 * n)::DOUBLE ELSE level * w END AS target FROM s, l),
+b AS (SELECT *, floor(target + 0.5)::BIGINT AS budget, CASE WHEN n > 0 THEN floor(target + 0.5)::BIGINT // n ELSE 0 END AS passes FROM t),
+p AS (SELECT d.*, b.n, b.target, b.passes, b.budget - b.passes * b.n AS rest, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, n AS source_size, target, (passes * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p
+"""
+
+OP13_SQL = """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.row, a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 50 = 0 AND len(a.v) = len(c.v)),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS place FROM s WHERE label = own AND vec_id <> anchor_id) WHERE place <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+      row_number() OVER (PARTITION BY p.row, p.place ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+      FROM p JOIN s ON s.row = p.row AND s.label <> s.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 ORACLES = {
+    "op11_spelling": OP11_SQL,
+    "op12_mixing": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
     "op4_chat_format": OP4_SQL,
     "op8_topk_search": OP8_SQL,
     "op2_decontaminate": OP2_SQL,

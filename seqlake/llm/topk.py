@@ -90,7 +90,12 @@ class ImpactIndex:
         return possible
 
     def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (ids, scores), ties to the smaller id; the vector with id ``own`` is left out."""
+        """The k best as ids and scores."""
+        rows, score = self.best(query, k, own)
+        return self.ids[rows], score
+
+    def best(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (rows, scores), ties to the smaller id; the vector with id ``own`` is left out."""
         member = self.ids != own
         if member.sum() > 8 * k and self.exact is not object and int(np.abs(query).max(initial=0)) * max(int(np.abs(self.least).max()), int(np.abs(self.greatest).max())) * len(query) < 1 << 45 and len(query) < 1 << 13:
             member = self._possible(query, k, member)
@@ -98,7 +103,7 @@ class ImpactIndex:
         self.rescored += len(take)
         score = self._score(take, query)
         order = np.lexsort((self.ids[take], -score)) if self.exact is not object else np.array(sorted(range(len(take)), key=lambda i: (-score[i], self.ids[take[i]])), np.int64)
-        return self.ids[take][order[:k]], score[order[:k]]
+        return take[order[:k]], score[order[:k]]
 
 
 def _search(k: int):
@@ -108,21 +113,21 @@ def _search(k: int):
             vectors = vectors.sort_values("vec_id")
             dims = vectors["v"].map(len)
             for d, part in vectors.groupby(dims):
-                index = ImpactIndex(part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(np.int64))
-                for q, v in zip(queries["query_id"], queries["v"]):
+                index, copies = ImpactIndex(part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy()).astype(np.int64)), part["copies"].to_numpy()
+                for q, v, times in zip(queries["query_id"], queries["v"], queries["times"]):
                     if len(v) == d:
-                        ids, score = index.search(np.asarray(v, np.int64), k, q)
-                        out.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+                        take, score = index.best(np.asarray(v, np.int64), k, q)
+                        out.append(pd.DataFrame({"query_id": q, "vec_id": index.ids[take], "score": score, "pairs": copies[take] * times}))
+        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score", "pairs")})
 
     return run
 
 
-def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and v = floor(scale * x) of usable vectors: no null or non-finite component, not empty."""
+def quantised(vectors: DataFrame, scale: int = 256, more: list[str] | None = None) -> DataFrame:
+    """vec_id, ``more`` and v = floor(scale * x) of usable vectors: no null or non-finite component, not empty."""
     x = F.transform("embedding", lambda e: F.floor(F.lit(scale) * e.cast("double")))
     fine = F.forall("embedding", lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine).select(F.col("vec_id").cast("long").alias("vec_id"), *(more or []), x.alias("v"))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
@@ -130,21 +135,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
 
     Queries meet the vectors in blocks of bounded size on both sides. Vectors
     that are null, empty or hold a null or non-finite component take no part;
-    vectors of different lengths don't meet. Rows that repeat both vec_id and
-    vector change nothing; different vectors of one vec_id all take part, as
-    candidates and as queries, whose best are ranked together. Scores are exact;
+    vectors of different lengths don't meet. Repeated rows all take part, as
+    candidates and as queries, and so do different vectors of one vec_id; the
+    best of all queries of one vec_id are ranked together. Scores are exact;
     one beyond a long fails the query. A block holds a bounded number of
     components, however wide the vectors. An empty table gives no rows. Other
     columns, whatever their names, are ignored.
     """
-    rows = quantised(vectors, scale).distinct()
+    rows = quantised(vectors, scale).groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
     components, queries = rows.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)), F.count_if(F.col("vec_id") % every == 0)).first()
     shards = max(1, -(-components // COMPONENTS))
     turns = max(1, -(-queries // QUERIES), min(-(-queries // QUERIES_LEAST), -(-TASKS // shards)))
     block = lambda of, salt: F.pmod(F.xxhash64("vec_id", "v", F.lit(salt)), F.lit(of)).cast("int")
     steps = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
-    left = rows.select("vec_id", "v", block(shards, 1).alias("shard"), steps(turns).alias("turn"))
-    right = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", block(turns, 2).alias("turn"), steps(shards).alias("shard"))
-    found = left.groupBy("shard", "turn").cogroup(right.groupBy("shard", "turn")).applyInPandas(_search(k), "query_id long, vec_id long, score long")
+    left = rows.select("vec_id", "v", "copies", block(shards, 1).alias("shard"), steps(turns).alias("turn"))
+    right = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v", F.col("copies").alias("times"), block(turns, 2).alias("turn"), steps(shards).alias("shard"))
+    found = left.groupBy("shard", "turn").cogroup(right.groupBy("shard", "turn")).applyInPandas(_search(k), "query_id long, vec_id long, score long, pairs long")
+    found = found.withColumn("pair", F.explode(F.expr(f"sequence(1, int(least(pairs, {k})))")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

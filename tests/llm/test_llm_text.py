@@ -435,20 +435,21 @@ def test_top_k_is_exact(spark, monkeypatch):
     want = {}
     for q in range(0, 300, 10):
         s = w @ w[q]
-        best = sorted((-s[j], j) for j in range(300) if j != q)[:5]
+        best = sorted((-s[j], j) for j in [*range(300), 5] if j != q)[:5]  # row 5 stands there twice
         want[q] = [(k + 1, j, -x) for k, (x, j) in enumerate(best)]
     assert {q: sorted(x) for q, x in got.items()} == want
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_top_k_takes_all_vectors_of_a_repeated_id(spark, monkeypatch):
+def test_top_k_takes_all_rows_of_a_repeated_id(spark, monkeypatch):
     monkeypatch.setattr(topk, "COMPONENTS", 50 * 4)
     monkeypatch.setattr(topk, "QUERIES_LEAST", 3)
     rng = np.random.default_rng(8)
     v = rng.integers(-9, 10, (120, 4))
     ids = [int(i) for i in rng.integers(0, 40, 100)] + [7] * 20
+    ids, v = [*ids, *ids[:30], *ids[:4]], np.concatenate([v, v[:30], v[:4]])  # repeated rows count each time
     df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in zip(ids, v)], "vec_id long, embedding array<float>")
-    rows = sorted({(i, tuple(x.tolist())) for i, x in zip(ids, v)})
+    rows = [(i, tuple(x.tolist())) for i, x in zip(ids, v)]
     want = {}
     for q, x in rows:
         if q % 10 == 0:
