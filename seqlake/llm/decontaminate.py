@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_arrays import LOWER, chunks, prefix_sums, span_hash, text_bytes, words
+from .text_arrays import LOWER, chunks, same_spans, text_bytes, word_hash, words
 
 #: Bytes of item text in one automaton, which goes to every task; more items make more automata.
 AUTOMATON_BYTES = 4 << 20
@@ -26,11 +28,19 @@ IN_WORD = np.zeros(256, bool)
 IN_WORD[0x30:0x3A] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, text numbers, starts and ends of all words, A-Z lower-cased."""
+class Words(NamedTuple):
+    """All words of some texts: the lower-cased bytes, and each word's start, end, text number."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    doc: np.ndarray
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The words of texts, A-Z lower-cased."""
     low = LOWER[data]
-    starts, ends, doc = words(low, offsets, IN_WORD)
-    return span_hash(prefix_sums(low), starts, ends), doc, starts, ends
+    return Words(low, *words(low, offsets, IN_WORD))
 
 
 class Automaton:
@@ -129,22 +139,31 @@ class Automaton:
 
 
 class Index:
-    """An automaton with the words' hashes it knows."""
+    """An automaton with the words it knows. Hashes find a word, its bytes confirm it."""
 
     def __init__(self, items: list[tuple[int, str | None]], window: int):
-        data, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
-        h, doc, _, _ = hashed_words(data, offsets)
-        self.vocabulary, code = np.unique(h, return_inverse=True)
-        bounds = np.searchsorted(doc, np.arange(len(items) + 1))
+        w = words_of(*text_bytes(pa.array([t for _, t in items], pa.string())))
+        spelt = [w.data[s:e].tobytes() for s, e in zip(w.starts.tolist(), w.ends.tolist())]
+        different = len(set(spelt))
+        for self.seed in count():  # until no two words of the items have one hash
+            self.vocabulary, first, code = np.unique(word_hash(w.data, w.starts, w.ends, self.seed), return_index=True, return_inverse=True)
+            if len(self.vocabulary) == different:
+                break
+        self.text, self.starts, self.ends = w.data, w.starts[first], w.ends[first]
+        bounds = np.searchsorted(w.doc, np.arange(len(items) + 1))
         self.automaton = Automaton([(i, code[bounds[k] : bounds[k + 1]].tolist()) for k, (i, _) in enumerate(items)], window)
 
-    def hits(self, h: np.ndarray, doc: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
+    def hits(self, w: Words) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
         """By text number: hit ranges in its words, joined, and items."""
         out: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
-        if not len(self.vocabulary) or not len(h):
+        doc = w.doc
+        if not len(self.vocabulary) or not len(doc):
             return out
+        h = word_hash(w.data, w.starts, w.ends, self.seed)
         code = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         known = self.vocabulary[code] == h
+        met = np.nonzero(known)[0]
+        known[met] = same_spans(w.data, w.starts[met], w.ends[met], self.text, self.starts[code[met]], self.ends[code[met]])
         # Only unbroken runs of known words, long enough for a window, can hold one.
         first = known.copy()
         first[1:] &= ~known[:-1] | (doc[1:] != doc[:-1])
@@ -193,13 +212,13 @@ def _find(items: list[tuple[int, str | None]], window: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for i, j in chunks(offsets):
-                h, doc, _, _ = hashed_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                found = index.hits(h, doc)
+                w = words_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                found = index.hits(w)
                 spans = [[{"lo": s, "hi": e} for s, e in found.get(k, ([], ()))[0]] for k in range(j - i)]
                 ids = [sorted(map(str, found.get(k, ([], ()))[1])) for k in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.bincount(doc, minlength=j - i).astype(np.int64)),
+                        batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.bincount(w.doc, minlength=j - i).astype(np.int64)),
                         pa.array(spans, pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array(ids, pa.list_(pa.string())),
                     ],
                     names=["doc_id", "row_key", "n_words", "spans", "items"],
@@ -266,19 +285,20 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10
 
 
 def _cut(batch: pa.RecordBatch, coverage: float, find) -> Iterator[pa.RecordBatch]:
-    """The batch without the spans that ``find(first row, row after the last, word hashes, text numbers)`` gives by text number."""
+    """The batch without the spans that ``find(first row, row after the last, words)`` gives by text number."""
     at = batch.schema.get_field_index("text")
     data, offsets = text_bytes(batch.column(at))
     for i, j in chunks(offsets):
         base = offsets[i]
-        h, doc, starts, ends = hashed_words(data[base : offsets[j]], offsets[i : j + 1] - base)
-        found = find(i, j, h, doc)
-        count = np.bincount(doc, minlength=j - i)
-        first = np.cumsum(count) - count
+        w = words_of(data[base : offsets[j]], offsets[i : j + 1] - base)
+        starts, ends = w.starts, w.ends
+        found = find(i, j, w)
+        many = np.bincount(w.doc, minlength=j - i)
+        first = np.cumsum(many) - many
         texts = batch.column(at).slice(i, j - i).to_pylist()
         keep = np.ones(j - i, bool)
         for k, spans in found.items():
-            keep[k] = sum(e - s for s, e in spans) <= coverage * count[k]
+            keep[k] = sum(e - s for s, e in spans) <= coverage * many[k]
             raw, out, done = data[offsets[i + k] : offsets[i + k + 1]].tobytes(), [], 0
             shift = int(offsets[i + k] - base)
             for s, e in spans:
@@ -296,7 +316,7 @@ def _strip(items: list[tuple[int, str | None]], window: int, coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _built(token, items, window)
         for batch in batches:
-            yield from _cut(batch, coverage, lambda i, j, h, doc: {k: spans for k, (spans, _) in index.hits(h, doc).items()})
+            yield from _cut(batch, coverage, lambda i, j, w: {k: spans for k, (spans, _) in index.hits(w).items()})
 
     return run
 
@@ -307,7 +327,7 @@ def _strip_known(coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.column(batch.num_columns - 1)
-            known = lambda i, j, h, doc: {k: [(s["lo"], s["hi"]) for s in spans] for k, spans in enumerate(last.slice(i, j - i).to_pylist()) if spans}  # noqa: B023, E731
+            known = lambda i, j, w: {k: [(s["lo"], s["hi"]) for s in spans] for k, spans in enumerate(last.slice(i, j - i).to_pylist()) if spans}  # noqa: B023, E731
             yield from _cut(batch.select(batch.schema.names[:-1]), coverage, known)
 
     return run
@@ -320,7 +340,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
     if there, is counted anew where text went. For items beyond AUTOMATON_BYTES
     the spans of all parts are found in the unchanged texts and joined first.
     Null texts, repeated rows and null ids stay as they come; an empty table
-    stays empty; columns of any other name pass through.
+    stays empty; columns of any other name pass through, whichever way is taken.
     """
     sized = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = sized.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
@@ -329,10 +349,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, cover
         out = docs.mapInArrow(_strip(rows, window, coverage), docs.schema)
     else:
         # Spans depend on the text alone, so repeated rows share them.
-        hit = contamination(docs, benchmark, window, with_key=True).where(F.size("spans") > 0).groupBy("doc_id", "row_key").agg(F.first("spans").alias("__spans"))
-        hit = hit.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__row"), "__spans")
-        met = docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["__id"]) & (F.xxhash64(docs["text"].cast("string")) == hit["__row"]), "left")
-        out = met.select(*[docs[c] for c in docs.columns], "__spans").mapInArrow(_strip_known(coverage), docs.schema)
+        hit = contamination(docs, benchmark, window, with_key=True).where(F.size("spans") > 0).groupBy("doc_id", "row_key").agg(F.first("spans").alias("spans"))
+        # The found columns get names that no column of docs has.
+        own, of, spans = (next(n for k in count() if (n := f"{name}_{k}") not in docs.columns) for name in ("id", "row", "spans"))
+        hit = hit.select(F.col("doc_id").alias(own), F.col("row_key").alias(of), F.col("spans").alias(spans))
+        met = docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit[own]) & (F.xxhash64(docs["text"].cast("string")) == hit[of]), "left")
+        out = met.select(*[docs[c] for c in docs.columns], spans).mapInArrow(_strip_known(coverage), docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out

@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,17 +44,100 @@ TEXT_PARTS = INLINE | frozenset("p li dt dd ul ol dl h1 h2 h3 h4 h5 h6 hgroup bl
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ALIKE = {"li": ("li", ("ul", "ol", "menu")), "option": ("option", ("select",)), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME_END = re.compile(r"[\s/>]|\Z")
+#: The rest of a tag with balanced quotes; each part is taken for good, so a failure costs one pass.
+_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_QUOTE = re.compile(r"[>\"']")
+#: Numbers of character references: leading zeros, and numbers beyond Unicode, whose digits Python may refuse to read.
+_ZEROS = re.compile(r"(&#)0+(?=[0-9])|(&#[xX])0+(?=[0-9a-fA-F])")
+_BEYOND_UNICODE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 _NAMED = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Markup:
+    """Comments, declarations and tags of a page in order, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.closes: tuple[list[int], list[int]] | None = None
+        self.name_end = 0  # no space, slash or bracket stands between the last name's start and here
+
+    def _close(self, start: int) -> int:
+        """Where the ``>`` is that ends a tag whose name ends at ``start``, outside quotes; -1 if there is none."""
+        if start > self.last:
+            return -1
+        if self.closes is None:
+            m = _REST.match(self.page, start)
+            if m is not None:
+                return m.end() - 1
+            # Such a tag runs to the page's end. One pass from there tells for every place where a tag from it on ends.
+            marks = [m.start() for m in _QUOTE.finditer(self.page)]
+            out = double = single = -1
+            ends = [0] * len(marks)
+            for i in range(len(marks) - 1, -1, -1):
+                c = self.page[marks[i]]
+                if c == ">":
+                    out = marks[i]  # within quotes it is a character like others
+                elif c == '"':
+                    out, double = double, out
+                else:
+                    out, single = single, out
+                ends[i] = out
+            self.closes = marks, ends
+        marks, ends = self.closes
+        i = bisect_left(marks, start)
+        return ends[i] if i < len(marks) else -1
+
+    def next(self, pos: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether an end tag, name or None for no tag, attributes) of the first markup from ``pos`` on."""
+        page = self.page
+        while True:
+            start = page.find("<", pos)
+            if start < 0:
+                return None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(page), False, None, ""
+            if page.startswith(("<!", "<?"), start):
+                if start < self.last:
+                    return start, page.find(">", start) + 1, False, None, ""
+            else:
+                closing = page.startswith("</", start)
+                name = start + 1 + closing
+                if name <= self.last and page[name].isascii() and page[name].isalpha():
+                    if name >= self.name_end:
+                        self.name_end = _NAME_END.search(page, name).start()
+                    end = self._close(self.name_end)
+                    if end >= 0:
+                        return start, end + 1, closing, page[name : self.name_end].lower(), page[self.name_end : end]
+            pos = start + 1
+
+
+#: For each kind of element that ends others of its kind: which it ends, and beyond which ancestors none.
+_GROUPS = list(dict.fromkeys(ALIKE.values()))
+_GROUP = {tag: _GROUPS.index(x) for tag, x in ALIKE.items()}
+_ENDED = {tag: {i for i, (ends, _) in enumerate(_GROUPS) if tag in ends.split()} for ends, _ in _GROUPS for tag in ends.split()}
+_BEYOND = {tag: {i for i, (_, stop) in enumerate(_GROUPS) if tag in stop} for _, stop in _GROUPS for tag in stop}
+
+
 class Node:
-    __slots__ = ("tag", "up", "parts", "noise", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    """An element. What the parser would look for among its ancestors stands in it: the open paragraph that only inline
+    elements part it from, the outermost element that a next one of each group ends, inline elements open in its block,
+    and whether an article or main element holds it."""
+
+    __slots__ = ("tag", "up", "parts", "noise", "weight", "chars", "tags", "link_chars", "link_tags", "density", "total", "paragraph", "ended", "inline", "in_article")
 
     def __init__(self, tag: str, up: Node | None, noise: bool, doubted: bool = False):
         self.tag, self.up, self.noise = tag, up, noise
+        flows = tag in INLINE and up is not None
+        self.paragraph: Node | None = self if tag == "p" else up.paragraph if flows else None
+        self.inline: dict[str, int] = up.inline if flows else {}
+        self.in_article: bool = tag in ("article", "main") or up is not None and up.in_article
+        self.ended: tuple = up.ended if up is not None else (None,) * len(_GROUPS)
+        if tag in _ENDED or tag in _BEYOND:
+            self.ended = tuple(None if i in _BEYOND.get(tag, ()) else x or (self if i in _ENDED.get(tag, ()) else None) for i, x in enumerate(self.ended))
         self.weight: float = (up.weight if up is not None else 1.0) * (DOUBTED if doubted else 1.0)
         self.parts: list = []
         self.chars = self.link_chars = 0.0
@@ -63,11 +147,8 @@ class Node:
 
 def _is_noise(tag: str, attributes: str, up: Node) -> bool:
     """Whether the element's kind, role or visibility says that it holds no article text."""
-    if tag == "header":
-        while up is not None:
-            if up.tag in ("article", "main"):
-                return False  # the article's own heading
-            up = up.up
+    if tag == "header" and up.in_article:
+        return False  # the article's own heading
     if tag in NOT_TEXT:
         return True
     if not attributes.strip() or tag in ("body", "html", "article", "main"):
@@ -97,75 +178,90 @@ def _is_doubted(tag: str, attributes: str) -> bool:
 
 
 def parse(page: str) -> Node:
-    """The page's tree. Unclosed elements end where the standard ends them; stray end tags are dropped."""
+    """The page's tree, in time linear in the page's length however broken it is.
+
+    Unclosed elements end where the standard ends them; stray end tags are
+    dropped, as is a tag whose quotes or brackets never close.
+    """
     root = Node("html", None, False)
     at, pos, size = root, 0, len(page)
+    markup, open_ = Markup(page), {}
     head = False
+
+    def enter(child: Node) -> Node:
+        open_[child.tag] = open_.get(child.tag, 0) + 1
+        if child.tag in INLINE:
+            child.inline[child.tag] = child.inline.get(child.tag, 0) + 1
+        return child
+
+    def leave(to: Node) -> Node:
+        """``to``, with all elements from the present one up to it closed."""
+        n = at
+        while n is not to:
+            open_[n.tag] -= 1
+            if n.tag in INLINE:
+                n.inline[n.tag] -= 1
+            n = n.up
+        return to
+
     while pos < size:
-        m = _MARKUP.search(page, pos)
+        m = markup.next(pos)
         if m is None:
             at.parts.append(page[pos:])
             break
-        if m.start() > pos:
-            at.parts.append(page[pos : m.start()])
-        pos, tag = m.end(), m[2]
+        start, end, closing, tag, attributes = m
+        if start > pos:
+            at.parts.append(page[pos:start])
+        pos = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
-            found = at
-            while found is not root and found.tag != tag:
-                if tag in INLINE and found.tag not in INLINE:  # an inline end tag doesn't reach out of a block
-                    found = root
-                    break
-                found = found.up
-            if found is not root:
-                at = found.up
+        if closing:
+            # An inline end tag doesn't reach out of a block.
+            if (at.inline if tag in INLINE else open_).get(tag):
+                found = at
+                while found.tag != tag:
+                    found = found.up
+                at = leave(found.up)
             elif tag == "head":
                 head = False
             elif tag == "p":
                 at.parts.append(Node("p", at, False))
             continue
         if tag in RAW or tag == "title" or tag == "textarea":
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-            if m[3].endswith("/"):
+            if attributes.endswith("/"):
                 continue
             child = Node(tag, at, True)
             at.parts.append(child)
-            pos = end.end() if end else size
+            m = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, pos)
+            close = page.find(">", m.end()) if m is not None else -1
+            pos = close + 1 if close >= 0 else size
             continue
         if tag in ("html", "head", "body"):
             if tag == "body" or tag == "head":
-                while at is not root and at.tag != "html":
-                    at = at.up
+                to = at
+                while to is not root and to.tag != "html":
+                    to = to.up
+                at = leave(to)
                 child = Node(tag, at, tag == "head")
                 at.parts.append(child)
-                at = child
+                at = enter(child)
                 head = tag == "head"
             continue
         if head and tag not in ("meta", "link", "base"):
-            while at is not root:
-                at = at.up
+            at = leave(root)
             head = False
         if tag in CLOSES_P:
             # an open paragraph ends here, with the inline elements in it
-            up = at
-            while up is not root and (up.tag in INLINE or up.tag == "p"):
-                if up.tag == "p":
-                    at = up.up
-                    break
-                up = up.up
-        elif tag in ALIKE:
-            ends, stop = ALIKE[tag]
-            up = at
-            while up is not root and up.tag not in stop:
-                if up.tag in ends.split():
-                    at = up.up
-                up = up.up
-        child = Node(tag, at, _is_noise(tag, m[3], at), _is_doubted(tag, m[3]))
+            if at.paragraph is not None:
+                at = leave(at.paragraph.up)
+        elif tag in _GROUP:
+            ended = at.ended[_GROUP[tag]]
+            if ended is not None:
+                at = leave(ended.up)
+        child = Node(tag, at, _is_noise(tag, attributes, at), _is_doubted(tag, attributes))
         at.parts.append(child)
-        if tag not in VOID and not m[3].endswith("/"):
-            at = child
+        if tag not in VOID and not attributes.endswith("/"):
+            at = enter(child)
     return root
 
 
@@ -311,6 +407,13 @@ def _blocks(node: Node) -> Iterator[str]:
     yield "".join(run)
 
 
+def _decoded(text: str) -> str:
+    """``text`` with its character references decoded; a number beyond Unicode becomes U+FFFD, however long it is."""
+    if "&#" in text:
+        text = _BEYOND_UNICODE.sub("\ufffd", _ZEROS.sub(lambda m: m[1] or m[2], text))
+    return entities.unescape(text)
+
+
 def main_text(page: str | None) -> str:
     """The article's text: blocks joined by one space, references decoded, nothing cut."""
     if not page:
@@ -319,7 +422,7 @@ def main_text(page: str | None) -> str:
     out = []
     for block in _blocks(node):
         if block:
-            text = _SPACE.sub(" ", entities.unescape(block)).strip()
+            text = _SPACE.sub(" ", _decoded(block)).strip()
             if text:
                 out.append(text)
     return " ".join(out)
