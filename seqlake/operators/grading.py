@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as Q
+from .selection import quantiles
 
 
 def at_least(grades: DataFrame, least: str) -> DataFrame:
@@ -30,9 +31,10 @@ def grade_summary(grades: DataFrame, key: str = "source") -> DataFrame:
 
 
 def quartiles(grades: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """key, metric, q25, q50, q75 (exact, linear interpolation)."""
+    """key, metric, q25, q50, q75 (exact, linear interpolation), by radix selection: no task holds a group's values."""
     long = grades.select(key, F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))])).alias("metric", "value"))
-    return long.groupBy(key, "metric").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(key, "metric", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
+    q = quantiles(long, [key, "metric"], "value", [0.25, 0.5, 0.75])
+    return q.groupBy(key, "metric").agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
 
 
 def heuristic_pass(cv: Column, ratio: Column, rms: Column | None = None, least_cv: float = 0.8, least_ratio: float = 0.0, least_rms: float = 0.0) -> Column:

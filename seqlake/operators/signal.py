@@ -149,7 +149,12 @@ def butterworth_band(order: int, low: float, high: float) -> np.ndarray:
 
 
 def sos_filter(sos: np.ndarray, x: np.ndarray, block: int = 256) -> np.ndarray:
-    """Cascaded sections over one signal.
+    """Cascaded sections over one signal, from rest."""
+    return sos_states(sos, x, None, block)[0]
+
+
+def sos_states(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The filtered signal entered in ``state`` (two values a section, at rest if None), and the state it is left in.
 
     A block's output is its response from rest, a product with the section's
     impulse response, plus the response to the two state values it starts
@@ -157,11 +162,14 @@ def sos_filter(sos: np.ndarray, x: np.ndarray, block: int = 256) -> np.ndarray:
     """
     y = np.asarray(x, np.float64)
     n = len(y)
+    enters = np.zeros((len(sos), 2)) if state is None else np.asarray(state, np.float64).reshape(len(sos), 2)
     if not n:
-        return y.copy()
+        return y.copy(), enters.copy()
+    leaves = np.empty((len(sos), 2))
     rows = -(-n // block)
+    over = n - (rows - 1) * block  # samples in the last block
     y = np.pad(y, (0, rows * block - n)).reshape(rows, block)
-    for b0, b1, b2, _, a1, a2 in sos:
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
         step = np.array([[-a1, 1.0], [-a2, 0.0]])
         enter = np.array([b1 - a1 * b0, b2 - a2 * b0])
         powers = [np.eye(2)]
@@ -172,12 +180,20 @@ def sos_filter(sos: np.ndarray, x: np.ndarray, block: int = 256) -> np.ndarray:
         lag = np.arange(block)[:, None] - np.arange(block)
         rest = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
         ends = y @ (powers[block - 1 :: -1] @ enter)
-        state, states = np.zeros(2), np.empty((rows, 2))
+        now, states = enters[k].copy(), np.empty((rows, 2))
         for i in range(rows):
-            states[i] = state
-            state = powers[block] @ state + ends[i]
+            states[i] = now
+            now = powers[block] @ now + ends[i]
+        leaves[k] = powers[over] @ states[-1] + y[-1, :over] @ (powers[over - 1 :: -1] @ enter if over < block else powers[block - 1 :: -1] @ enter)
         y = y @ rest.T + states @ powers[:block, 0, :].T
-    return y.reshape(-1)[:n]
+        y[-1, over:] = 0.0
+    return y.reshape(-1)[:n], leaves
+
+
+def sos_step(sos: np.ndarray) -> np.ndarray:
+    """The matrix that one sample of silence applies to the cascade's state."""
+    units = np.eye(2 * len(sos))
+    return np.stack([sos_states(sos, np.zeros(1), u, 1)[1].ravel() for u in units], axis=1)
 
 
 def bandpass(low_hz: float = 80, high_hz: float = 20000, order: int = 5, limit: float = 0.95):
@@ -326,6 +342,11 @@ def _biquad_shelf(sr: float) -> np.ndarray:
     return np.array([shelf, [1, -2, 1, 1, 2 * (k * k - 1) / a0, (1 - k / q + k * k) / a0]])
 
 
+def loudness_sections(sr: float) -> np.ndarray:
+    """The weighting that loudness is measured behind."""
+    return _biquad_shelf(sr)
+
+
 def integrated_loudness(x: np.ndarray, sr: int) -> float:
     """LUFS of a mono signal: 400 ms blocks, three quarters overlapping, gated at -70 and 10 below the mean."""
     y = sos_filter(_biquad_shelf(sr), x)

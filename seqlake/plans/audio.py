@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as Q
+from ..operators import blocks as B
 from ..operators import segments as S
 from ..operators import signal as G
 from . import fixtures as X
@@ -69,6 +71,50 @@ def long_chunks_fixed(spark, sf_dir):
     return _summed(S.segment_long(paused(spark, sf_dir), 1000, threshold=0.02, shorten_short=True, close_trailing=True, **_SHORT))
 
 
+def clip_blocks(spark, sf_dir):
+    """id, block, samples: the same recordings, a block for each clip; no recording is ever one row."""
+    quiet = (F.expr("(vec_id div 20) % 10") == 0) | (F.col("vec_id") % 250).between(100, 139)
+    a = X.audio(spark, sf_dir).select((F.col("label").cast("long") * 1000000 + F.expr("vec_id div 512")).alias("id"), "vec_id", F.transform("samples", lambda x: x * F.when(quiet, F.lit(0.05)).otherwise(F.lit(1.0))).alias("samples"))
+    return a.select("id", (F.row_number().over(Window.partitionBy("id").orderBy("vec_id")) - 1).alias("block"), "samples")
+
+
+@query("long_chunks_of_blocks", _long_sql("greatest(list_aggregate(e, 'quantile_cont', 0.25), 1e-6)", 500, "false"))
+def long_chunks_of_blocks(spark, sf_dir):
+    """The cut at silences from block rows: frames summed over blocks, radix quartiles, pointer doubling."""
+    return _summed(B.segment_blocks(clip_blocks(spark, sf_dir), "id", 64, 1000, **_SHORT)).withColumn("chunk", F.col("chunk").cast("int"))
+
+
+@query("long_chunks_of_blocks_fixed", _long_sql("0.02::DOUBLE", 0, "true"))
+def long_chunks_of_blocks_fixed(spark, sf_dir):
+    """The same with a fixed threshold, short recordings shortened too, an open last silence closed."""
+    return _summed(B.segment_blocks(clip_blocks(spark, sf_dir), "id", 64, 1000, threshold=0.02, shorten_short=True, close_trailing=True, **_SHORT)).withColumn("chunk", F.col("chunk").cast("int"))
+
+
+def _weighted_sql(sr: int) -> str:
+    """y (id, i, y): recordings after the two sections that loudness is measured behind, sample by sample."""
+    (a0, a1, a2, _, c1, c2), (b0, b1, b2, _, d1, d2) = (tuple(f"({float(v)!r})::DOUBLE" for v in row) for row in G.loudness_sections(sr))
+    return f"""{_PAUSES}, y0 AS (SELECT id, x, 0::BIGINT AS i, 0::DOUBLE AS p, 0::DOUBLE AS s1, 0::DOUBLE AS s2, 0::DOUBLE AS y, 0::DOUBLE AS t1, 0::DOUBLE AS t2 FROM rec
+  UNION ALL SELECT id, x, i + 1, p1, {a1} * v - {c1} * p1 + s2, {a2} * v - {c2} * p1, q1, {b1} * p1 - {d1} * q1 + t2, {b2} * p1 - {d2} * q1
+  FROM (SELECT *, {b0} * p1 + t1 AS q1 FROM (SELECT *, {a0} * v + s1 AS p1 FROM (SELECT *, x[i + 1] AS v FROM y0 WHERE i < len(x))))),
+  y AS (SELECT id, i - 1 AS i, y FROM y0 WHERE i > 0)"""
+
+
+@query("block_filter", f"WITH RECURSIVE {_weighted_sql(8000)} SELECT id, (i // 64)::INTEGER AS block, round(sum(y), 6) AS total, round(sqrt(avg(y * y)), 6) AS level FROM y GROUP BY 1, 2")
+def block_filter(spark, sf_dir):
+    """A cascade over block rows, each block from its exact state by a prefix scan of filter states."""
+    y = B.filtered(clip_blocks(spark, sf_dir), "id", 64, G.loudness_sections(8000))
+    return y.select("id", "block", F.round(F.aggregate("samples", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(Q.rms(F.col("samples")), 6).alias("level"))
+
+
+@query("block_loudness", f"""WITH RECURSIVE {_weighted_sql(4000)}, n AS (SELECT id, len(x) AS n FROM rec), w AS (SELECT id, n, unnest(range(0, (n - 1600) // 400 + 1)) AS k FROM n WHERE n >= 1600),
+  p AS (SELECT w.id, k, avg(y * y) AS p FROM w JOIN y ON y.id = w.id AND y.i >= k * 400 AND y.i < k * 400 + 1600 GROUP BY 1, 2), l AS (SELECT id, p, 10 * log10(p) - 0.691 AS level FROM p WHERE 10 * log10(p) - 0.691 > -70),
+  g AS (SELECT id, 10 * log10(avg(p)) - 0.691 - 10 AS gate FROM l GROUP BY 1), o AS (SELECT id, round(10 * log10(avg(p)) - 0.691, 6) AS loudness FROM l JOIN g USING (id) WHERE level > gate GROUP BY 1)
+  SELECT n.id, loudness FROM n LEFT JOIN o USING (id)""")
+def block_loudness(spark, sf_dir):
+    """Gated loudness of recordings as block rows."""
+    return B.loudness(clip_blocks(spark, sf_dir), "id", 64, 4000).withColumn("loudness", F.round("loudness", 6))
+
+
 @query("detector_scores", f"""WITH {_PAUSES} SELECT id, CASE WHEN len(x) >= 512 THEN round(list_avg(list_transform(range(0, len(x) // 512), lambda k: sqrt(list_avg(list_transform(x[k * 512 + 1:k * 512 + 512], lambda v: v * v))))), 8) END AS score FROM rec""")
 def detector_scores(spark, sf_dir):
     """Mean score over whole windows by a pluggable scorer, null without one."""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as Q
+from ..functions.staging import staged
 from ..operators import grading as G
 from . import fixtures as X
 from .registry import query
@@ -62,7 +63,8 @@ def top_species_grades(spark, sf_dir):
 @query("metric_quartiles", f"WITH {_METRICS}, l AS (SELECT source, 'rms' AS metric, rms AS v FROM grades UNION ALL SELECT source, 'crest', crest FROM grades UNION ALL SELECT source, 'variance', variance FROM grades UNION ALL SELECT source, 'quality_score', quality_score FROM grades) SELECT source, metric, round(quantile_cont(v, 0.25), 5) AS q25, round(quantile_cont(v, 0.5), 5) AS q50, round(quantile_cont(v, 0.75), 5) AS q75 FROM l GROUP BY 1, 2")
 def metric_quartiles(spark, sf_dir):
     """Exact quartiles of four metrics."""
-    q = G.quartiles(grades(spark, sf_dir), "source", ["rms", "crest", "variance", "quality_score"])
+    metrics = staged(grades(spark, sf_dir).select("source", "rms", "crest", "variance", "quality_score"))
+    q = G.quartiles(metrics, "source", ["rms", "crest", "variance", "quality_score"])
     return q.select("source", "metric", *[F.round(c, 5).alias(c) for c in ("q25", "q50", "q75")])
 
 
