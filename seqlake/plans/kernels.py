@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..functions.staging import staged
+from ..operators import attention as T
+from ..operators import generation as N
 from ..operators import kernels as K
 from ..operators import sequences as S
 from ..operators import windows as W
@@ -218,9 +221,45 @@ def bigram_perplexity(spark, sf_dir):
     return out.withColumn("perplexity", F.round("perplexity", 6))
 
 
-@query("generated_sequences")
+def _grown_sql(prompt: str, steps: int, seed: int) -> str:
+    """Back-off n-grams of orders 1 to 4 and a walk by the same md5 uniforms."""
+    return f"""WITH RECURSIVE {_TOKENS}, i AS (SELECT tokens, unnest(range(1, len(tokens) + 1)) AS i FROM tokens), k AS (SELECT tokens, i, unnest(range(0, least(i, 4))) AS k FROM i),
+  g AS (SELECT array_to_string(tokens[i - k:i - 1], ' ') AS context, tokens[i] AS token, count(*) AS n FROM k GROUP BY ALL),
+  b AS (SELECT *, row_number() OVER (PARTITION BY context ORDER BY n DESC, token) AS r FROM g), c AS (SELECT context, list(token ORDER BY r) AS token, list(n ORDER BY r) AS n FROM b WHERE r <= 8 GROUP BY context),
+  w AS (SELECT REC AS id, 0 AS step, {prompt} AS tokens, false AS done FROM tokens
+  UNION ALL SELECT id, step + 1, list_append(tokens, token), token = 2 FROM (
+    SELECT id, step, tokens, token[len(list_filter(list_transform(range(1, len(n) + 1), lambda j: list_sum(n[1:j])), lambda x: x <= u * list_sum(n))) + 1] AS token FROM (
+      SELECT w.id, w.step, w.tokens, coalesce(c3.token, c2.token, c1.token, c0.token) AS token, coalesce(c3.n, c2.n, c1.n, c0.n) AS n,
+        ('0x' || substr(md5('{seed}:' || w.step || ':' || w.id), 1, 8))::BIGINT / 4294967296.0 AS u
+      FROM w LEFT JOIN c c3 ON len(w.tokens) >= 3 AND c3.context = array_to_string(w.tokens[-3:], ' ') LEFT JOIN c c2 ON len(w.tokens) >= 2 AND c2.context = array_to_string(w.tokens[-2:], ' ')
+        LEFT JOIN c c1 ON len(w.tokens) >= 1 AND c1.context = array_to_string(w.tokens[-1:], ' ') LEFT JOIN c c0 ON c0.context = '' WHERE NOT w.done AND w.step < {steps})))
+  SELECT id, array_to_string(arg_max(tokens, step), ' ') AS tokens, bool_or(done) AS done FROM w GROUP BY id"""
+
+
+def _grown(spark, sf_dir, prompt, steps, seed):
+    t = _tokens(spark, sf_dir).select(F.col("REC").alias("id"), "tokens")
+    return N.continued(t.select("id", prompt.alias("tokens")), staged(N.backoff_table(t)), steps, seed, V.EOS).withColumn("tokens", F.array_join("tokens", " "))
+
+
+@query("generated_sequences", _grown_sql("tokens[1:1]", 24, 3))
 def generated_sequences(spark, sf_dir):
-    """Prompts continued token by token."""
-    t = _tokens(spark, sf_dir)
-    prompts = t.select(F.col("REC").alias("id"), F.slice("tokens", 1, 4).alias("tokens"))
-    return K.generate(prompts, K.ngram_counts(t), 12, 3, V.EOS).withColumn("tokens", F.array_join("tokens", " "))
+    """Sequences from their first token alone, by back-off n-grams and recursive SQL."""
+    return _grown(spark, sf_dir, F.slice("tokens", 1, 1), 24, 3)
+
+
+@query("prompted_sequences", _grown_sql("tokens[1:16]", 12, 5))
+def prompted_sequences(spark, sf_dir):
+    """Prompts of sixteen tokens continued."""
+    return _grown(spark, sf_dir, F.slice("tokens", 1, 16), 12, 5)
+
+
+@query("blocked_attention", """WITH a AS (SELECT vec_id // 100 AS seq, vec_id % 100 AS pos, list_transform(embedding, lambda x: x::DOUBLE * 8) AS q, list_reverse(list_transform(embedding, lambda x: x::DOUBLE * 8)) AS k, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+  p AS (SELECT a.seq, a.pos, h, exp(list_dot_product(a.q[h * 16 + 1:h * 16 + 16], b.k[h * 16 + 1:h * 16 + 16]) / 4) AS e, b.v[h * 16 + 1:h * 16 + 16] AS v FROM a JOIN a b ON a.seq = b.seq AND b.pos > a.pos - 24 AND b.pos <= a.pos, range(0, 4) t(h)),
+  s AS (SELECT seq, pos, h, sum(e) AS total FROM p GROUP BY ALL), u AS (SELECT seq, pos, h, unnest(range(0, 16)) AS i, e, unnest(v) AS v FROM p)
+  SELECT seq, pos, h::INTEGER AS head, i::INTEGER AS i, round(sum(e * v) / any_value(total), 7) AS output FROM u JOIN s USING (seq, pos, h) GROUP BY seq, pos, h, i""")
+def blocked_attention(spark, sf_dir):
+    """Four heads of sixteen over all components, blocks of sixteen positions merged by an online softmax."""
+    x = lambda by: F.transform("embedding", lambda v: v.cast("double") * by)
+    e = X.table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 100").alias("seq"), (F.col("vec_id") % 100).alias("pos"), x(8).alias("q"), F.reverse(x(8)).alias("k"), x(1).alias("v"))
+    o = T.banded_attention(e, 24, heads=4, block=16)
+    return o.select("seq", "pos", "head", F.posexplode("output").alias("i", "o")).select("seq", "pos", "head", "i", F.round("o", 7).alias("output"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as Q
 from ..operators import signal as G
+from ..operators import spectra as D
 from . import fixtures as X
 from .registry import query
 
@@ -146,6 +147,27 @@ def waveform_points(spark, sf_dir):
     return a.select("vec_id", (F.col("i") / 64).alias("t"), F.round("x", 8).alias("amplitude"))
 
 
+_BANK = G.mel_filters(8000, 64, 16)
+_MEL = ", ".join(f"({b}, {m}, {float(_BANK[m, b])!r})" for m in range(16) for b in range(33) if _BANK[m, b] or not b and not _BANK[m].any())
+_TURN = lambda of: f"list_sum(list_transform(range(0, 64), lambda n: CASE WHEN frame * 16 + n BETWEEN 32 AND 95 THEN samples[frame * 16 + n - 31] * (0.5 - 0.5 * cos(2 * pi() * n / 64)) * {of}(2 * pi() * bin * n / 64) ELSE 0 END))"
+
+
+@query("mel_rows", f"""WITH {A}, f AS (SELECT vec_id, samples, unnest(range(0, 5)) AS frame FROM audio), b AS (SELECT *, unnest(range(0, 33)) AS bin FROM f), p AS (SELECT vec_id, frame, bin, pow({_TURN('cos')}, 2) + pow({_TURN('sin')}, 2) AS power FROM b),
+  m AS (SELECT vec_id, frame, mel, sum(power * weight::DOUBLE) AS p FROM p JOIN (VALUES {_MEL}) t(bin, mel, weight) USING (bin) GROUP BY ALL), k AS (SELECT vec_id, max(p) AS peak FROM m GROUP BY 1)
+  SELECT vec_id, frame::INTEGER AS frame, mel, round(greatest(10 * log10(greatest(p, 1e-10)) - 10 * log10(greatest(peak, 1e-10)), -80), 4) AS db FROM m JOIN k USING (vec_id)""")
+def mel_rows(spark, sf_dir):
+    """P25: mel spectrogram of every clip through a sparse filter table, in dB against its peak."""
+    return D.mel_rows(X.audio(spark, sf_dir), "vec_id", 8000, 16, 64, 16).withColumn("db", F.round("db", 4))
+
+
+@query("comparison_rows", f"WITH {A} SELECT vec_id, i::INTEGER AS i, (i / 8000.0)::DOUBLE AS t, round(samples[i + 1], 8) AS original, CASE WHEN i < 64 - vec_id % 3 THEN round((floor(samples[i + 1] * 8) + 0.5) / 8, 8) END AS copy FROM (SELECT *, unnest(range(0, 64)) AS i FROM audio)")
+def comparison_rows(spark, sf_dir):
+    """P25: every clip beside a coarse, sometimes shorter copy."""
+    copy = F.transform(F.slice("samples", F.lit(1), (64 - F.col("vec_id") % 3).cast("int")), lambda x: (F.floor(x * 8) + 0.5) / 8)
+    c = D.comparison_rows(X.audio(spark, sf_dir).select("vec_id", F.col("samples").alias("original"), copy.alias("copy")), "vec_id", 8000.0)
+    return c.select("vec_id", "i", "t", F.round("original", 8).alias("original"), F.round("copy", 8).alias("copy"))
+
+
 def _rated(spark, sf_dir, sr=8000):
     return long_signals(spark, sf_dir).withColumn("sr", F.lit(sr))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import sequences as S
+from ..operators import spectra as Y
 from ..operators import windows as W
 from . import fixtures as X
 from .registry import query
@@ -131,6 +132,17 @@ def real_vs_generated(spark, sf_dir):
     return real.join(made, "coda", "left").select("coda", "real_n", F.coalesce("generated_n", F.lit(0)).alias("generated_n"))
 
 
+@query("coda_bars", f"""WITH {_TOKENS}, u AS (SELECT REC, unnest(tokens) AS t FROM tokens), r AS (SELECT {_TEXT} AS coda, count(*) AS n FROM u WHERE t >= 28 AND REC <= '2024-01-15' GROUP BY 1),
+  g AS (SELECT {_TEXT} AS coda, count(*) AS n FROM u WHERE t >= 28 AND t % 3 <> 0 AND REC > '2024-01-15' GROUP BY 1)
+  SELECT (row_number() OVER (ORDER BY r.coda))::INTEGER AS place, r.coda, round(r.n / (SELECT sum(n) FROM r), 8) AS real, round(coalesce(g.n / (SELECT sum(n) FROM g), 0), 8) AS made FROM r LEFT JOIN g USING (coda)""")
+def coda_bars(spark, sf_dir):
+    """Bars of real and generated types, in the order of the real ones' names."""
+    t = _tokens(spark, sf_dir)
+    made = t.where("REC > '2024-01-15'").withColumn("tokens", F.filter("tokens", lambda x: x % 3 != 0))
+    b = Y.distribution_bars(S.coda_distribution(t.where("REC <= '2024-01-15'")), S.coda_distribution(made))
+    return b.select("place", "coda", F.round("real", 8).alias("real"), F.round("made", 8).alias("made"))
+
+
 @query("chat_tokens", """WITH c AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 21 END AS w, turn * 3 AS ts FROM conversations),
   s AS (SELECT conv_id FROM c GROUP BY 1 HAVING count(*) >= 3), g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY conv_id ORDER BY turn) AS gap FROM c SEMI JOIN s USING (conv_id)),
   p AS (SELECT conv_id, turn, list_filter([CASE WHEN gap > 0 THEN CASE WHEN gap < 5 THEN 5 WHEN gap < 15 THEN 6 ELSE 7 END END, CASE WHEN w <= 20 THEN 7 + w END], lambda t: t IS NOT NULL) AS p FROM g)
