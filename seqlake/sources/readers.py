@@ -80,6 +80,22 @@ def token_arrays(spark: SparkSession, paths) -> DataFrame:
     return d.where(F.element_at("shape", -1) > 2)
 
 
+def token_headers(spark: SparkSession, paths) -> DataFrame:
+    """dir_ordinal, path, stem, steps of array files from their headers alone; those of two steps or fewer are left out.
+
+    ``steps`` is the time dimension, the second of two. Any item type, order
+    and header length is right, as the header says them; no content is read.
+    """
+    from .npy import NpySource
+
+    spark.dataSource.register(NpySource)
+    out = None
+    for i, p in enumerate([paths] if isinstance(paths, str) else paths):
+        f = spark.read.format("npy").schema("path string, stem string, steps long").option("path", p).load().select(F.lit(i).alias("dir_ordinal"), "path", "stem", "steps")
+        out = f if out is None else out.unionAll(f)
+    return out.where("steps > 2")
+
+
 def token_lengths(spark: SparkSession, paths, item_bytes: int = 4, codebooks: int = 1) -> DataFrame:
     """dir_ordinal, path, stem, steps of array files from their sizes alone; no content is read.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import settled
 from ..operators.windows import running_sum
 
 
@@ -18,28 +19,43 @@ def with_running_names(df: DataFrame, source: str, order: list[str], first: Colu
     return numbered.withColumn("name", F.format_string("%s_%06d", F.col(source), F.col("__n") + first)).drop("__n")
 
 
-def write_tokens(df: DataFrame, path: str, source: str = "source", mode: str = "append") -> None:
-    """Token rows as Parquet, a folder per source."""
-    df.write.mode(mode).partitionBy(source).parquet(path)
+def write_tokens(df: DataFrame, path: str, batch: str, name: str = "name", tokens: str = "tokens") -> None:
+    """Each row's tokens, or codes as a two-dimensional array, as the array file ``<name>.npy`` below ``path``; a batch is written once.
 
+    ``name`` may hold sub-folders, as a source's or a file's stem.
+    """
+    from .npy import encode
+    from .once import write_once
+
+    rows = settled(df.where(F.col(name).isNotNull() & F.col(tokens).isNotNull()).select(name, tokens), tokens, F.col(tokens))
+    write_once(rows.select(F.concat(F.col(name), F.lit(".npy")).alias("name"), encode(tokens).alias("content")), path, batch, "files")
+
+
+def write_audio(df: DataFrame, path: str, batch: str, name: str = "path") -> None:
+    """Each row's samples at its sr as the WAV file of that name below ``path``; a batch is written once."""
+    from ..operators.signal import encode_wav
+    from .once import write_once
 
-def append_scores(df: DataFrame, path: str, key: list[str], spark=None) -> None:
+    rows = settled(df.where(F.col(name).isNotNull() & F.col("samples").isNotNull()).select(name, "sr", "samples"), "samples", F.col("samples"))
+    write_once(rows.select(F.col(name).alias("name"), encode_wav("samples", "sr").alias("content")), path, batch, "files")
+
+
+def append_scores(df: DataFrame, path: str, key: list[str]) -> None:
     """Append only rows whose key is not there yet, so a repeated run changes nothing."""
-    s = df.sparkSession
-    try:
-        have = s.read.parquet(path).select(*key).distinct()
-        df = df.join(have, key, "left_anti")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    from .files import exists
+
+    if exists(df.sparkSession, path):
+        df = df.join(df.sparkSession.read.parquet(path).select(*key).distinct(), key, "left_anti")
     df.dropDuplicates(key).write.mode("append").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """A table in place of what is there, a header in each file."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines in place of what is there."""
     df.write.mode("overwrite").json(path)
 
 
