@@ -108,24 +108,30 @@ def resampled_in_blocks(recordings: DataFrame, key: str, target: int, seconds: f
     """``recordings`` (key, samples, sr) at the ``target`` rate, in blocks of ``seconds`` dealt out as rows.
 
     Each block is resampled by itself, so there are edge effects where blocks
-    meet; a recording at the target rate already stays as it is. ``key`` names
-    a recording; other columns stay.
+    meet; a recording at the target rate already stays as it is. Rows that
+    share a key are recordings of their own; a row with a null rate stays, with
+    null samples; other columns stay. A recording comes out as one row, as it
+    went in; block rows (``blocks.resampled_blocks``) never are.
     """
     size = F.greatest((F.col("sr") * seconds).cast("int"), F.lit(1))
-    rest = [c for c in recordings.columns if c not in (key, "samples")]
-    blocks = recordings.where(F.col("sr") != target).select(key, *rest, F.posexplode_outer(F.when(F.size("samples") > 0, F.transform(F.sequence(F.lit(1), F.size("samples"), size), lambda a: F.slice("samples", a, size)))).alias("__b", "__x"))
-    done = blocks.repartition(key, "__b").select(key, *rest, "__b", G.resampled(target)(F.coalesce("__x", F.array().cast("array<double>")), "sr").alias("__y"))
-    whole = done.groupBy(key).agg(F.first(F.struct(*rest)).alias("__o"), F.array_sort(F.collect_list(F.struct("__b", "__y"))).alias("__p"))
+    rest = [c for c in recordings.columns if c != "samples"]
+    numbered = recordings.where(F.col("sr") != target).withColumn("__row", F.monotonically_increasing_id())
+    blocks = numbered.select("__row", *rest, F.posexplode_outer(F.when(F.size("samples") > 0, F.transform(F.sequence(F.lit(1), F.size("samples"), size), lambda a: F.slice("samples", a, size)))).alias("__b", "__x"))
+    done = blocks.repartition("__row", "__b").select("__row", *rest, "__b", G.resampled(target)(F.coalesce("__x", F.array().cast("array<double>")), "sr").alias("__y"))
+    whole = done.groupBy("__row").agg(F.first(F.struct(*rest)).alias("__o"), F.array_sort(F.collect_list(F.struct("__b", "__y"))).alias("__p"))
     rate = F.lit(target).cast(recordings.schema["sr"].dataType)
-    back = whole.select(key, F.flatten(F.transform("__p", lambda r: r["__y"])).alias("samples"), *[(rate if c == "sr" else F.col("__o")[c]).alias(c) for c in rest])
-    return recordings.where(F.col("sr") == target).unionByName(back)
+    back = whole.select(F.flatten(F.transform("__p", lambda r: r["__y"])).alias("samples"), *[(rate if c == "sr" else F.col("__o")[c]).alias(c) for c in rest])
+    unknown = recordings.where(F.col("sr").isNull()).withColumn("samples", F.lit(None).cast(recordings.schema["samples"].dataType))
+    return recordings.where(F.col("sr") == target).unionByName(back).unionByName(unknown)
 
 
-def detector(score: Callable[[np.ndarray], np.ndarray], rate: int = 10000, window: int = 39124):
+def detector(score: Callable[[np.ndarray], np.ndarray], rate: int = 10000, window: int = 39124, failures=None):
     """A UDF (samples, sr) -> mean of ``score`` over whole windows at ``rate``.
 
     ``score`` takes windows as rows of an array and gives a number each. Null
-    where there is no whole window, or where ``score`` raises an error.
+    where there is no whole window, or where ``score`` raises an error; an
+    accumulator given as ``failures`` counts the latter, so that a scorer which
+    always fails doesn't go unseen.
     """
 
     @pandas_udf(DoubleType())
@@ -139,6 +145,8 @@ def detector(score: Callable[[np.ndarray], np.ndarray], rate: int = 10000, windo
                     out.append(float(np.mean(score(x[: n * window].reshape(n, window)))) if n else None)
                 except Exception:  # noqa: BLE001 - a recording the model fails on has no score
                     out.append(None)
+                    if failures is not None:
+                        failures.add(1)
             yield pd.Series(out, dtype="float64")
 
     return run

@@ -188,12 +188,12 @@ def memory_probe(spark, sf_dir):
     return C.until_first_failure(g, ["preset"], "batch", "ok")
 
 
-@query("source_union", "SELECT 'a' AS run, source, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 2 UNION ALL SELECT 'b', source, count(*) FROM documents WHERE doc_id % 3 = 0 GROUP BY 2")
+@query("source_union", "SELECT 'a' AS run, source, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'b', role, count(*) FROM conversations GROUP BY 2")
 def source_union(spark, sf_dir):
     """Runs one under the other with their ordinal."""
-    d = X.table(spark, sf_dir, "documents")
-    a = d.where("doc_id % 2 = 0").groupBy("source").agg(F.count("*").alias("n")).withColumn("run", F.lit("a"))
-    return a.unionByName(d.where("doc_id % 3 = 0").groupBy("source").agg(F.count("*").alias("n")).withColumn("run", F.lit("b")))
+    a = X.table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("run", F.lit("a"))
+    b = X.table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("source")).agg(F.count("*").alias("n")).withColumn("run", F.lit("b"))
+    return a.unionByName(b)
 
 
 @query("run_metadata", "SELECT '{\"codec\":\"lac\",\"sample_rate\":44100,\"n_files\":' || count(*) || ',\"n_tokens\":' || sum(n_chars) || '}' AS metadata FROM documents")

@@ -109,11 +109,11 @@ def context_crop(spark, sf_dir):
     return _tokens(spark, sf_dir).select("REC", F.array_join(c, " ").alias("context"), F.array_contains(c, 2).alias("ended"))
 
 
-_E = X.AUDIO_SQL + ", experts AS (SELECT vec_id, list_transform(samples[1:8], lambda x: x * 10) AS logits FROM audio)"
+_E = X.AUDIO_SQL + ", experts AS (SELECT vec_id, list_transform(samples, lambda x: x * 10) AS logits FROM audio)"
 
 
 def experts(spark, sf_dir):
-    return X.audio(spark, sf_dir).select("vec_id", F.transform(F.slice("samples", 1, 8), lambda x: x * 10).alias("logits"))
+    return X.audio(spark, sf_dir).select("vec_id", F.transform("samples", lambda x: x * 10).alias("logits"))
 
 
 @query("expert_routing", f"""WITH {_E}, o AS (SELECT vec_id, list_sort(list_transform(logits, lambda x, i: {{'x': -x, 'i': i - 1}}))[1:2] AS s FROM experts),
@@ -124,7 +124,7 @@ def expert_routing(spark, sf_dir):
 
 
 @query("load_balance", f"""WITH {_E}, o AS (SELECT vec_id, logits, list_transform(list_sort(list_transform(logits, lambda x, i: {{'x': -x, 'i': i - 1}}))[1:2], lambda p: p.i) AS b FROM experts),
-  u AS (SELECT unnest(range(0, 8)) AS expert, unnest(list_transform(logits, lambda x: exp(x) / list_sum(list_transform(logits, lambda y: exp(y))))) AS p, b FROM o), g AS (SELECT expert, count(*) FILTER (list_contains(b, expert)) AS a, avg(p) AS p FROM u GROUP BY 1)
+  u AS (SELECT unnest(range(0, 64)) AS expert, unnest(list_transform(logits, lambda x: exp(x) / list_sum(list_transform(logits, lambda y: exp(y))))) AS p, b FROM o), g AS (SELECT expert, count(*) FILTER (list_contains(b, expert)) AS a, avg(p) AS p FROM u GROUP BY 1)
   SELECT round(count(*) * sum(a * p) / sum(a), 8) AS aux_loss FROM g""")
 def load_balance(spark, sf_dir):
     """Share of assignments times mean probability."""
@@ -138,11 +138,12 @@ def attention_band(spark, sf_dir):
     return K.attention_span(p, 6).groupBy("seq", "q").agg(F.count("*").alias("keys"), F.min("k").cast("long").alias("first_key"))
 
 
-@query("attention_output", """WITH a AS (SELECT vec_id // 8 AS seq, vec_id % 8 AS pos, embedding[1]::DOUBLE * 10 AS qk, embedding[2]::DOUBLE AS v FROM embeddings),
+@query("attention_output", """WITH a AS (SELECT vec_id // 8 AS seq, vec_id % 8 AS pos, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) AS qk, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE * x::DOUBLE)) AS v FROM embeddings),
   s AS (SELECT q.seq, q.pos, exp(q.qk * k.qk) AS e, k.v FROM a q JOIN a k ON q.seq = k.seq AND k.pos BETWEEN q.pos - 3 AND q.pos) SELECT seq, pos, round(sum(e * v) / sum(e), 8) AS output FROM s GROUP BY 1, 2""")
 def attention_output(spark, sf_dir):
     """M5: softmax-weighed values over the band, on arrays of a sequence."""
-    e = X.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("seq"), (F.col("vec_id") % 8).alias("pos"), (F.col("embedding")[0].cast("double") * 10).alias("qk"), F.col("embedding")[1].cast("double").alias("v"))
+    total = lambda f: F.aggregate("embedding", F.lit(0.0), lambda a, x: a + f(x.cast("double")))
+    e = X.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("seq"), (F.col("vec_id") % 8).alias("pos"), total(lambda x: x).alias("qk"), total(lambda x: x * x * x).alias("v"))
     keys = e.select("seq", F.explode(F.array(*[F.col("pos") + d for d in range(4)])).alias("pos"), F.col("qk").alias("kk"), "v")
     j = e.select("seq", "pos", "qk").join(keys, ["seq", "pos"]).withColumn("e", F.exp(F.col("qk") * F.col("kk")))
     return j.groupBy("seq", "pos").agg(F.round(F.sum(F.col("e") * F.col("v")) / F.sum("e"), 8).alias("output"))
@@ -155,14 +156,14 @@ def rotary_table(spark, sf_dir):
     return K.rotary_angles(p, 32).select("conv_id", "pos", "i", F.round("cos", 8).alias("cos"), F.round("sin", 8).alias("sin"))
 
 
-@query("rotated_vectors", """WITH a AS (SELECT vec_id, (vec_id % 100)::DOUBLE AS pos, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS x FROM embeddings),
-  r AS (SELECT vec_id, list_transform(range(0, 32), lambda i: x[i + 1] * cos(pos / pow(10000, 2.0 * (i % 16) / 32)) + CASE WHEN i < 16 THEN -x[i + 17] ELSE x[i - 15] END * sin(pos / pow(10000, 2.0 * (i % 16) / 32))) AS y FROM a)
-  SELECT vec_id, round(y[1], 7) AS first, round(y[17], 7) AS middle, round(list_sum(y), 6) AS total FROM r""")
+@query("rotated_vectors", """WITH a AS (SELECT vec_id, (vec_id % 100)::DOUBLE AS pos, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+  r AS (SELECT vec_id, list_transform(range(0, 64), lambda i: x[i + 1] * cos(pos / pow(10000, 2.0 * (i % 32) / 64)) + CASE WHEN i < 32 THEN -x[i + 33] ELSE x[i - 31] END * sin(pos / pow(10000, 2.0 * (i % 32) / 64))) AS y FROM a)
+  SELECT vec_id, round(y[1], 7) AS first, round(y[33], 7) AS middle, round(list_sum(y), 6) AS total FROM r""")
 def rotated_vectors(spark, sf_dir):
     """M4: rotate-half."""
-    e = X.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 100).cast("double").alias("pos"), F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("x"))
-    y = e.select("vec_id", K.rotated(F.col("x"), F.col("pos"), 32).alias("y"))
-    return y.select("vec_id", F.round(F.col("y")[0], 7).alias("first"), F.round(F.col("y")[16], 7).alias("middle"), F.round(F.aggregate("y", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    e = X.table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 100).cast("double").alias("pos"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    y = e.select("vec_id", K.rotated(F.col("x"), F.col("pos"), 64).alias("y"))
+    return y.select("vec_id", F.round(F.col("y")[0], 7).alias("first"), F.round(F.col("y")[32], 7).alias("middle"), F.round(F.aggregate("y", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query("swiglu", "SELECT vec_id, round(list_sum(list_transform(range(1, 33), lambda i: embedding[i]::DOUBLE / (1 + exp(-embedding[i]::DOUBLE)) * embedding[i + 32]::DOUBLE)), 8) AS total FROM embeddings")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores as Q
+from ..operators import codec as C
 from ..operators import signal as G
 from ..operators import spectra as D
 from . import fixtures as X
@@ -223,6 +224,15 @@ def codec_round_trip(spark, sf_dir):
     return r.select("id", F.round(Q.snr_db(F.col("samples"), F.col("copy")), 4).alias("snr"), F.round(G.spectral_convergence("samples", "copy"), 6).alias("spectral_convergence"), F.round(G.log_spectral_distance("samples", "copy"), 5).alias("log_spectral_distance"), F.round(G.mel_cepstral_distortion(8000)("samples", "copy"), 4).alias("mcd"))
 
 
+@query("codec_grid")
+def codec_grid(spark, sf_dir):
+    """Codebooks fitted by k-means, every clip decoded from one, two and three of them; means by number of codebooks."""
+    clips = X.audio(spark, sf_dir).select("vec_id", "samples")
+    g = C.round_trips(clips, C.fit(clips, 8, books=3, levels=16, rounds=3), [1, 2, 3])
+    m = g.select("books", Q.snr_db(F.col("samples"), F.col("copy")).alias("snr"), G.spectral_convergence("samples", "copy").alias("sc"), G.log_spectral_distance("samples", "copy").alias("lsd"), G.mel_cepstral_distortion(8000)("samples", "copy").alias("mcd"), G.mel_cepstral_distortion(8000, False)("samples", "copy").alias("mcd_rms"))
+    return m.groupBy("books").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 4).alias(c) for c in ("snr", "sc", "lsd", "mcd", "mcd_rms")])
+
+
 @query("silence_chunks")
 def silence_chunks(spark, sf_dir):
     """Chunks by a table function over raw samples."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..operators import datasets as DS
 from ..operators import sequences as S
 from ..operators import spectra as Y
 from ..operators import windows as W
@@ -176,3 +177,17 @@ def cut_at_eos(spark, sf_dir):
 def recording_splits(spark, sf_dir):
     """80/10/10 by recording in the order of a seeded hash."""
     return W.split(S.dialogues(X.dialogue(spark, sf_dir)).select("recording"), "recording", 42, (0.8, 0.1))
+
+
+@query("symbolic_datasets", f"""WITH a AS (SELECT 'coda' AS dataset, REC || ':' || Unit || ':' || UnitNum AS id, tokens, 16 AS l FROM (WITH {_CODA} SELECT * FROM tokens)
+  UNION ALL SELECT 'dialogue', REC, tokens, 64 FROM (WITH {_TOKENS} SELECT * FROM tokens)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('42' || id), id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM a),
+  s AS (SELECT dataset, id, tokens, l, CASE WHEN i < floor(n * 0.8) THEN 'train' WHEN i < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r WHERE len(tokens) > 3),
+  w AS (SELECT *, unnest(CASE WHEN dataset = 'coda' OR len(tokens) <= l + 1 THEN [0] ELSE list_concat(range(0, len(tokens) - l, l // 2), [len(tokens) - l - 1]) END) AS start FROM s),
+  p AS (SELECT dataset, split, id, start, l, list_concat(tokens[start + 1:start + l + 1], list_transform(range(0, greatest(0, l + 1 - len(tokens[start + 1:start + l + 1]))), lambda i: 0)) AS t FROM w)
+  SELECT dataset, split, id, start::BIGINT AS start, md5(array_to_string(t[1:l], ' ')) AS input_ids, md5(array_to_string(t[2:l + 1], ' ')) AS target_ids, len(list_filter(t[1:l], lambda x: x <> 0))::BIGINT AS attended FROM p""")
+def symbolic_datasets(spark, sf_dir):
+    """Split by group, then sequences of types and windows of dialogues as padded examples."""
+    d = X.dialogue(spark, sf_dir)
+    e = DS.symbolic_datasets(d, d, ["REC", "Unit", "UnitNum"], ["event_id"], ["REC"], ["TsTo", "event_id"], 16, 64)
+    return e.select("dataset", "split", "id", "start", F.md5(F.array_join("input_ids", " ")).alias("input_ids"), F.md5(F.array_join("target_ids", " ")).alias("target_ids"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("attended"))

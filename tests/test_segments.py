@@ -178,3 +178,22 @@ def test_newest_checkpoint_is_never_unlinked(spark):
     out = sinks.retained(spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(losses)] + [("b", 0, 50.0)], "run string, step long, val_loss double"), 3, ("run",)).collect()
     assert {r["step"] for r in out if r["on_disk"] and r["run"] == "a"} == disk
     assert {r["step"] for r in out if r["keep"] and r["run"] == "a"} == {s for _, s in saved} and [r["keep"] for r in out if r["run"] == "b"] == [True]
+
+
+def test_resampling_keeps_rows_of_any_rate_and_key(spark):
+    x = [float(v) for v in np.sin(np.arange(200) / 7)]
+    df = spark.createDataFrame([("a", x, 1000), ("a", x[:64], 1000), ("b", x, None), ("c", None, 1000), ("d", x, 500), (None, x, 1000)], "k string, samples array<double>, sr int")
+    got = sorted(((r["k"] or "", r["sr"] or 0, -1 if r["samples"] is None else len(r["samples"])) for r in S.resampled_in_blocks(df, "k", 500, 0.05).collect()))
+    assert got == [("", 500, 100), ("a", 500, 32), ("a", 500, 100), ("b", 0, -1), ("c", 500, 0), ("d", 500, 200)]
+
+
+def test_detector_counts_failures(spark):
+    def score(w):
+        if w.mean() > 0.5:
+            raise ValueError("no model")
+        return w.mean(axis=1)
+
+    n = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(1, [0.1] * 20), (2, [0.9] * 20), (3, [0.1] * 3)], "id int, samples array<double>")
+    got = {r["id"]: r["s"] for r in df.select("id", S.detector(score, 10, 10, n)("samples", F.lit(10)).alias("s")).collect()}
+    assert got[1] is not None and got[2] is None and got[3] is None and n.value == 1
