@@ -43,7 +43,8 @@ def examples(conversations: DataFrame, target_role: str = "assistant") -> DataFr
 
     Null roles and texts are empty. Turns are ordered by turn, then role, then
     text (null turns first), so ties and repeated rows have a fixed order.
-    Rows with a null conv_id are one conversation. Other columns are ignored.
+    Rows with a null conv_id are one conversation. An empty table gives no
+    examples. Other columns, whatever their names, are ignored.
 
     The examples' total length grows with the square of a conversation's
     turns, as each holds its whole context; each is built by joining a slice of

@@ -192,9 +192,11 @@ def identify(docs: DataFrame, model: Model, held_out: int = 1, folds: int = 3, r
     """doc_id, held_out, lang_pred, score of each row, from the whole text alone.
 
     ``und`` with score 0 for null texts and texts without a letter; with
-    ``reject`` also where the score is under the model's calibrated bound. Rows
-    come out as they come in (null ids with held_out null); other columns are
-    ignored.
+    ``reject`` also where the score is under the model's calibrated bound.
+    Languages of equal score go to the first in code-point order. Rows come out
+    as they come in, repeated ones too (null ids with held_out null); an empty
+    table gives no rows. A text of any length is read whole; it must fit in a
+    task. Other columns, whatever their names, are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(_predict(model, reject), "doc_id long, lang_pred string, score double")

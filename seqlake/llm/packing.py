@@ -163,7 +163,11 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     Null and empty texts are documents of ``end_id`` alone. Repeated rows are
-    packed as often as they come, rows with a null doc_id too. Other columns of
-    ``docs`` are ignored; an empty table gives no rows.
+    packed as often as they come, rows with a null doc_id too. A text of any
+    length is encoded whole and cut into pieces only by ``capacity``; it must
+    fit in a task. Pieces of equal length are alike to the packing: which of
+    them goes where is left open, and so are the numbers of sequences; how many
+    sequences there are is not. Other columns of ``docs``, whatever their
+    names, are ignored; an empty table gives no rows.
     """
     return pack(cut(document_pieces(docs, path, capacity, end_id, with_ids), "pieces"), capacity)

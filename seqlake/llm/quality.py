@@ -223,8 +223,10 @@ def _score(model: Model, keep: float | None, at: int):
 def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7, held_out: int = 2, folds: int = 4) -> DataFrame:
     """doc_id, held_out, score, predicted of each row, from the whole text alone.
 
-    Null is scored as the empty text. Rows come out as they come in (null ids
-    with held_out null); other columns are ignored.
+    Null is scored as the empty text. Rows come out as they come in, repeated
+    ones too (null ids with held_out null); an empty table gives no rows. A
+    text of any length is measured whole; it must fit in a task. Other columns,
+    whatever their names, are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = texts.mapInArrow(_score(model, None, 1), "doc_id long, score double")
@@ -232,5 +234,11 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.7, held_ou
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model scores ``threshold`` or more."""
+    """The rows of ``docs``, all columns, that the model scores ``threshold`` or more.
+
+    Each row is judged by its own text alone, so repeated rows stay or go
+    together and ids, null ones too, don't matter. Null and empty texts are
+    scored as the empty text. A text of any length is measured whole. An empty
+    table stays empty; columns of any other name pass through.
+    """
     return docs.mapInArrow(_score(model, threshold, docs.columns.index("text")), docs.schema)

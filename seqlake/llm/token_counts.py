@@ -158,7 +158,8 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_words, n_tokens of each row: words by the vocabulary's own split, tokens by greedy longest match.
 
     A word end that the longest match leaves over adds no token. Null, empty and blank texts count nothing. Rows come out as they come in,
-    null ids and repeated rows too; other columns are ignored.
+    null ids and repeated rows too; an empty table gives no rows. A text of any length is counted whole; it must fit in a task. Other columns,
+    whatever their names, are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_run(path), "doc_id long, n_words long, n_tokens long")
