@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import settled
+
 # Species groups of the published corpus layout.
 TOOTHED = (
     "Sperm_Whale Killer_Whale Atlantic_Spotted_Dolphin Bottlenose_Dolphin Clymene_Dolphin Common_Dolphin Frasers_Dolphin "
@@ -60,8 +62,12 @@ def listing(files: DataFrame, prefix: str, suffix: str = ".flac") -> DataFrame:
 
 
 def in_hours(files: DataFrame, hours: DataFrame) -> DataFrame:
-    """Files whose name's hour is among ``hours`` (hour); unreadable names go."""
-    keyed = files.withColumn("hour", hour_key(file_time(F.col("name"))))
+    """Files whose name's hour is among ``hours`` (hour); unreadable names go.
+
+    The hour is settled: the join's filter on it would otherwise sink below
+    whatever made the names distinct, and parse a name for each row there.
+    """
+    keyed = settled(files, "hour", hour_key(file_time(F.col("name"))))
     return keyed.join(hours.select("hour").distinct(), "hour", "left_semi").drop("hour")
 
 
