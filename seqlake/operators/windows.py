@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +134,12 @@ def _eighth(digest: Column, k: int) -> Column:
     return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
+def _below(digest: Column, k: int, share: float) -> Column:
+    """Whether ``_eighth`` is under ``share``, read off the digits themselves: no number is made of them."""
+    least = math.ceil(share * 2.0**32)
+    return F.lit(True) if least >= 2**32 else F.substring(digest, 8 * k + 1, 8) < F.lit(f"{max(least, 0):08x}")
+
+
 def augment(df: DataFrame, key: str, column: str, vocab_size: int, seed: int, noise: float = 0.1, mask: float = 0.05, stretch: float = 0.5, pad: int = 0, separator: int | None = None) -> DataFrame:
     """Tokens jittered by 1 or 2, replaced at random, and stretched by 0.9 to 1.1, by seeded uniforms.
 
@@ -143,8 +151,8 @@ def augment(df: DataFrame, key: str, column: str, vocab_size: int, seed: int, no
     def one(t: Column, h: Column) -> Column:
         real = (t > pad) & (t != separator if separator is not None else F.lit(True))
         jitter = F.element_at(F.array(*[F.lit(x) for x in (-2, -1, 1, 2)]), (F.floor(_eighth(h, 1) * 4) + 1).cast("int"))
-        noised = F.when(real & (_eighth(h, 0) < noise), F.greatest(F.lit(1), F.least(t + jitter, F.lit(vocab_size - 1)))).otherwise(t)
-        return F.when(real & (_eighth(h, 2) < mask), (F.floor(_eighth(h, 3) * (vocab_size - 1)) + 1).cast("int")).otherwise(noised)
+        noised = F.when(real & _below(h, 0, noise), F.greatest(F.lit(1), F.least(t + jitter, F.lit(vocab_size - 1)))).otherwise(t)
+        return F.when(real & _below(h, 2, mask), (F.floor(_eighth(h, 3) * (vocab_size - 1)) + 1).cast("int")).otherwise(noised)
 
     named = df.withColumn("__k", name)
     hashed = F.transform(column, lambda t, i: F.struct(t.alias("t"), F.md5(F.concat_ws(":", F.col("__k"), i.cast("string"))).alias("h")))
