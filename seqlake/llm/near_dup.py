@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .cut import cut
-from .text_arrays import LOWER, U64, chunks, mix, text_bytes, word_hash, words
+from .text_arrays import LOWER, U64, chunks, mix, text_bytes, tidy, word_hash, words
 
 BANDS, ROWS = 30, 7
 #: Documents in one block of a bucket that is compared block by block: with their sets, and with signatures alone.
@@ -194,6 +194,7 @@ def _links_of(ids, comp, sig, sets, side, percent: int) -> tuple[np.ndarray, np.
 
 def _compare(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         sets = [np.frombuffer(x, U64) for x in group["shingles"]]
         sig = np.stack([np.frombuffer(x, np.uint8) for x in group["signature"]])
         u, v = _links_of(group["node"].to_numpy(), group["component"].to_numpy(), sig, sets, group["side"].to_numpy(), percent)
@@ -206,6 +207,7 @@ def _partnered(percent: int):
     """Those members of a group whose signature leaves some other one possible."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         sig = np.stack([np.frombuffer(x, np.uint8) for x in group["signature"]])
         open_ = _open_pairs(group["component"].to_numpy(), sig, group["n"].to_numpy(), group["side"].to_numpy(), percent)
         return group.loc[open_.any(axis=1), ["key", "node"]]
@@ -218,6 +220,7 @@ def _confirm(percent: int):
     least = _least_alike(percent)
 
     def run(others: pd.DataFrame, pivot: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         none = pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
         if not len(others) or not len(pivot):
             return none

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cut import cut
-from .text_arrays import BASE, BASE_INVERSE, BYTE_CODE, U64, chunks, gather, mix, powers, prefix_sums, span_hash, text_bytes
+from .text_arrays import BASE, BASE_INVERSE, BYTE_CODE, U64, chunks, gather, mix, powers, prefix_sums, span_hash, text_bytes, tidy
 
 KGRAM = 32
 SHALLOW = 32
@@ -349,6 +349,7 @@ def _meet(buckets: int, most: int, twins: int):
     """All records of a bucket of k-grams: those whose bytes are needed, and how. They go back to their documents."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         def of(*kinds):
             return np.concatenate([np.zeros(0, RECORD), *(_rows(x) for x, k in zip(group["records"], group["kind"]) if k in kinds)])
 
@@ -387,6 +388,7 @@ def _by_document(wanted: tuple[int, ...], kept: np.dtype):
     """One row for each document of a bucket of documents, from its packed rows of the kinds in ``wanted``."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         found = [(kind, _rows(packed)) for kind, packed in zip(group["kind"], group["records"]) if kind in wanted]
         kind = np.repeat([k for k, _ in found], [len(x) for _, x in found])
         docs, keys, parts = _rows_of_documents(np.concatenate([np.zeros(0, RECORD), *(x for _, x in found)]), kept, kind)
@@ -460,6 +462,7 @@ def _sort_bucket(length: int, buckets: int):
     """Records and windows of a bucket that an earlier one equals."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         late = [np.zeros(0, RECORD), *(_rows(x) for x in group.loc[group["kind"] == REPEAT, "records"])]
         r, text, base = _opened(group, TWIN, length)
         # Parts of the bucket by class, or by k-gram, bound the arrays that are sorted at once.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,25 @@ LOWER[65:91] += 32
 _POWERS: dict[int, np.ndarray] = {}
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+_TIDIED = 0.0
+
+
+def tidy(every: float = 0.5) -> None:
+    """Hand back to the system what this worker has freed, at most once in ``every`` seconds.
+
+    A worker serves many stages; the C library and Arrow would otherwise keep
+    the most that any of them has needed.
+    """
+    global _TIDIED
+    now = time.monotonic()
+    if now - _TIDIED >= every:
+        _TIDIED = now
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(33))
@@ -46,6 +67,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, nulls as empty, and n + 1 offsets."""
+    tidy()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
