@@ -179,7 +179,7 @@ def loudness(blocks: DataFrame, key: str, size: int, sr: int) -> DataFrame:
     """key, loudness (LUFS) of block rows of one rate, like ``signal.integrated_loudness`` of the whole; null where nothing is loud enough to measure."""
     frame, hop = int(0.4 * sr), int(0.1 * sr)
     weighted = filtered(blocks, key, size, G.loudness_sections(sr))
-    sums = staged(window_sums(_whole(weighted, key, size), key, frame, hop))
+    sums = window_sums(_whole(weighted, key, size), key, frame, hop)  # one shuffle for all that follows
     totals = sums.groupBy(key).agg(F.sum("n").alias("total"))
     power = sums.where("frame_no >= 0").join(totals, key).where(F.col("frame_no") * hop + frame <= F.col("total")).select(key, (F.col("sq") / frame).alias("p"))
     level = lambda p: F.log10(p) * 10 - 0.691
