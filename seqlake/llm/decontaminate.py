@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_arrays import LOWER, chunks, same_spans, text_bytes, word_hash, words
+from .text_arrays import LOWER, chunks, held, same_spans, text_bytes, word_hash, words
 
 #: Bytes of item text in one automaton, which goes to every task; more items make more automata.
 AUTOMATON_BYTES = 4 << 20
@@ -189,19 +189,13 @@ class Index:
 _FOUND = "doc_id long, row_key long, n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
 
 
-_BUILT: dict[str, Index] = {}
-
-
 def _token(items: list[tuple[int, str | None]], window: int) -> str:
     return hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _built(token: str, items: list[tuple[int, str | None]], window: int) -> Index:
     """The index of ``items``, built once by each worker for all its tasks that follow each other."""
-    if token not in _BUILT:
-        _BUILT.clear()
-        _BUILT[token] = Index(items, window)
-    return _BUILT[token]
+    return held(("index", token), lambda: Index(items, window))
 
 
 def _find(items: list[tuple[int, str | None]], window: int):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .cut import cut
-from .text_arrays import LOWER, U64, chunks, mix, text_bytes, tidy, word_hash, words
+from .text_arrays import LOWER, U64, chunks, let_go, mix, text_bytes, tidy, word_hash, words
 
 BANDS, ROWS = 30, 7
 #: Documents in one block of a bucket that is compared block by block: with their sets, and with signatures alone.
@@ -85,6 +85,7 @@ def minima(values: np.ndarray) -> np.ndarray:
 
 def _sign(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             ids = batch.column(0)
             data, offsets = text_bytes(batch.column(2))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import NOT_SPACE
-from .text_arrays import LOWER, chunks, prefix_sums, span_hash, text_bytes, words
+from .text_arrays import LOWER, chunks, let_go, prefix_sums, span_hash, text_bytes, words
 
 #: Rows that the model is fitted on at most, about: labelled and unlabelled ones.
 LABELLED, UNLABELLED = 20_000, 20_000
@@ -210,6 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, l
 
 def _score(model: Model, keep: float | None, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))
             for i, j in chunks(offsets):

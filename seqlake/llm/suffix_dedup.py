@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cut import cut
-from .text_arrays import BASE, BASE_INVERSE, BYTE_CODE, U64, chunks, gather, mix, powers, prefix_sums, span_hash, text_bytes, tidy
+from .text_arrays import BASE, BASE_INVERSE, BYTE_CODE, U64, chunks, gather, let_go, mix, powers, prefix_sums, span_hash, text_bytes, tidy
 
 KGRAM = 32
 SHALLOW = 32
@@ -299,6 +299,7 @@ def _scan(length: int, buckets: int, most: int):
     """Records of whole texts; those that equal one before them in the batch, byte by byte, are repeats at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             docs, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             data, offsets = text_bytes(batch.column(2))

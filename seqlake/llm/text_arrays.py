@@ -43,6 +43,22 @@ def tidy(every: float = 0.5) -> None:
             _TRIM(0)
 
 
+_HELD: list = [None, None]
+
+
+def held(key, build):
+    """What ``build()`` gives, built once by each worker for all its tasks that follow each other; the one before is let go."""
+    if _HELD[0] != key:
+        let_go()
+        _HELD[:] = [key, build()]
+    return _HELD[1]
+
+
+def let_go() -> None:
+    """Forget what ``held`` keeps: an encoder or automaton of an earlier stage is no use to the next."""
+    _HELD[:] = [None, None]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(33))

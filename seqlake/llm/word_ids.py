@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -11,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .text_arrays import gather
+from .text_arrays import gather, held
 
 #: Words remembered by one worker.
 REMEMBERED = 500_000
@@ -94,7 +93,6 @@ class WordEncoder:
         return ids, np.concatenate([[0], np.cumsum(each)])[bounds - bounds[0]]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker and vocabulary file."""
-    return WordEncoder(path)
+    """One encoder for each worker while it encodes."""
+    return held(("encoder", path), lambda: WordEncoder(path))
