@@ -77,13 +77,13 @@ _CONCAT = f"""{_FILES}, g AS (SELECT prefix, flatten(list(list_concat(tokens, [4
 @query("concat_offsets", f"WITH {_FILES} SELECT prefix, stem, o::BIGINT AS first, n AS n FROM files")
 def concat_offsets(spark, sf_dir):
     """Where each file starts in its group's sequence."""
-    return W.concat_index(X.token_files(spark, sf_dir)).select("prefix", "stem", F.col("offset").alias("first"), "n")
+    return W.concat_index(X.token_lengths(spark, sf_dir), ("doc_id",)).select("prefix", "stem", F.col("offset").alias("first"), "n")
 
 
 @query("concat_windows", f"WITH {_CONCAT} SELECT prefix, a::BIGINT AS start, len(tokens)::BIGINT AS n, list_sum(list_transform(tokens, lambda t, i: t * i))::BIGINT AS total FROM concats")
 def concat_windows(spark, sf_dir):
     """Windows over joined files with separators."""
-    w = W.concat_windows(X.token_files(spark, sf_dir), 256, 4098)
+    w = W.concat_windows(X.token_files(spark, sf_dir), 256, 4098, X.token_lengths(spark, sf_dir), ("doc_id",))
     total = F.aggregate(F.transform("tokens", lambda t, i: t.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
     return w.select("prefix", "start", F.size("tokens").cast("long").alias("n"), total.alias("total"))
 
@@ -92,7 +92,7 @@ def concat_windows(spark, sf_dir):
   SELECT prefix, a::BIGINT AS start, md5(array_to_string(w[1:256], ' ')) AS input_ids, md5(array_to_string(w[2:257], ' ')) AS target_ids, len(list_filter(w[1:256], lambda t: t <> 0))::BIGINT AS attended FROM e""")
 def training_examples(spark, sf_dir):
     """Padded, shifted, masked examples."""
-    e = W.examples(W.concat_windows(X.token_files(spark, sf_dir), 256, 4098), 256)
+    e = W.examples(W.concat_windows(X.token_files(spark, sf_dir), 256, 4098, X.token_lengths(spark, sf_dir), ("doc_id",)), 256)
     return e.select("prefix", "start", F.md5(F.array_join("input_ids", " ")).alias("input_ids"), F.md5(F.array_join("target_ids", " ")).alias("target_ids"), _TOTAL("attention_mask").alias("attended"))
 
 
@@ -100,14 +100,14 @@ def training_examples(spark, sf_dir):
   h AS (SELECT id, row_number() OVER (ORDER BY md5('7' || id), id) - 1 AS r, count(*) OVER () AS n FROM i) SELECT id, CASE WHEN r < floor(n * 0.8) THEN 'train' ELSE 'val' END AS split FROM h""")
 def window_splits(spark, sf_dir):
     """80/20 over windows, so neighbours may part."""
-    w = W.sliding(X.token_files(spark, sf_dir).where(F.size("tokens") > 2).select("stem", F.size("tokens").alias("n")), F.col("n"), 128)
+    w = W.sliding(X.token_lengths(spark, sf_dir).where("n > 2").select("stem", "n"), F.col("n"), 128)
     return W.split(w.select(F.concat_ws(":", "stem", F.col("window_no").cast("string")).alias("id")), "id", 7, (0.8,), ("train", "val"))
 
 
 @query("batches", f"""WITH {T}, h AS (SELECT stem, len(tokens) AS n, (row_number() OVER (ORDER BY md5('1' || stem), stem) - 1) // 32 AS batch_id FROM token_files) SELECT batch_id, count(*) AS size, sum(n)::BIGINT AS tokens, min(stem) AS least_stem FROM h GROUP BY 1""")
 def batches(spark, sf_dir):
     """Shuffled batches of 32."""
-    f = X.token_files(spark, sf_dir).select("stem", F.size("tokens").cast("long").alias("n"), F.md5(F.concat(F.lit("1"), F.col("stem"))).alias("h"))
+    f = X.token_lengths(spark, sf_dir).select("stem", "n", F.md5(F.concat(F.lit("1"), F.col("stem"))).alias("h"))
     b = W.batches(f, ["h", "stem"], 32, F.substring("h", 1, 3))
     return b.groupBy("batch_id").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min("stem").alias("least_stem"))
 
@@ -139,7 +139,7 @@ def prompt_prefixes(spark, sf_dir):
 @query("token_statistics", f"WITH {T} SELECT source, count(*) AS n_files, sum(len(tokens))::BIGINT AS n_tokens, round(avg(len(tokens)), 6) AS mean_length, min(len(tokens)) AS min_length, max(len(tokens)) AS max_length, median(len(tokens)) AS median_length, round(count(*) * 44100.0 / 768, 4) AS per_second FROM token_files GROUP BY 1")
 def token_statistics(spark, sf_dir):
     """Counts and lengths per source."""
-    t = X.token_files(spark, sf_dir).select("source", F.size("tokens").cast("long").alias("n"))
+    t = X.token_lengths(spark, sf_dir).select("source", "n")
     return t.groupBy("source").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_tokens"), F.round(F.avg("n"), 6).alias("mean_length"), F.min("n").alias("min_length"), F.max("n").alias("max_length"), F.median("n").alias("median_length"), F.round(F.count("*") * F.lit(44100.0) / 768, 4).alias("per_second"))
 
 
