@@ -40,10 +40,22 @@ def _sound(blocks: DataFrame, key: str) -> DataFrame:
 # ------------------------------------------------------------------- filters
 
 
+def _by_length(samples: pd.Series, of) -> pd.Series:
+    """``of(blocks as rows, their places)`` of all blocks of one length at once, up to a million samples."""
+    out, sizes = [None] * len(samples), samples.map(len).to_numpy()
+    for n in np.unique(sizes):
+        same, at_once = np.flatnonzero(sizes == n), max(1, 1_000_000 // int(n))
+        for i in range(0, len(same), at_once):
+            rows = same[i : i + at_once]
+            for place, y in zip(rows, of(np.stack(samples.iloc[rows]).astype(np.float64), rows)):
+                out[place] = y
+    return pd.Series(out)
+
+
 def _from_rest(sos: np.ndarray):
     @pandas_udf(ArrayType(DoubleType()))
     def run(samples: pd.Series) -> pd.Series:
-        return pd.Series([G.sos_states(sos, x)[1].ravel() for x in samples])
+        return _by_length(samples, lambda x, _: G.sos_states_of(sos, x)[1].reshape(len(x), -1))
 
     return run
 
@@ -51,7 +63,7 @@ def _from_rest(sos: np.ndarray):
 def _from_state(sos: np.ndarray):
     @pandas_udf(ArrayType(DoubleType()))
     def run(samples: pd.Series, state: pd.Series) -> pd.Series:
-        return pd.Series([G.sos_states(sos, x, np.asarray(s))[0] for x, s in zip(samples, state)])
+        return _by_length(samples, lambda x, rows: G.sos_states_of(sos, x, np.stack(state.iloc[rows]))[0])
 
     return run
 
@@ -127,8 +139,8 @@ def _window_sums(frame: int, hop: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for key, samples, ranges in zip(b.iloc[:, 0], b.iloc[:, 1], b.iloc[:, 2]):
+            rows, nos, sums, counts = [], [], [], []
+            for row, (samples, ranges) in enumerate(zip(b.iloc[:, 1], b.iloc[:, 2])):
                 x = np.asarray(samples, np.float64)
                 for r in ranges:
                     part, place = x[r["at"] : r["at"] + r["n"]], r["place"]
@@ -144,10 +156,11 @@ def _window_sums(frame: int, hop: int):
                         total[whole] = np.lib.stride_tricks.sliding_window_view(sq, frame)[lo[whole]].sum(axis=1)
                     for i in np.nonzero(~whole)[0]:
                         total[i] = sq[lo[i] : hi[i]].sum()
-                    count = np.zeros(len(no) + 1, np.int64)
-                    count[-1] = n
-                    out.append(pd.DataFrame({"k": [key] * (len(no) + 1), "frame_no": np.append(no, -1), "sq": np.append(total, 0.0), "n": count}))
-            yield pd.concat(out) if out else pd.DataFrame({"k": pd.Series([], b.dtypes.iloc[0]), "frame_no": np.zeros(0, np.int64), "sq": np.zeros(0), "n": np.zeros(0, np.int64)})
+                    rows += [row] * (len(no) + 1)
+                    nos += [*no.tolist(), -1]
+                    sums += [*total.tolist(), 0.0]
+                    counts += [0] * len(no) + [n]
+            yield pd.DataFrame({"k": b.iloc[rows, 0].reset_index(drop=True), "frame_no": np.array(nos, np.int64), "sq": np.array(sums, np.float64), "n": np.array(counts, np.int64)})
 
     return run
 

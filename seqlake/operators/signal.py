@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -161,33 +162,50 @@ def sos_states(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None,
     with; only the states are carried from block to block.
     """
     y = np.asarray(x, np.float64)
-    n = len(y)
-    enters = np.zeros((len(sos), 2)) if state is None else np.asarray(state, np.float64).reshape(len(sos), 2)
+    many = y[None], None if state is None else np.asarray(state, np.float64).reshape(1, -1)
+    out, leaves = sos_states_of(sos, *many, block)
+    return out[0], leaves[0]
+
+
+def sos_states_of(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """``sos_states`` of signals of one length, the rows of ``x``, at once; ``state`` has a row for each."""
+    y = np.asarray(x, np.float64)
+    signals, n = y.shape
+    enters = np.zeros((signals, len(sos), 2)) if state is None else np.asarray(state, np.float64).reshape(signals, len(sos), 2)
     if not n:
         return y.copy(), enters.copy()
-    leaves = np.empty((len(sos), 2))
+    block = min(block, n)
+    leaves = np.empty((signals, len(sos), 2))
     rows = -(-n // block)
     over = n - (rows - 1) * block  # samples in the last block
-    y = np.pad(y, (0, rows * block - n)).reshape(rows, block)
-    for k, (b0, b1, b2, _, a1, a2) in enumerate(sos):
-        step = np.array([[-a1, 1.0], [-a2, 0.0]])
-        enter = np.array([b1 - a1 * b0, b2 - a2 * b0])
-        powers = [np.eye(2)]
-        for _ in range(block):
-            powers.append(step @ powers[-1])
-        powers = np.array(powers)
-        impulse = np.concatenate([[b0], (powers[: block - 1] @ enter)[:, 0]])
-        lag = np.arange(block)[:, None] - np.arange(block)
-        rest = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
-        ends = y @ (powers[block - 1 :: -1] @ enter)
-        now, states = enters[k].copy(), np.empty((rows, 2))
+    y = np.pad(y, ((0, 0), (0, rows * block - n))).reshape(signals, rows, block)
+    for k, section in enumerate(np.asarray(sos, np.float64)):
+        powers, tail, rest = _responses(section.tobytes(), block)
+        ends = y @ tail[-block:]
+        now, states = enters[:, k].copy(), np.empty((signals, rows, 2))
         for i in range(rows):
-            states[i] = now
-            now = powers[block] @ now + ends[i]
-        leaves[k] = powers[over] @ states[-1] + y[-1, :over] @ (powers[over - 1 :: -1] @ enter if over < block else powers[block - 1 :: -1] @ enter)
+            states[:, i] = now
+            now = now @ powers[block].T + ends[:, i]
+        leaves[:, k] = states[:, -1] @ powers[over].T + y[:, -1, :over] @ tail[-over:]
         y = y @ rest.T + states @ powers[:block, 0, :].T
-        y[-1, over:] = 0.0
-    return y.reshape(-1)[:n], leaves
+        y[:, -1, over:] = 0.0
+    return y.reshape(signals, -1)[:, :n], leaves
+
+
+@lru_cache(maxsize=64)
+def _responses(section: bytes, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one section over ``block`` samples: powers of the state's step, what each sample adds to the leaving state, the response from rest."""
+    b0, b1, b2, _, a1, a2 = np.frombuffer(section)
+    step = np.array([[-a1, 1.0], [-a2, 0.0]])
+    enter = np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(block):
+        powers.append(step @ powers[-1])
+    powers = np.array(powers)
+    impulse = np.concatenate([[b0], (powers[: block - 1] @ enter)[:, 0]])
+    lag = np.arange(block)[:, None] - np.arange(block)
+    rest = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    return powers, powers[block - 1 :: -1] @ enter, rest
 
 
 def sos_step(sos: np.ndarray) -> np.ndarray:
