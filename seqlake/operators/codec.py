@@ -81,14 +81,19 @@ class Codec:
         return run
 
 
+def _frames(clips: pd.Series, hop: int) -> Iterator[np.ndarray]:
+    """The frames of 512 clips at a time."""
+    for i in range(0, len(clips), 512):
+        yield np.concatenate([frames_of(x, hop) for x in clips.iloc[i : i + 512]])
+
+
 def _gathered(books: list[np.ndarray], hop: int, centres: np.ndarray):
     """Sums and numbers of what the books so far leave, by nearest of the centres, once for each batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sums, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)
-            for x in batch["samples"]:
-                rest = frames_of(x, hop)
+            for rest in _frames(batch["samples"], hop):
                 for book in books:
                     rest = rest - book[nearest(rest, book)]
                 code = nearest(rest, centres)
@@ -105,8 +110,8 @@ def _sampled(books: list[np.ndarray], hop: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for x in batch["samples"]:
-                frame = rest = frames_of(x, hop)
+            for frame in _frames(batch["samples"], hop):
+                rest = frame
                 for book in books:
                     rest = rest - book[nearest(rest, book)]
                 if len(rest):

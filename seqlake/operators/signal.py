@@ -302,6 +302,7 @@ def log_spectral_distance(original: pd.Series, copy: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@lru_cache(maxsize=16)
 def mel_filters(sr: int, n_fft: int, n_mels: int) -> np.ndarray:
     """Triangular filters on the mel scale (linear to 1 kHz, then logarithmic), each of unit area."""
     def to_mel(f):
@@ -320,7 +321,7 @@ def mel_filters(sr: int, n_fft: int, n_mels: int) -> np.ndarray:
 
 def mfcc(x: np.ndarray, sr: int, n_mfcc: int = 13, n_mels: int = 80, n_fft: int = 2048) -> np.ndarray:
     """Cepstral coefficients (n_mfcc, frames): log mel power, orthonormal cosine transform."""
-    mel = mel_filters(sr, n_fft, n_mels) @ stft_magnitude(x, n_fft) ** 2
+    mel = mel_filters(sr, n_fft, n_mels) @ stft_magnitude(x, n_fft) ** 2  # the filters are made once a worker
     db = 10 * np.log10(np.maximum(mel, 1e-10))
     db = np.maximum(db, db.max() - 80)
     k, n = np.arange(n_mfcc)[:, None], np.arange(n_mels)
